@@ -12,7 +12,7 @@ only the documents of one bucket are ordered together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,11 +41,11 @@ def source_targets(sizes: DataFrame, budget: float, weights: tuple[int, ...], ca
     return s.select("source", "source_size", "docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: str = "mix", bucket_docs: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: str = "mix", bucket_docs: int = 4_000) -> DataFrame:
     """Words to take from every document so that sources reach their targets.
 
-    ``docs`` has doc_id, source and text; ``quality`` is an expression over its
-    columns, above zero (null: 1). Returns doc_id, source, size, source_size, target
+    ``docs`` has doc_id, source and text; ``quality`` has one row (doc_id, weight) per
+    document with a weight other than 1, above zero. Returns doc_id, source, size, source_size, target
     and taken, one row per row of ``docs``; other columns are ignored, whatever their
     names. taken is size times the number of times the document is in the mix: whole
     epochs, and once more for sampled documents. A document on the edge of the budget
@@ -56,10 +56,11 @@ def mix(docs: DataFrame, quality: Column | None = None, *, budget: float = 1.5,
     rows. An empty table gives an empty result. The draw depends on ids, sizes and
     the seed only, so reruns agree.
     """
-    w = F.coalesce(quality.cast("double") if quality is not None else F.lit(1.0), F.lit(1.0))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = -F.log(unit_interval(seed, F.col("doc_id"))) / w
-    rows = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
+    key = -F.log(unit_interval(seed, F.col("doc_id"))) / (F.coalesce("weight", F.lit(1.0)) if quality is not None else F.lit(1.0))
+    rows = materialize(docs.select("doc_id", "source", size.alias("size")))  # texts are read once and never shuffled
+    rows = rows.join(quality, "doc_id", "left") if quality is not None else rows
+    rows = rows.select("doc_id", "source", "size", key.alias("key"))
 
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = source_targets(sizes, budget, weights, cap)
@@ -83,17 +84,15 @@ def mix(docs: DataFrame, quality: Column | None = None, *, budget: float = 1.5,
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-def label_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """doc_id, source, text and a weight: ``good`` for documents labelled 1, ``bad`` for 0, 1 for the others. Repeated labels: the largest."""
+def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+    """doc_id and weight: ``good`` for documents labelled 1, ``bad`` for 0, 1 for other labels. Repeated labels: the largest."""
     q = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    d = docs.select("doc_id", "source", "text")
-    weight = F.when(F.col("label") == 1, good).when(F.col("label") == 0, bad).otherwise(1.0)
-    return d.join(q, "doc_id", "left").select("doc_id", "source", "text", weight.alias("weight"))
+    return q.select("doc_id", F.when(F.col("label") == 1, good).when(F.col("label") == 0, bad).otherwise(1.0).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, once or twice)."""
-    taken = mix(label_quality(docs, labels), F.col("weight"))
+    taken = mix(docs, label_quality(labels))
     times = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
     size = F.regexp_count("text", F.lit(WORD)).cast("bigint")
     t = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times")
@@ -102,8 +101,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = label_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mix(docs, F.col("weight")).drop("source")
+    return mix(table(spark, sf_dir, "documents"), label_quality(table(spark, sf_dir, "labels"))).drop("source")
 
 
 OP2_SQL = r"""
