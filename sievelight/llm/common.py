@@ -52,3 +52,13 @@ def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for n in names[1:]:
         cond = cond & left[n].eqNullSafe(right[n])
     return cond
+
+
+def open_folder(uri: str):
+    """A pyarrow file system and the path in it, for a folder that executors reach by themselves."""
+    from pyarrow import fs
+
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    path = uri.removeprefix("file:")
+    return fs.LocalFileSystem(), "/" + path.lstrip("/")

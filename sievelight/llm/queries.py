@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op6_warc": warc.op6_warc,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
