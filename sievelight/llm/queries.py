@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, warc
+from . import langid, mixing, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
+    "op1_top_k": topk.op1_top_k,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_warc": warc.op6_warc,
+    "op8_token_counts": tokens.op8_token_counts,
+    "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
+    "op1_top_k": topk.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
 }

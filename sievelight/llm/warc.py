@@ -199,8 +199,8 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     return h.select(*headers.columns, *[F.when(other, F.col(f"first.{k}")).alias(f"refers_{to}") for k, to in (("file", "file"), ("offset", "offset"), ("page_id", "page"), ("uri", "uri"))])
 
 
-def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int = 64 << 20) -> DataFrame:
-    """Write the deduplicated archives; returns (file, records)."""
+def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int = 64 << 20, parts: int = 1) -> DataFrame:
+    """Write the deduplicated archives in ``parts`` tasks; returns (file, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(captures)
@@ -228,7 +228,7 @@ def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int =
         yield to_batch(list(counts.items()), "file string, records bigint")
 
     # a file of captures is of bounded size, and its records are copied in order
-    return decided.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, "file string, records bigint")
+    return decided.repartition(max(1, parts), "file").sortWithinPartitions("file", "offset").mapInArrow(run, "file string, records bigint")
 
 
 READ = "record_id string, page_id bigint, record_type string, digest string, length bigint, refers_id string"
@@ -254,14 +254,15 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                         rows.append((h["warc-record-id"], page, h["warc-type"], said, None, h["warc-refers-to"]))
                 yield to_batch(rows, READ)
 
-    return files.select("file").repartition("file").mapInArrow(run, READ)
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, READ)
 
 
 def deduplicated_archives(pages: DataFrame, *, min_bytes: int = 0, limit: int = 64 << 20) -> tuple[str, DataFrame]:
     """Write ``pages`` as deduplicated archives; returns their folder and (file, records)."""
     folder = shared_dir(pages.sparkSession)
     headers = materialize(write_captures(pages, f"{folder}/captures", limit))
-    return f"{folder}/archives", materialize(write_resolved(resolve(headers, min_bytes), f"{folder}/captures", f"{folder}/archives", limit))
+    parts = headers.agg(F.count_distinct("file")).first()[0]
+    return f"{folder}/archives", materialize(write_resolved(resolve(headers, min_bytes), f"{folder}/captures", f"{folder}/archives", limit, parts))
 
 
 def revisits(pages: DataFrame, *, min_bytes: int = 0, limit: int = 64 << 20) -> DataFrame:
