@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash, tokens, topk, toxicity, warc
+from . import langid, lines, media, mixing, segmentation, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_segmentation": segmentation.op5_segmentation,
     "op6_warc": warc.op6_warc,
+    "op7_media": media.op7_media,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
