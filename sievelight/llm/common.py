@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words of a text: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Rows hold whole texts, so Arrow batches are kept to ``TEXT_ROWS`` of them from here on."""
+    if int(spark.conf.get(BATCH, "10000")) > TEXT_ROWS:
+        spark.conf.set(BATCH, str(TEXT_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
