@@ -32,30 +32,33 @@ from .tokens import MODEL, SPACE, model_bytes
 
 #: Segments of texts that are sampled together.
 TOGETHER = 200_000
+#: Parts up to this length share states; their masses stay far from the ends of the range of doubles.
+SHARED = 40
 NONE = -math.inf
 
 
 class Segments(dict):
-    """segment -> number of its lattice, built when asked."""
+    """segment -> the first states of its lattices, as packed integers, built when asked."""
 
     def __init__(self, owner: Lattices):
         super().__init__()
         self.owner = owner
 
-    def __missing__(self, segment: str) -> int:
-        found = self[segment] = self.owner.build(segment)
+    def __missing__(self, segment: str) -> bytes:
+        found = self[segment] = array("i", map(self.owner.state, self.owner.cut(segment))).tobytes()
         return found
 
 
 class Lattices:
-    """Segment lattices under one model; emptied between texts once ``cached`` are kept.
+    """Lattices under one model; emptied between texts once ``cached`` states are kept.
 
     Weights are the model's piece scores for unigram models. Byte-pair models order
     pieces only, so a piece of rank r has weight 1 / (r + 10). ``power`` sharpens (> 1)
     or flattens (< 1) the weights. A character that is no piece stands as its bytes.
+    Segments are cut where no piece holds both neighbours: every path passes there.
     """
 
-    def __init__(self, model: bytes, power: float, cached: int = 150_000):
+    def __init__(self, model: bytes, power: float, cached: int = 1_200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -66,12 +69,16 @@ class Lattices:
         bpe = proto.trainer_spec.model_type == 2
         normal = sorted((i for i, p in enumerate(proto.pieces) if p.type == 1), key=lambda i: -proto.pieces[i].score)
         self.weight = {proto.pieces[i].piece: (i, math.exp(power * (-math.log(rank + 10) if bpe else proto.pieces[i].score))) for rank, i in enumerate(normal)}
+        #: Pieces, and None for what only begins one.
+        self.known: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.weight for i in range(1, len(p))} | self.weight
+        self.pairs = {p[i : i + 2] for p in self.weight for i in range(len(p) - 1)}
         self.byte = [i for i, p in enumerate(proto.pieces) if p.type == 6]
         self.byte_weight = math.exp(-power * math.log(len(normal) + 10))
-        self.longest = max(map(len, self.weight), default=1)
         self.raw = [p.piece.encode() for p in proto.pieces]
         for value, i in enumerate(self.byte):
             self.raw[i] = bytes([value])
+        self.size = np.array(list(map(len, self.raw)), dtype=np.int64)
+        self.blob, self.begins = np.frombuffer(b"".join(self.raw), dtype=np.uint8), np.cumsum(self.size) - self.size
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.weight)
         self.split = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if any("\n" in p for p in self.weight) else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.cached = cached
@@ -79,55 +86,100 @@ class Lattices:
 
     def clear(self) -> None:
         self.ids = Segments(self)
-        self.first_state = array("i")  # of a lattice
-        self.start = array("i")  # of a state's options
-        self.upto, self.log = array("d"), array("d")  # of an option: probability up to it, and its own logarithm
-        self.piece, self.next, self.begin = array("i"), array("i"), array("i")  # piece, state after it (-1: end), its state's first option
-
-    def add(self, options: list[tuple[float, int, int]], total: float) -> None:
-        begin, upto = len(self.piece), 0.0
-        self.start.append(begin)
-        options.sort(reverse=True)
-        for w, piece, after in options:
-            upto += w / total
-            self.upto.append(upto)
-            self.log.append(math.log(w / total))
-            self.piece.append(piece)
-            self.next.append(after)
-            self.begin.append(begin)
-        self.upto[-1] = 2.0  # above any draw
+        self.suffixes: dict[str, int] = {}  # what is left of a part -> its state
+        self.mass = array("d")  # of a state's completions
+        self.states = self.options = 0
+        # of new states the number of options, and of new options weight, piece and the state after it (-1: end)
+        self.new_count, self.new_weight, self.new_piece, self.new_next = array("i"), array("d"), array("i"), array("i")
+        #: Of a state its first option; of an option the probability up to it and its own logarithm, piece, next state and its state's first option.
+        self.store = {k: np.zeros(1024, t) for k, t in (("start", np.int32), ("upto", np.float64), ("log", np.float64), ("piece", np.int32), ("next", np.int32), ("begin", np.int32))}
+
+    def full(self) -> bool:
+        return max(self.states, len(self.ids)) > self.cached
+
+    def cut(self, s: str) -> list[str]:
+        out, at, pairs = [], 0, self.pairs
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in pairs:
+                out.append(s[at:i])
+                at = i
+        out.append(s[at:])
+        return out
+
+    def state(self, part: str) -> int:
+        return found if (found := self.suffixes.get(part)) is not None else self.build(part)
 
     def build(self, s: str) -> int:
-        weight, longest, n = self.weight, self.longest, len(s)
-        mass, options, base = [0.0] * n + [1.0], [()] * n, len(self.start)
-        tail: list[int] = []  # bytes within characters, as states after those of positions
-        for i in range(n - 1, -1, -1):
-            found, total = [], 0.0
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (hit := weight.get(s[i:j])) is not None:
+        """The first state of a lattice. States are shared by all parts that end alike; long parts keep theirs to themselves."""
+        known, suffixes, masses, n = self.known, self.suffixes, self.mass, len(s)
+        state, mass = [-1] * (n + 1), [0.0] * n + [1.0]
+        shared, begin = n <= SHARED, n
+        while shared and begin and (found := suffixes.get(s[begin - 1 :])) is not None:
+            begin -= 1
+            state[begin], mass[begin] = found, masses[found]
+        weight, piece, after, counts = self.new_weight, self.new_piece, self.new_next, self.new_count
+        for i in range(begin - 1, -1, -1):
+            to, raw = state[i + 1], b""
+            if known.get(s[i]):
+                total, before = 0.0, len(weight)
+            else:
+                raw = s[i].encode("utf-8", "surrogatepass")
+                for b in raw[:0:-1]:  # bytes within the character
+                    weight.append(1.0)
+                    piece.append(self.byte[b])
+                    after.append(to)
+                    counts.append(1)
+                    masses.append(0.0)
+                    to, self.states = self.states, self.states + 1
+                before = len(weight)
+                total = self.byte_weight ** len(raw) * mass[i + 1]
+                weight.append(total)
+                piece.append(self.byte[raw[0]])
+                after.append(to)
+            for j in range(i + 1, n + 1):
+                if hit := known.get(s[i:j], 0):
                     w = hit[1] * mass[j]
-                    found.append((w, hit[0], base + j if j < n else -1))
+                    weight.append(w)
+                    piece.append(hit[0])
+                    after.append(state[j])
                     total += w
-            if not found or s[i] not in weight:
-                raw = s[i].encode("utf-8", "surrogatepass")
-                w = self.byte_weight ** len(raw) * mass[i + 1]
-                after = base + i + 1 if i + 1 < n else -1
-                for b in raw[:0:-1]:
-                    tail.append((self.byte[b], after))
-                    after = base + n + len(tail) - 1
-                found.append((w, self.byte[raw[0]], after))
-                total += w
-            options[i], mass[i] = found, total
-            if not 1e-100 < total < 1e100:  # only ratios matter
-                for j in range(i, min(n, i + longest) + 1):
+                elif hit == 0:
+                    break
+            mass[i], state[i] = total, self.states
+            self.states += 1
+            counts.append(len(weight) - before)
+            masses.append(total)
+            if shared:
+                suffixes[s[i:]] = state[i]
+            elif not 1e-100 < total < 1e100:  # only ratios matter
+                for j in range(i, n + 1):
                     mass[j] /= total
-                options[i] = [(w / total, p, a) for w, p, a in found]
-        for i in range(n):
-            self.add(options[i], sum(o[0] for o in options[i]))
-        for piece, after in tail:
-            self.add([(1.0, piece, after)], 1.0)
-        self.first_state.append(base)
-        return len(self.first_state) - 1
+        return state[0]
+
+    def finish(self) -> dict[str, np.ndarray]:
+        """Put the new options in order of falling probability within their state, and return the whole store."""
+        k, m = len(self.new_count), len(self.new_weight)
+        if k:
+            count, w = np.array(self.new_count), np.array(self.new_weight)
+            state = np.repeat(np.arange(k), count)
+            start = np.cumsum(count) - count
+            p = w / np.repeat(np.add.reduceat(w, start), count)
+            order = np.argsort(state - p)
+            p = p[order]
+            total = np.cumsum(p)
+            upto = total - np.repeat(total[start] - p[start], count)
+            upto[start + count - 1] = 2.0  # above any draw
+            new = {"start": start + self.options, "upto": upto, "log": np.log(np.maximum(p, 1e-300)), "piece": np.array(self.new_piece)[order], "next": np.array(self.new_next)[order], "begin": np.repeat(start, count) + self.options}
+            for name, values in new.items():
+                at = self.states - k if name == "start" else self.options
+                have = self.store[name]
+                if at + len(values) > len(have):
+                    self.store[name] = np.resize(have, (at + len(values)) * 3 // 2)
+                self.store[name][at : at + len(values)] = values
+            self.options += m
+            for a in (self.new_count, self.new_weight, self.new_piece, self.new_next):
+                del a[:]
+        return self.store
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -135,10 +187,15 @@ class Lattices:
         shown = SPACE + text.replace(" ", SPACE)
         return [shown] if self.split is None else self.split.findall(shown)
 
-    def decode(self, pieces: list[int]) -> str:
-        """The text of a sequence of piece ids."""
-        joined = b"".join(map(self.raw.__getitem__, pieces)).decode("utf-8", "replace").replace(SPACE, " ")
-        return joined.removeprefix(" ")
+    def encode(self, text: str) -> np.ndarray:
+        """The first states of the lattices that a text passes through."""
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, self.segments(text))), dtype=np.int32)
+
+    def decode(self, pieces: np.ndarray) -> str:
+        """The text of a sequence of piece ids: the pieces' bytes, gathered at once."""
+        size = self.size[pieces]
+        at = np.arange(int(size.sum())) + np.repeat(self.begins[pieces] - (np.cumsum(size) - size), size)
+        return self.blob[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -161,10 +218,9 @@ class Sampler:
     """Draws for one batch of texts, while the lattices stay as they are."""
 
     def __init__(self, lattices: Lattices):
-        view = lambda a, kind: np.frombuffer(a, dtype=kind) if len(a) else np.zeros(0, kind)
-        self.first_state, self.start = view(lattices.first_state, np.int32), view(lattices.start, np.int32)
-        self.upto, self.log = view(lattices.upto, np.float64), view(lattices.log, np.float64)
-        self.next, self.piece, self.begin = view(lattices.next, np.int32), view(lattices.piece, np.int32), view(lattices.begin, np.int32)
+        store = lattices.finish()
+        self.start, self.upto, self.log = store["start"], store["upto"], store["log"]
+        self.next, self.piece, self.begin = store["next"], store["piece"], store["begin"]
 
     def walk(self, states: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state to its lattice's end: all options taken, in order, and their number per state."""
@@ -205,10 +261,9 @@ def sample_batch(lattices: Lattices, words: list[np.ndarray], seeds: list[int],
     """The k paths of largest value for each text, and the largest value left over."""
     s = Sampler(lattices)
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    every = np.concatenate(words) if len(words) else np.zeros(0, np.int32)
-    first = s.first_state[every] if len(every) else np.zeros(0, np.int32)
+    first = np.concatenate(words) if len(words) else np.zeros(0, np.int32)
     ends = np.cumsum(sizes)
-    place = np.arange(len(every)) - np.repeat(ends - sizes, sizes)
+    place = np.arange(len(first)) - np.repeat(ends - sizes, sizes)
     seed = np.array(seeds, dtype=np.uint64)
     options, n = s.walk(first, keys(np.repeat(seed, sizes), 0, place + 1))
     total = np.r_[0, np.cumsum(n)]
@@ -216,7 +271,8 @@ def sample_batch(lattices: Lattices, words: list[np.ndarray], seeds: list[int],
     logs = s.log[options]
     before = np.zeros(len(logs))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        np.cumsum(logs[a : b - 1], out=before[a + 1 : b])  # each text by itself, so that its neighbours don't matter
+        if b - a > 1:  # each text by itself, so that its neighbours don't matter
+            np.cumsum(logs[a : b - 1], out=before[a + 1 : b])
     of_text = np.repeat(np.arange(len(words)), np.diff(cuts))
     value = -np.log(-np.log(uniform(keys(seed, 0, 0))))
     step = np.arange(len(options)) - cuts[of_text]
@@ -263,7 +319,7 @@ def sample_batch(lattices: Lattices, words: list[np.ndarray], seeds: list[int],
             values = np.full(len(line), NONE)
             values[at + 1 :] = s.passed_by(log[at + 1 :], run[at + 1 : -1], bound, keys(seeds[t], 1000 + j, np.arange(at + 1, len(line)) + 1))
             gone = (*barred, taken)
-            if s.begin[taken] + len(gone) < len(s.upto) and len(gone) < option_count(s, taken):
+            if len(gone) < option_count(s, taken):
                 left = math.log(max(1e-300, 1 - float(np.exp(s.log[list(gone)]).sum())))
                 phi = float(run[at]) + left
                 values[at] = phi - math.log(math.exp(min(700.0, phi - bound)) - math.log(float(uniform(keys(seeds[t], 1000 + j, at + 1))[0])))
@@ -316,28 +372,27 @@ def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: flo
             size = 0
             for doc, value in zip(ids, texts, strict=True):
                 text = value.as_py() or ""
-                parts = own.segments(text)
-                held.append((doc, text, np.fromiter(map(own.ids.__getitem__, parts), dtype=np.int32, count=len(parts))))
-                size += len(parts)
+                held.append((doc, text, own.encode(text)))
+                size += len(held[-1][2])
                 if size >= TOGETHER:
                     yield sampled(own, held)
                     held, size = [], 0
-                    if len(own.ids) > own.cached:
+                    if own.full():
                         own.clear()
             if held:
                 yield sampled(own, held)
-            if len(own.ids) > own.cached:
+            if own.full():
                 own.clear()
 
     def sampled(own: Lattices, held: list[tuple[int | None, str, np.ndarray]]) -> pa.RecordBatch:
         seeds = [xxhash.xxh3_64_intdigest(f"{seed}:{doc}") for doc, _, _ in held]
         out: list[tuple] = []
-        for (doc, text, _), (paths, left) in zip(held, sample_batch(own, [w for _, _, w in held], seeds, k), strict=True):
-            piece_of, log_of = np.frombuffer(own.piece, np.int32) if len(own.piece) else np.zeros(0, np.int32), np.frombuffer(own.log, np.float64) if len(own.log) else np.zeros(0)
+        drawn = sample_batch(own, [w for _, _, w in held], seeds, k)
+        piece_of, log_of = own.store["piece"], own.store["log"]
+        for (doc, text, _), (paths, left) in zip(held, drawn, strict=True):
             for i, p in enumerate(paths):
                 got, log = piece_of[p.options], float(log_of[p.options].sum())
-                listed = got.tolist()
-                out.append((doc, i + 1, len(got), log, p.value, log_inclusion(log, left), xxhash.xxh3_64_hexdigest(got.tobytes()), own.decode(listed) == text.replace(SPACE, " "), *([listed] if pieces else [])))
+                out.append((doc, i + 1, len(got), log, p.value, log_inclusion(log, left), xxhash.xxh3_64_hexdigest(got.tobytes()), own.decode(got) == text.replace(SPACE, " "), *([got.tolist()] if pieces else [])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS + ([pa.list_(pa.int32())] if pieces else []), strict=True)], [x.split()[0] for x in SAMPLES.split(", ")] + (["pieces"] if pieces else []))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SAMPLES + (", pieces array<int>" if pieces else ""))
