@@ -185,6 +185,7 @@ def text_column(fn, kind: T.DataType = T.StringType()):
 slugify_col = text_column(slugify)
 normalize_markdown_col = text_column(normalize_markdown)
 search_projection_col = text_column(search_projection)
+collision_key_col = text_column(collision_key)
 nfc_col = text_column(lambda s: unicodedata.normalize("NFC", s))
 
 

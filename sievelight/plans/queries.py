@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
-from ..operators import chunking, evaluation, evidence, history, ledger, lifecycle, search
+from ..operators import chunking, evaluation, evidence, history, ledger, lifecycle, search, units
 from ..sources import scan, stores
+from . import fixture
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -297,8 +298,8 @@ def truncated_vectors(spark, sf_dir):
 def chunks(spark, sf_dir):
     """Chunks of all documents, with spans in bytes."""
     d = load(spark, sf_dir, "documents")
-    units = d.select(hashing.content_hash(F.col("text").cast("binary")).alias("raw_hash"), F.lit("p").alias("tool_profile_hash"), F.lit(1).cast("bigint").alias("gen"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("unit_key"), "text")
-    return chunking.chunk(units).select("chunk_id", "unit_key", "byte_start", "byte_end", "text_hash")
+    rows = d.select(hashing.content_hash(F.col("text").cast("binary")).alias("raw_hash"), F.lit("p").alias("tool_profile_hash"), F.lit(1).cast("bigint").alias("gen"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("unit_key"), "text")
+    return chunking.chunk(rows).select("chunk_id", "unit_key", "byte_start", "byte_end", "text_hash")
 
 
 @query()
@@ -770,3 +771,81 @@ def retargeted(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("pointer_id"), F.sha2("text", 256).alias("text_hash"))
     c = d.where("pointer_id % 3 <> 0").select("text_hash", F.concat(F.lit("k"), F.col("pointer_id").cast("string")).alias("chunk_id"))
     return evidence.retarget(d, c, 4).drop("text_hash")
+
+
+# --- units, queues, coverage --------------------------------------------------------
+
+
+@query()
+def unit_mapping(spark, sf_dir):
+    """Turns of a conversation against those of a later version, by fingerprint and order."""
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("unit"), F.sha2("text", 256).alias("fingerprint"))
+    edited = F.when(F.col("ord") % 3 == 1, F.concat("fingerprint", F.lit("x"))).otherwise(F.col("fingerprint"))
+    later = c.where("ord > 0 or doc % 2 = 0").withColumn("fingerprint", edited)
+    return units.map_units(c, later)
+
+
+@query("""WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE conv_id % 4 WHEN 1 THEN 'not_disjoint' WHEN 2 THEN 'not_complete' WHEN 3 THEN 'updated_unasked' END AS fault FROM c""")
+def response_checks(spark, sf_dir):
+    """U4: what an adapter returned, held against what was asked."""
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("units"))
+    none, k = F.array().cast("array<bigint>"), F.col("conv_id") % 4
+    r = c.select("conv_id", F.when(k == 2, F.filter("units", lambda x: x > 0)).otherwise(F.col("units")).alias("updated"), F.when(k == 1, F.slice("units", 1, 1)).otherwise(none).alias("added"), none.alias("unchanged"), none.alias("failed"), none.alias("removed"), "units", F.when(k == 3, none).otherwise(F.col("units")).alias("asked_changed"), F.when(k == 1, F.slice("units", 1, 1)).otherwise(none).alias("asked_added"), none.alias("asked_removed"))
+    return units.response_faults(r).select("conv_id", "fault")
+
+
+@query("SELECT p_partkey, replace(p_brand, '#', '##') || CASE WHEN k = 1 THEN '' ELSE '#' || k END AS key FROM (SELECT *, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS k FROM part)")
+def sheet_keys(spark, sf_dir):
+    """Names that repeat get a number, a # in them is doubled."""
+    return units.duplicate_suffix(load(spark, sf_dir, "part"), ["p_size"], "p_brand", "p_partkey").select("p_partkey", "key")
+
+
+@query("SELECT o_orderkey AS instance_id FROM orders o WHERE o_orderkey % 2 = 0 AND (SELECT bool_and(l_linestatus = 'F') FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+def promotions(spark, sf_dir):
+    """Online instances all of whose units are done."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance_id"), (F.col("o_orderkey") % 2 == 0).alias("online"))
+    u = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.when(F.col("l_linestatus") == "F", "done").otherwise("failed").alias("state"))
+    return units.promotable(o, u).select("instance_id")
+
+
+@query(f"SELECT event_id AS request_id FROM events WHERE event_id % 3 = 0 AND {NOW} - floor(epoch(ts))::BIGINT > 604800")
+def stalled_requests(spark, sf_dir):
+    """Reservations that were never submitted."""
+    r = load(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 3).alias("state"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
+    return units.stalled(r, F.lit(NOW), 604_800).select("request_id")
+
+
+@query(f"SELECT event_id AS request_id FROM events WHERE event_id % 3 = 1 AND floor(epoch(ts))::BIGINT + 86400 <= {NOW - 604_800}")
+def pollable_requests(spark, sf_dir):
+    """Submitted requests whose next poll is due."""
+    r = load(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 3).alias("state"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 86_400).alias("next_poll_at"))
+    return units.pollable(r, F.lit(NOW - 604_800)).select("request_id")
+
+
+@query("SELECT label, bool_and(vec_id % 2 = 0 OR label < 9) AS covered, count(*) AS n FROM embeddings GROUP BY label")
+def history_coverage(spark, sf_dir):
+    """A group is covered if every operation in it is."""
+    e = load(spark, sf_dir, "embeddings")
+    return e.groupBy("label").agg(F.bool_and((F.col("vec_id") % 2 == 0) | (F.col("label") < 9)).alias("covered"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 600::BIGINT AS chunks, 600::BIGINT AS ids, true AS ready")
+def scale_fixture(spark, sf_dir):
+    """A generated corpus, chunked and counted."""
+    return fixture.attest(chunking.chunk(fixture.scale_units(spark, 4, 10, 15)), 600)
+
+
+@query("SELECT s_suppkey, lower(s_name) AS key, count(*) OVER (PARTITION BY lower(s_name)) AS holders FROM supplier")
+def name_collisions(spark, sf_dir):
+    """names that a case-folding file system cannot tell apart."""
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", text.collision_key_col("s_name").alias("key"))
+    return s.withColumn("holders", F.count(F.lit(1)).over(W.partitionBy("key")))
+
+
+@query("SELECT source AS scope_id, count(*) AS n FROM documents WHERE source NOT IN ('src9') GROUP BY source")
+def projected_scopes(spark, sf_dir):
+    """Only scopes with a projection marker answer."""
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("scope_id")).where("scope_id <> 'src9'")
+    markers = d.select("scope_id").distinct()
+    return d.join(units.projected_or_fail(markers, d), "scope_id").groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
