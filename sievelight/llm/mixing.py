@@ -41,15 +41,16 @@ def source_targets(sizes: DataFrame, budget: float, weights: tuple[int, ...], ca
     return s.select("source", "source_size", "docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: str = "mix", bucket_docs: int = 4_000) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: str = "mix", bucket_docs: int = 4_000, whole: bool = False) -> DataFrame:
     """Words to take from every document so that sources reach their targets.
 
     ``docs`` has doc_id, source and text; ``quality`` has one row (doc_id, weight) per
     document with a weight other than 1, above zero. Returns doc_id, source, size, source_size, target
     and taken, one row per row of ``docs``; other columns are ignored, whatever their
     names. taken is size times the number of times the document is in the mix: whole
-    epochs, and once more for sampled documents. A document on the edge of the budget
-    is taken if that leaves the total nearer to the target.
+    epochs, and once more for sampled documents. The document on the edge of the
+    budget gives the words that are left of it; with ``whole`` it is taken whole or
+    not, whichever leaves the total nearer to the target.
 
     Null and empty texts have size 0 and take part with nothing. Null sources form a
     source of their own. Rows that repeat an id draw the same key and stay separate
@@ -79,8 +80,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.
     joined = rows.join(totals, null_safe(rows, totals, "source", "bucket")).drop(totals["source"]).drop(totals["bucket"])
     order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    sampled = start + F.col("size") / 2 <= F.col("part")
-    taken = F.col("size") * (F.col("epochs") + F.when(sampled & (F.col("part") > 0), 1).otherwise(0))
+    if whole:
+        extra = F.when((F.col("part") > 0) & (start + F.col("size") / 2 <= F.col("part")), F.col("size")).otherwise(0)
+    else:
+        extra = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("part") - start)))
+    taken = F.col("size") * F.col("epochs") + extra
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
@@ -92,7 +96,7 @@ def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, once or twice)."""
-    taken = mix(docs, label_quality(labels))
+    taken = mix(docs, label_quality(labels), whole=True)
     times = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
     size = F.regexp_count("text", F.lit(WORD)).cast("bigint")
     t = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times")
@@ -126,6 +130,6 @@ e AS (
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-  (size * (epochs + CASE WHEN start + size / 2.0 <= target - epochs * source_size AND target - epochs * source_size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * epochs + greatest(0, least(size, floor(target - epochs * source_size - start))))::BIGINT AS taken
 FROM e
 """

@@ -9,7 +9,9 @@ def make(spark, rows):
 
 def test_targets_and_epochs(spark):
     rows = [(i, s, "w " * (i % 7 + 1)) for i, s in enumerate(["a"] * 40 + ["b"] * 200 + [None] * 60)]
-    got = mixing.mix(make(spark, rows), bucket_docs=10).collect()
+    part = sum(r.taken for r in mixing.mix(make(spark, rows), bucket_docs=10).collect())
+    assert abs(part - 1.5 * sum(len(t.split()) for _, _, t in rows)) <= 3  # to a word for each source
+    got = mixing.mix(make(spark, rows), bucket_docs=10, whole=True).collect()
     assert len(got) == 300
     by = {}
     for r in got:
@@ -50,6 +52,6 @@ def test_mixed_documents_repeats_rows(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0)], "doc_id long, quality int")
     out = mixing.mixed_documents(docs, labels)
     assert out.columns == docs.columns
-    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, mixing.label_quality(labels)).collect()}
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, mixing.label_quality(labels), whole=True).collect()}
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in taken.items() if v}

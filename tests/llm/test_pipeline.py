@@ -22,7 +22,7 @@ def test_stages_take_effect(spark):
             assert set(kept[name]) == {r.component_id for r in named}
             assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == docs.count()
         elif name == "mixing":
-            taken = mixing.mix(before, mixing.label_quality(labels)).where("taken > 0").collect()
+            taken = mixing.mix(before, mixing.label_quality(labels), whole=True).where("taken > 0").collect()
             assert kept[name] == Counter({r.doc_id: r.taken // r.size for r in taken})
     out = corpus_pipeline.run(spark, SF).collect()
     assert all(r.decoded for r in out)
