@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Segments up to this length share what is known of their prefixes.
+SHARED = 40
 
 
 def model_bytes(model: str = MODEL) -> bytes:
@@ -47,14 +50,16 @@ class Tables(dict):
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        found = self[segment] = self.counter.segment_table(segment)
+        parts = self.counter.cut(segment)
+        found = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.counter.segment_table(segment)
+        self[segment] = found
         return found
 
 
 class PrefixCounter:
-    """Prefix counts under one model; ``cached`` segments (some 250 MB) and a quarter as many piece pairs are kept."""
+    """Prefix counts under one model; ``cached`` segments and prefixes (some 300 MB) and a quarter as many piece pairs are kept."""
 
-    def __init__(self, model: bytes, cached: int = 1_000_000):
+    def __init__(self, model: bytes, cached: int = 800_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -73,7 +78,9 @@ class PrefixCounter:
             self.split = None
         else:
             self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if "\n" in "".join(normal) else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self.pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.last: dict[str, str] = {}  # a prefix of a segment -> its last piece ("": bytes)
         self.cached, self.tables = cached, Tables(self, cached)
 
     def pair_fits(self, a: str, b: str) -> bool:
@@ -83,11 +90,21 @@ class PrefixCounter:
             known = self.fits[a, b] = self.bare.encode(a + b) == [self.ids[a], self.ids[b]]
         return known
 
+    def cut(self, s: str) -> list[str]:
+        """The parts of a segment between neighbours that no piece holds both, so that nothing merges across."""
+        pairs = self.pairs
+        at = [i for i, pair in enumerate(map(add, s, s[1:]), 1) if pair not in pairs]
+        return [s[i:j] for i, j in zip([0, *at], [*at, len(s)], strict=True)] if at else [s]
+
     def segment_table(self, s: str) -> bytes:
-        ids, fits, longest = self.ids, self.fits, self.longest
+        ids, fits, longest, known = self.ids, self.fits, self.longest, self.last
         count, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
-        out = bytearray(len(s))
-        for i in range(1, len(s) + 1):
+        begin, shared = 1, len(s) <= SHARED
+        while shared and begin <= len(s) and (piece := known.get(s[:begin])) is not None:
+            last[begin] = piece
+            count[begin] = count[begin - len(piece)] + 1 if piece else count[begin - 1] + len(s[begin - 1].encode())
+            begin += 1
+        for i in range(begin, len(s) + 1):
             for j in range(max(0, i - longest), i):
                 if (piece := s[j:i]) in ids:
                     if before := last[j]:
@@ -99,8 +116,15 @@ class PrefixCounter:
                     break
             else:  # no piece ends here: the character becomes bytes, and nothing merges with it
                 count[i] = count[i - 1] + len(s[i - 1].encode())
-            out[i - 1] = (count[i] - count[i - 1]) & 0xFF
-        return bytes(out)
+            if shared:
+                if len(known) >= self.cached:
+                    known.clear()
+                known[s[:i]] = last[i]
+        return bytes([(y - x) & 0xFF for x, y in zip(count, count[1:], strict=False)])
+
+    def forget(self) -> None:
+        self.tables.clear()
+        self.last.clear()
 
     def table(self, text: str) -> bytes:
         """Changes of the count, the first for the space that the model puts ahead."""
@@ -167,6 +191,7 @@ def token_counts(docs: DataFrame, *, model: str = MODEL, limit: int = 4096, stor
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             n_tokens = pa.array(total, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, n_tokens, pc.greater(n_tokens, limit), pa.array(within, pa.int64()), *([pa.array(tables, pa.binary())] if store else [])], [x.split()[0] for x in ddl.split(", ")])
+        own.forget()  # the worker lives on, for other tasks
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
 
