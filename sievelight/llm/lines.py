@@ -92,8 +92,8 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     while length <= longest:
         here = starts.where((F.col("n") >= length) & (F.col("n") < 2 * length))
         second = level.select("doc", "twin", F.col("i").alias("j"), F.col("r").alias("s"))
-        both = here.join(level, ["doc", "twin", "i"]).withColumn("j", F.col("i") + F.col("n") - length).join(second, ["doc", "twin", "j"]).drop("j")
-        first = both.groupBy("n", "r", "s").agg(F.min(F.expr(PLACE)).alias("first"))
+        both = materialize(here.join(level, ["doc", "twin", "i"]).withColumn("j", F.col("i") + F.col("n") - length).join(second, ["doc", "twin", "j"]).drop("j"))
+        first = materialize(both.groupBy("n", "r", "s").agg(F.min(F.expr(PLACE)).alias("first")))  # so that the join below can be split at a frequent run
         runs.append(both.join(first, ["n", "r", "s"]).where(F.expr(f"first < {PLACE}")).selectExpr("doc", "twin", "i", "n", "first.doc as first_doc", "first.twin as first_twin", "first.i as first_i"))
         length *= 2
         if length <= longest:
