@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ class Lattices:
     Segments are cut where no piece holds both neighbours: every path passes there.
     """
 
-    def __init__(self, model: bytes, power: float, cached: int = 1_200_000):
+    def __init__(self, model: bytes, power: float, cached: int = 1_800_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -98,13 +99,9 @@ class Lattices:
         return max(self.states, len(self.ids)) > self.cached
 
     def cut(self, s: str) -> list[str]:
-        out, at, pairs = [], 0, self.pairs
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in pairs:
-                out.append(s[at:i])
-                at = i
-        out.append(s[at:])
-        return out
+        pairs = self.pairs
+        at = [i for i, pair in enumerate(map(add, s, s[1:]), 1) if pair not in pairs]
+        return [s[i:j] for i, j in zip([0, *at], [*at, len(s)], strict=True)] if at else [s]
 
     def state(self, part: str) -> int:
         return found if (found := self.suffixes.get(part)) is not None else self.build(part)
@@ -118,33 +115,35 @@ class Lattices:
             begin -= 1
             state[begin], mass[begin] = found, masses[found]
         weight, piece, after, counts = self.new_weight, self.new_piece, self.new_next, self.new_count
+        get, add_weight, add_piece, add_after = known.get, weight.append, piece.append, after.append
         for i in range(begin - 1, -1, -1):
-            to, raw = state[i + 1], b""
-            if known.get(s[i]):
-                total, before = 0.0, len(weight)
+            to = state[i + 1]
+            if hit := get(s[i], 0):
+                before, first, of = len(weight), hit[0], hit[1]
             else:
                 raw = s[i].encode("utf-8", "surrogatepass")
                 for b in raw[:0:-1]:  # bytes within the character
-                    weight.append(1.0)
-                    piece.append(self.byte[b])
-                    after.append(to)
+                    add_weight(1.0)
+                    add_piece(self.byte[b])
+                    add_after(to)
                     counts.append(1)
                     masses.append(0.0)
                     to, self.states = self.states, self.states + 1
-                before = len(weight)
-                total = self.byte_weight ** len(raw) * mass[i + 1]
-                weight.append(total)
-                piece.append(self.byte[raw[0]])
-                after.append(to)
-            for j in range(i + 1, n + 1):
-                if hit := known.get(s[i:j], 0):
-                    w = hit[1] * mass[j]
-                    weight.append(w)
-                    piece.append(hit[0])
-                    after.append(state[j])
-                    total += w
-                elif hit == 0:
-                    break
+                before, first, of = len(weight), self.byte[raw[0]], self.byte_weight ** len(raw)
+            total = of * mass[i + 1]
+            add_weight(total)
+            add_piece(first)
+            add_after(to)
+            if hit != 0:
+                for j in range(i + 2, n + 1):
+                    if hit := get(s[i:j], 0):
+                        w = hit[1] * mass[j]
+                        add_weight(w)
+                        add_piece(hit[0])
+                        add_after(state[j])
+                        total += w
+                    elif hit == 0:
+                        break
             mass[i], state[i] = total, self.states
             self.states += 1
             counts.append(len(weight) - before)
@@ -211,7 +210,7 @@ def uniform(h: np.ndarray) -> np.ndarray:
 def keys(seed: np.ndarray | int, sample: int, place: np.ndarray | int) -> np.ndarray:
     """64-bit keys of draws: of a text's seed, a sample's number and a place in the text."""
     salt = np.uint64((sample + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
-    return (np.atleast_1d(np.asarray(seed, dtype=np.uint64)) ^ salt) + np.atleast_1d(np.asarray(place, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (np.array(seed, dtype=np.uint64, ndmin=1) ^ salt) + np.array(place, dtype=np.uint64, ndmin=1) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Sampler:
@@ -301,7 +300,7 @@ def sample_batch(lattices: Lattices, words: list[np.ndarray], seeds: list[int],
             word, after = int(best.words[at]), int(s.next[taken])
             start = ends[t] - sizes[t]
             rest = first[start + word + 1 : ends[t]]
-            states.append(np.r_[after, rest] if after >= 0 else rest)
+            states.append(np.concatenate(([after], rest)) if after >= 0 else rest)
             hashes.append(keys(seeds[t], j, place[start + word + (after < 0) : ends[t]] + 1))
             lengths.append(len(states[-1]))
             todo.append((t, best, at, bound, barred, taken, word, after))
@@ -311,11 +310,11 @@ def sample_batch(lattices: Lattices, words: list[np.ndarray], seeds: list[int],
         upto, w = np.r_[0, np.cumsum(m)], 0
         for (t, best, at, bound, barred, taken, word, after), size in zip(todo, lengths, strict=True):
             new = more[upto[w] : upto[w + size]]
-            line = np.r_[best.options[:at], np.int32(taken), new]
-            of_word = np.r_[best.words[: at + 1], np.repeat(np.arange(size) + word + (after < 0), m[w : w + size])]
+            line = np.concatenate((best.options[:at], [np.int32(taken)], new))
+            of_word = np.concatenate((best.words[: at + 1], np.repeat(np.arange(size) + word + (after < 0), m[w : w + size])))
             w += size
             log = s.log[line]
-            run = np.r_[0.0, np.cumsum(log)]
+            run = np.concatenate(([0.0], np.cumsum(log)))
             values = np.full(len(line), NONE)
             values[at + 1 :] = s.passed_by(log[at + 1 :], run[at + 1 : -1], bound, keys(seeds[t], 1000 + j, np.arange(at + 1, len(line)) + 1))
             gone = (*barred, taken)
@@ -383,6 +382,7 @@ def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: flo
                 yield sampled(own, held)
             if own.full():
                 own.clear()
+        own.clear()  # the worker lives on, for other tasks
 
     def sampled(own: Lattices, held: list[tuple[int | None, str, np.ndarray]]) -> pa.RecordBatch:
         seeds = [xxhash.xxh3_64_intdigest(f"{seed}:{doc}") for doc, _, _ in held]
