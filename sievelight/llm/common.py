@@ -66,3 +66,18 @@ def open_folder(uri: str):
         return fs.FileSystem.from_uri(uri)
     path = uri.removeprefix("file:")
     return fs.LocalFileSystem(), "/" + path.lstrip("/")
+
+
+_kept: dict[tuple, object] = {}
+
+
+def keep(key: tuple, make):
+    """In a Python worker: what ``make`` gave for ``key``, kept between tasks until another operator's task begins."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    _kept.clear()

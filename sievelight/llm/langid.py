@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, table, unit_interval
+from .common import drop_kept, fold, table, unit_interval
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are scored in one step; bounds the temporaries.
@@ -42,6 +42,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each run of four bytes occurs, counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for b in batches:
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
@@ -180,6 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_cells cells and symbols ** 3 rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         m = sent.value
         for b in batches:
             texts = b.column("text").to_pylist()

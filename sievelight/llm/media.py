@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialize, open_folder, shared_dir, table
+from .common import drop_kept, materialize, open_folder, shared_dir, table
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -96,6 +96,7 @@ def write_archives(rows: DataFrame, folder: str, limit: int = 64 << 20) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         fs, path = open_folder(folder)
         fs.create_dir(path, recursive=True)
         context = TaskContext.get()
@@ -255,6 +256,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     spark.dataSource.register(MediaArchives)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for b in batches:
             out: list[tuple] = []
             for name, media in zip(b.column("name").to_pylist(), b.column("media").to_pylist(), strict=True):

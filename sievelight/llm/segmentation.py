@@ -19,7 +19,6 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 from .tokens import MODEL, SPACE, model_bytes
 
 #: Segments of texts that are sampled together.
@@ -73,6 +72,18 @@ class Lattices:
         #: Pieces, and None for what only begins one.
         self.known: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.weight for i in range(1, len(p))} | self.weight
         self.pairs = {p[i : i + 2] for p in self.weight for i in range(len(p) - 1)}
+        self.longest = max(map(len, self.weight), default=1)
+        self.factor = np.zeros(len(proto.pieces))
+        for i, w in self.weight.values():
+            self.factor[i] = w
+        #: By length, hashes of what is or begins a piece, in order, and the pieces (-1: none).
+        self.prefixes = []
+        for size in range(1, self.longest + 1):
+            texts = [p for p in self.known if len(p) == size]
+            code = hashes(np.array(texts, dtype=f"<U{size}").view(np.uint32).reshape(-1, size))[:, -1]
+            order = np.argsort(code)
+            ids = np.array([self.known[t][0] if self.known[t] else -1 for t in texts], dtype=np.int32)
+            self.prefixes.append((code[order], ids[order]))
         self.byte = [i for i, p in enumerate(proto.pieces) if p.type == 6]
         self.byte_weight = math.exp(-power * math.log(len(normal) + 10))
         self.raw = [p.piece.encode() for p in proto.pieces]
@@ -88,12 +99,12 @@ class Lattices:
     def clear(self) -> None:
         self.ids = Segments(self)
         self.suffixes: dict[str, int] = {}  # what is left of a part -> its state
-        self.mass = array("d")  # of a state's completions
-        self.states = self.options = 0
-        # of new states the number of options, and of new options weight, piece and the state after it (-1: end)
-        self.new_count, self.new_weight, self.new_piece, self.new_next = array("i"), array("d"), array("i"), array("i")
-        #: Of a state its first option; of an option the probability up to it and its own logarithm, piece, next state and its state's first option.
-        self.store = {k: np.zeros(1024, t) for k, t in (("start", np.int32), ("upto", np.float64), ("log", np.float64), ("piece", np.int32), ("next", np.int32), ("begin", np.int32))}
+        self.states = self.options = self.finished = 0
+        self.new_text: list[str] = []  # new suffixes, their states and the states after one character (-1: end)
+        self.new_id, self.new_chain = array("i"), array("i")
+        self.new_options: list[tuple[int, float, int, int]] = []  # others: state, weight, piece, next state
+        #: Of a state its first option, its chain and the mass of its completions; of an option the probability up to it and its own logarithm, piece, next state and its state's first option.
+        self.store = {k: np.zeros(1024, t) for k, t in (("start", np.int32), ("chain", np.int32), ("mass", np.float64), ("upto", np.float64), ("log", np.float64), ("piece", np.int32), ("next", np.int32), ("begin", np.int32))}
 
     def full(self) -> bool:
         return max(self.states, len(self.ids)) > self.cached
@@ -104,82 +115,129 @@ class Lattices:
         return [s[i:j] for i, j in zip([0, *at], [*at, len(s)], strict=True)] if at else [s]
 
     def state(self, part: str) -> int:
-        return found if (found := self.suffixes.get(part)) is not None else self.build(part)
-
-    def build(self, s: str) -> int:
-        """The first state of a lattice. States are shared by all parts that end alike; long parts keep theirs to themselves."""
-        known, suffixes, masses, n = self.known, self.suffixes, self.mass, len(s)
-        state, mass = [-1] * (n + 1), [0.0] * n + [1.0]
-        shared, begin = n <= SHARED, n
-        while shared and begin and (found := suffixes.get(s[begin - 1 :])) is not None:
-            begin -= 1
-            state[begin], mass[begin] = found, masses[found]
-        weight, piece, after, counts = self.new_weight, self.new_piece, self.new_next, self.new_count
-        get, add_weight, add_piece, add_after = known.get, weight.append, piece.append, after.append
-        for i in range(begin - 1, -1, -1):
-            to = state[i + 1]
-            if hit := get(s[i], 0):
-                before, first, of = len(weight), hit[0], hit[1]
-            else:
-                raw = s[i].encode("utf-8", "surrogatepass")
-                for b in raw[:0:-1]:  # bytes within the character
-                    add_weight(1.0)
-                    add_piece(self.byte[b])
-                    add_after(to)
-                    counts.append(1)
-                    masses.append(0.0)
-                    to, self.states = self.states, self.states + 1
-                before, first, of = len(weight), self.byte[raw[0]], self.byte_weight ** len(raw)
-            total = of * mass[i + 1]
-            add_weight(total)
-            add_piece(first)
-            add_after(to)
-            if hit != 0:
-                for j in range(i + 2, n + 1):
-                    if hit := get(s[i:j], 0):
-                        w = hit[1] * mass[j]
-                        add_weight(w)
-                        add_piece(hit[0])
-                        add_after(state[j])
-                        total += w
-                    elif hit == 0:
-                        break
-            mass[i], state[i] = total, self.states
-            self.states += 1
-            counts.append(len(weight) - before)
-            masses.append(total)
-            if shared:
-                suffixes[s[i:]] = state[i]
-            elif not 1e-100 < total < 1e100:  # only ratios matter
+        """The first state of a part. Parts that end alike share states; long parts keep theirs to themselves."""
+        if (known := self.suffixes.get(part)) is not None:
+            return known
+        if len(part) > SHARED:
+            return self.build_alone(part)
+        get, add_text, add_id, add_chain, suffixes = self.suffixes.get, self.new_text.append, self.new_id.append, self.new_chain.append, self.suffixes
+        first = state = self.states
+        while part and (known := get(part)) is None:
+            suffixes[part] = state
+            add_text(part)
+            add_id(state)
+            state += 1
+            add_chain(state)
+            part = part[1:]
+        self.new_chain[-1] = known if part else -1
+        self.states = state
+        return first
+
+    def build_alone(self, s: str) -> int:
+        """States of a long part, whose masses are scaled on the way."""
+        n, base = len(s), self.states
+        mass, last = [0.0] * n + [1.0], base + n - 1  # the state of position i is last - i
+        self.states += n
+        for i in range(n - 1, -1, -1):
+            options = []
+            if self.known.get(s[i]) is None:
+                options.append(self.as_bytes(s[i], last - i - 1 if i + 1 < n else -1, mass[i + 1]))
+            for j in range(i + 1, n + 1):
+                if hit := self.known.get(s[i:j], 0):
+                    options.append((hit[1] * mass[j], hit[0], last - j if j < n else -1))
+                elif hit == 0:
+                    break
+            mass[i] = sum(o[0] for o in options)
+            self.new_options += [(last - i, *o) for o in options]
+            if not 1e-100 < mass[i] < 1e100:  # only ratios matter
+                scale = mass[i]
                 for j in range(i, n + 1):
-                    mass[j] /= total
-        return state[0]
+                    mass[j] /= scale
+        return last
+
+    def as_bytes(self, c: str, after: int, mass: float) -> tuple[float, int, int]:
+        """Weight, piece and next state of a character that stands as its bytes; makes states for those within."""
+        raw = c.encode("utf-8", "surrogatepass")
+        for b in raw[:0:-1]:
+            self.new_options.append((self.states, 1.0, self.byte[b], after))
+            after, self.states = self.states, self.states + 1
+        return self.byte_weight ** len(raw) * mass, self.byte[raw[0]], after
 
     def finish(self) -> dict[str, np.ndarray]:
-        """Put the new options in order of falling probability within their state, and return the whole store."""
-        k, m = len(self.new_count), len(self.new_weight)
-        if k:
-            count, w = np.array(self.new_count), np.array(self.new_weight)
-            state = np.repeat(np.arange(k), count)
-            start = np.cumsum(count) - count
-            p = w / np.repeat(np.add.reduceat(w, start), count)
-            order = np.argsort(state - p)
-            p = p[order]
-            total = np.cumsum(p)
-            upto = total - np.repeat(total[start] - p[start], count)
-            upto[start + count - 1] = 2.0  # above any draw
-            new = {"start": start + self.options, "upto": upto, "log": np.log(np.maximum(p, 1e-300)), "piece": np.array(self.new_piece)[order], "next": np.array(self.new_next)[order], "begin": np.repeat(start, count) + self.options}
-            for name, values in new.items():
-                at = self.states - k if name == "start" else self.options
-                have = self.store[name]
-                if at + len(values) > len(have):
-                    self.store[name] = np.resize(have, (at + len(values)) * 3 // 2)
-                self.store[name][at : at + len(values)] = values
-            self.options += m
-            for a in (self.new_count, self.new_weight, self.new_piece, self.new_next):
-                del a[:]
+        """Give the new states their options, in order of falling probability, and return the whole store."""
+        if not self.new_id and not self.new_options:
+            return self.store
+        old = self.finished
+        state = np.array(self.new_id, dtype=np.int64)
+        self.grow("chain", self.states)
+        self.store["chain"][state] = np.array(self.new_chain, dtype=np.int32)
+        chain = self.store["chain"]
+        found: list[tuple[np.ndarray, ...]] = []
+        bare = np.zeros(0, np.int64)
+        if len(state):
+            code = hashes(np.array(self.new_text, dtype=f"<U{self.longest}").view(np.uint32).reshape(len(state), self.longest))
+            rows, to = np.arange(len(state)), chain[state]
+            for size, (table, ids) in enumerate(self.prefixes, 1):
+                at = np.minimum(np.searchsorted(table, code[rows, size - 1]), len(table) - 1)
+                known = table[at] == code[rows, size - 1]
+                piece = ids[at]
+                hit = known & (piece >= 0)
+                found.append((rows[hit], piece[hit], to[hit]))
+                if size == 1:
+                    bare = rows[~hit]
+                on = known & (to >= 0)
+                rows, to = rows[on], chain[to[on]]
+                if not len(rows):
+                    break
+        row, piece, to = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        factor, after = self.factor[piece], to.copy()
+        extra = [(r, *self.as_bytes(self.new_text[r][0], int(chain[state[r]]), 1.0), int(chain[state[r]])) for r in bare.tolist()]
+        if extra:
+            r, f, b, nx, t = map(np.array, zip(*extra, strict=True))
+            row, piece, to, factor, after = (np.concatenate(x) for x in ((row, r), (piece, b), (to, t), (factor, f), (after, nx)))
+        # masses, from short suffixes to long ones; the end has mass 1
+        self.grow("mass", self.states + 1)
+        mass = self.store["mass"]
+        mass[-1] = 1.0
+        length = np.array(list(map(len, self.new_text)), dtype=np.int64)[row] if len(row) else row
+        order = np.lexsort((row, length))
+        row, piece, to, factor, after, length = (x[order] for x in (row, piece, to, factor, after, length))
+        weight = np.empty(len(row))
+        levels = np.flatnonzero(np.r_[True, np.diff(length) > 0]) if len(row) else []
+        for a, b in zip(levels, [*levels[1:], len(row)][: len(levels)], strict=True):
+            weight[a:b] = factor[a:b] * mass[to[a:b]]
+            heads = np.flatnonzero(np.r_[True, np.diff(row[a:b]) > 0])
+            mass[state[row[a:b][heads]]] = np.add.reduceat(weight[a:b], heads)
+        of = state[row] if len(row) else row
+        if self.new_options:
+            o, w, p, nx = map(np.array, zip(*self.new_options, strict=True))
+            of, weight, piece, after = (np.concatenate(x) for x in ((of, o), (weight, w), (piece, p), (after, nx)))
+        of = of - old
+        count = np.bincount(of, minlength=self.states - old)
+        total = np.bincount(of, weights=weight, minlength=self.states - old)
+        p = weight / total[of]
+        order = np.argsort(of - p)
+        p, start = p[order], np.cumsum(count) - count
+        run = np.cumsum(p)
+        upto = run - np.repeat(run[start] - p[start], count)
+        upto[start + count - 1] = 2.0  # above any draw
+        new = {"upto": upto, "log": np.log(np.maximum(p, 1e-300)), "piece": piece[order], "next": after[order], "begin": np.repeat(start, count) + self.options}
+        self.grow("start", self.states)
+        self.store["start"][old : self.states] = start + self.options
+        for name, values in new.items():
+            self.grow(name, self.options + len(values))
+            self.store[name][self.options : self.options + len(values)] = values
+        self.options += len(p)
+        self.finished = self.states
+        self.new_text.clear()
+        self.new_options.clear()
+        del self.new_id[:], self.new_chain[:]
         return self.store
 
+    def grow(self, name: str, size: int) -> None:
+        if size > len(self.store[name]):
+            self.store[name] = np.resize(self.store[name], size * 3 // 2)
+
     def segments(self, text: str) -> list[str]:
         if not text:
             return []
@@ -197,6 +255,17 @@ class Lattices:
         return self.blob[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
+def hashes(codes: np.ndarray) -> np.ndarray:
+    """Of every row of characters the 64-bit hashes of its prefixes."""
+    out = np.empty(codes.shape, dtype=np.uint64)
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for i in range(codes.shape[1]):
+        h = (h + codes[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out[:, i] = h
+    return out
+
+
 def uniform(h: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys: the finalizer of SplitMix64."""
     z = h ^ (h >> np.uint64(30))
@@ -334,9 +403,8 @@ def option_count(s: Sampler, option: int) -> int:
     return n
 
 
-@lru_cache(maxsize=2)
 def lattices_of(model: bytes, power: float) -> Lattices:
-    return Lattices(model, power)
+    return keep(("lattices", model, power), lambda: Lattices(model, power))
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -382,7 +450,6 @@ def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: flo
                 yield sampled(own, held)
             if own.full():
                 own.clear()
-        own.clear()  # the worker lives on, for other tasks
 
     def sampled(own: Lattices, held: list[tuple[int | None, str, np.ndarray]]) -> pa.RecordBatch:
         seeds = [xxhash.xxh3_64_intdigest(f"{seed}:{doc}") for doc, _, _ in held]

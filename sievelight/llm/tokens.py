@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -122,10 +121,6 @@ class PrefixCounter:
                 known[s[:i]] = last[i]
         return bytes([(y - x) & 0xFF for x, y in zip(count, count[1:], strict=False)])
 
-    def forget(self) -> None:
-        self.tables.clear()
-        self.last.clear()
-
     def table(self, text: str) -> bytes:
         """Changes of the count, the first for the space that the model puts ahead."""
         if not text:
@@ -136,9 +131,8 @@ class PrefixCounter:
         return b"".join(map(self.tables.__getitem__, self.split.findall(shown)))
 
 
-@lru_cache(maxsize=2)
 def counter(model: bytes) -> PrefixCounter:
-    return PrefixCounter(model)
+    return keep(("prefix counter", model), lambda: PrefixCounter(model))
 
 
 def counts(changes: bytes) -> np.ndarray:
@@ -191,7 +185,6 @@ def token_counts(docs: DataFrame, *, model: str = MODEL, limit: int = 4096, stor
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             n_tokens = pa.array(total, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, n_tokens, pc.greater(n_tokens, limit), pa.array(within, pa.int64()), *([pa.array(tables, pa.binary())] if store else [])], [x.split()[0] for x in ddl.split(", ")])
-        own.forget()  # the worker lives on, for other tasks
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import drop_kept, materialize, table
 
 #: Components beyond this take no part, so that products fit a long.
 LIMIT = 1 << 27
@@ -93,6 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
     p_lift = lift(p)
 
     def assign(batches):
+        drop_kept()
         for b in batches:
             v = matrix(b.column("v"), dim)
             far = distances(v, lift(v), p, p_lift)
@@ -108,6 +109,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
     slack = 1e-9 * (1 + np.sqrt(m2))
 
     def bound(batches):
+        drop_kept()
         for b in batches:
             v = matrix(b.column("v"), dim)
             far = distances(v, np.zeros(len(v)), p, p_lift)

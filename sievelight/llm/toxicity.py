@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, table
+from .common import drop_kept, fold, materialize, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Distinct tokens that a task counts before it passes them on.
@@ -106,6 +106,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """In how many texts each token occurs, by class, of all and of those to calibrate on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         counts = [Counter() for _ in COUNTS]
 
         def out() -> pa.RecordBatch:
@@ -134,6 +135,7 @@ def contexts(rows: DataFrame, tokens: list[str]) -> DataFrame:
     wanted = frozenset(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for b in batches:
             found = {(t, before, c) for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True) for w in [TOKEN.findall(text.as_py().lower())] for before, t in zip(["", *w], w, strict=False) if t in wanted}
             token, before, check = zip(*found, strict=True) if found else ((), (), ())
@@ -267,6 +269,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_lexicon tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         m = sent.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("excess", pa.float64())]))
         for b in batches:
@@ -284,6 +287,7 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         m = sent.value
         for b in batches:
             yield b.filter(pa.array([text_score(m, t.as_py())[0] < 0.5 for t in b.column("text")], pa.bool_()))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, open_folder, shared_dir, table
+from .common import drop_kept, materialize, open_folder, shared_dir, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -161,6 +161,7 @@ def write_captures(pages: DataFrame, folder: str, limit: int = 64 << 20) -> Data
     """Write one response per row of ``pages`` (page_id, url, html); returns the headers with each record's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         writer = Writer(folder, "capture", limit)
         for b in batches:
             rows = []
@@ -203,6 +204,7 @@ def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int =
     """Write the deduplicated archives in ``parts`` tasks; returns (file, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         fs, path = open_folder(captures)
         writer, counts, now, source = Writer(folder, "archive", limit), {}, None, None
         for b in batches:
@@ -238,6 +240,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives named in ``files`` (file); a response's digest and length are taken from its payload anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         fs, path = open_folder(folder)
         for b in batches:
             for name in b.column("file").to_pylist():
