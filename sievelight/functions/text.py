@@ -223,7 +223,7 @@ def duration_column(value: Column) -> Column:
     return F.when(n != "", n.cast("bigint") * F.element_at(factor, unit))
 
 
-def occurrences(text: Column, phrase: str) -> Column:
-    """Places where a phrase starts in a text (overlapping ones count), without regard to case."""
+def occurrences(lowered: Column, phrase: str) -> Column:
+    """Places where a phrase starts in a lower-case text (overlapping ones count), without regard to case."""
     quoted = re.sub(r"([^\w\s])", r"\\\1", phrase.lower())
-    return F.when(F.instr(F.lower(text), phrase.lower()) > 0, F.regexp_count(F.lower(text), F.lit(f"(?={quoted})"))).otherwise(F.lit(0))
+    return F.when(F.contains(lowered, F.lit(phrase.lower())), F.regexp_count(lowered, F.lit(f"(?={quoted})"))).otherwise(F.lit(0))

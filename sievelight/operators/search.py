@@ -37,8 +37,9 @@ def eligible_rows(df: DataFrame, eligible: DataFrame | None, key: list[str] = KE
 def phrase_counts(corpus: DataFrame, phrases: list[str]) -> DataFrame:
     """Per chunk its trigram length and, for each phrase, its weighted occurrences f0, f1, ..."""
     size = F.greatest(F.lit(0), F.length("text") - 2) + F.greatest(F.lit(0), F.length("heading_path") - 2)
-    f = [(TEXT_WEIGHT * occurrences(F.col("text"), p) + HEADING_WEIGHT * occurrences(F.col("heading_path"), p)).alias(f"f{i}") for i, p in enumerate(phrases)]
-    return corpus.select(*KEY, size.cast("double").alias("size"), *f)
+    lowered = corpus.select(*KEY, size.cast("double").alias("size"), F.lower("text").alias("text"), F.lower("heading_path").alias("heading"))
+    f = [(TEXT_WEIGHT * occurrences(F.col("text"), p) + HEADING_WEIGHT * occurrences(F.col("heading"), p)).alias(f"f{i}") for i, p in enumerate(phrases)]
+    return lowered.select(*KEY, "size", *f)
 
 
 def corpus_statistics(counts: DataFrame, n: int) -> DataFrame:
