@@ -97,11 +97,11 @@ def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, once or twice)."""
     taken = mix(docs, label_quality(labels), whole=True)
-    times = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    times = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
     size = F.regexp_count("text", F.lit(WORD)).cast("bigint")
-    t = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times")
+    t = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times")
     kept = docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & docs["source"].eqNullSafe(t["_source"]) & (size == t["_size"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
