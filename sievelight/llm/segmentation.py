@@ -31,7 +31,7 @@ from .common import keep, table
 from .tokens import MODEL, SPACE, model_bytes
 
 #: Segments of texts that are sampled together.
-TOGETHER = 200_000
+TOGETHER = 100_000
 #: Parts up to this length share states; their masses stay far from the ends of the range of doubles.
 SHARED = 40
 NONE = -math.inf
@@ -58,7 +58,7 @@ class Lattices:
     Segments are cut where no piece holds both neighbours: every path passes there.
     """
 
-    def __init__(self, model: bytes, power: float, cached: int = 1_800_000):
+    def __init__(self, model: bytes, power: float, cached: int = 900_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -403,8 +403,8 @@ def option_count(s: Sampler, option: int) -> int:
     return n
 
 
-def lattices_of(model: bytes, power: float) -> Lattices:
-    return keep(("lattices", model, power), lambda: Lattices(model, power))
+def lattices_of(model: bytes, power: float, cached: int) -> Lattices:
+    return keep(("lattices", model, power, cached), lambda: Lattices(model, power, cached))
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -418,7 +418,7 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
 SAMPLES = "doc_id bigint, sample int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, pieces_hash string, decoded boolean"
 
 
-def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: float = 1.0, seed: int = 0, pieces: bool = False) -> DataFrame:
+def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: float = 1.0, seed: int = 0, pieces: bool = False, cached: int = 900_000) -> DataFrame:
     """``k`` distinct sampled segmentations of every whole text of ``docs`` (doc_id, text), fewer where there are fewer.
 
     Returns per sample: its number (from 1, in falling order of the perturbed value),
@@ -428,11 +428,12 @@ def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: flo
     depend on doc_id, ``seed`` and the text only: rows that repeat id and text get the
     same samples. Null and empty texts have one segmentation, without pieces. A
     character U+2581 decodes to a space, as in the library. Other columns are ignored.
+    A worker keeps ``cached`` lattice states (some 0.5 KB each), which affects speed only.
     """
     data = model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattices_of(data, power)
+        own = lattices_of(data, power, cached)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             held: list[tuple[int | None, str, np.ndarray]] = []
