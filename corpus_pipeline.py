@@ -30,7 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document."""
-    return segmentation.segmentations(docs)
+    return segmentation.segmentations(docs, cached=250_000)  # executors hold the earlier stages' memory too
 
 
 STAGES = [("toxicity", clean), ("line dedup", unrepeated), ("simhash near-dedup", distinct), ("mixing", mixed), ("sentencepiece", encoded)]
