@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import lines, mixing, segmentation, simhash, toxicity
+from sievelight.llm import jaccard, lines, mixing, segmentation, toxicity
 from sievelight.llm.common import materialize, table
 
 
@@ -19,8 +19,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.first_of_each(docs)
+    """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.first_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,18 +27,24 @@ from .graph import components
 STRIP = 1 << 17
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash of a text in UTF-8; 0 where there is no word."""
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """The hashes of a text's shingles, repeats included; a shorter text is one shingle, no word gives none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    h = xxhash.xxh64_intdigest
+    return [h(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The 64-bit SimHash of a text in UTF-8; 0 where there is no word."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = np.array(hashes[i : i + (1 << 14)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -175,11 +181,5 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, block
     return d.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group of near-duplicates."""
-    kept = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
