@@ -53,7 +53,7 @@ def signed(values: list[int]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (names the set of shingles) and keys (its buckets) of every row."""
+    """doc_id, twin (the text's hash), node (names the set of shingles) and keys (its buckets) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
@@ -62,9 +62,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             keys = [buckets(s) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             flat = signed([k for ks in keys for k in ks])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), signed([name(s) for s in sets]), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("twin"), signed([name(s) for s in sets]), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "twin", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("twin"), "text").mapInArrow(run, "doc_id bigint, twin bigint, node bigint, keys array<bigint>")
 
 
 def whole_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -121,14 +121,18 @@ def roots(docs: DataFrame, signs: DataFrame, shingle: int, least: float) -> Data
 
 
 def first_of_each(docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) without near-duplicates: of each component the row of the smallest id.
+    """The rows of ``docs`` (doc_id, text, ...) without near-duplicates: of each component the row of the smallest id (null last), then text hash.
 
     Texts are lower-cased in A-Z only and cut into the set of their runs of ``shingle``
     words; a shorter text is one run, and texts without words equal each other. Texts
-    whose sets have a Jaccard similarity of ``least`` or more are linked.
+    whose sets have a Jaccard similarity of ``least`` or more are linked. Rows with a null
+    id, and rows that repeat an id with another text, are documents of their own.
     """
     signs = materialize(signatures(docs, shingle))
     linked = roots(docs, signs, shingle, least)
-    firsts = signs.groupBy("node").agg(F.min("doc_id").alias("first")).join(linked, "node", "left")
-    kept = firsts.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_kept"), F.col("twin").alias("_twin"))
+    firsts = signs.groupBy("node").agg(F.min(place).alias("first")).join(linked, "node", "left")
+    kept = firsts.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first._kept", "first._twin")
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = rows["doc_id"].cast("bigint").eqNullSafe(kept["_kept"]) & (rows["_text_hash"] == kept["_twin"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

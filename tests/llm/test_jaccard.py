@@ -36,3 +36,12 @@ def test_near_copies_by_similarity(spark):
 
 def test_empty_table(spark):
     assert jaccard.first_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    words = [" ".join(f"{k}x{i}" for i in range(60)) for k in "abcdef"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2] + " end"), (1, words[2]), (2, words[3]), (2, words[4]), (2, words[2] + " more"), (3, words[5]), (3, words[5])]
+    got = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    want = [(None, words[0]), (None, words[1]), (1, words[2]), (2, words[3]), (2, words[4]), (3, words[5])]
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in want)
