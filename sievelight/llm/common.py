@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Rows, and bytes of its columns together, of the part of an Arrow batch that is worked on at once.
+PART_ROWS, PART_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,16 +31,44 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it: lineage ends here, and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that no later plan reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Rows hold whole texts, so Arrow batches are kept to ``TEXT_ROWS`` of them from here on."""
-    if int(spark.conf.get(BATCH, "10000")) > TEXT_ROWS:
-        spark.conf.set(BATCH, str(TEXT_ROWS))
+    """A table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and bytes (at least one row), since rows hold whole texts."""
+    for b in batches:
+        rows = max(1, min(PART_ROWS, PART_BYTES * b.num_rows // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5; rows of remainder 0 are held out. Null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_kept, materialize, table
+from .common import drop_kept, materialize, slices, table
 
 LINES = "doc bigint, twin bigint, i int, pos int, a bigint, b bigint, fore int, back int, words int"
 #: Place in the corpus: documents by id (null last), then by text hash, then by line.
@@ -45,7 +45,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(9)]
             for doc, twin, value in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
                 text = value.as_py()
@@ -144,7 +144,7 @@ def deduplicated(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for b in batches:
+        for b in slices(batches):
             texts, lines, left = [], [], []
             for t, gone in zip(b.column("text").cast(pa.large_binary()), b.column("_gone").to_pylist(), strict=True):
                 text, n, kept = without(t.as_py() or b"", set(gone or ()))

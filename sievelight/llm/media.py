@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import drop_kept, materialize, open_folder, shared_dir, table
+from .common import drop_kept, materialize, open_folder, shared_dir, slices, table
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -112,7 +112,7 @@ def write_archives(rows: DataFrame, folder: str, limit: int = 64 << 20) -> DataF
             done.append((name, len(index)))
             index.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for member, text in zip(b.column("name").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
                 media = to_png(text.as_py() or b"")
                 block = tar_header(member, len(media)) + padded(media, 512)
@@ -257,7 +257,7 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for name, media in zip(b.column("name").to_pylist(), b.column("media").to_pylist(), strict=True):
                 samples, n = from_png(media)

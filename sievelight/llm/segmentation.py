@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, slices, table
 from .tokens import MODEL, SPACE, model_bytes
 
 #: Segments of texts that are sampled together.
@@ -434,7 +434,7 @@ def segmentations(docs: DataFrame, *, model: str = MODEL, k: int = 2, power: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices_of(data, power, cached)
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             held: list[tuple[int | None, str, np.ndarray]] = []
             size = 0

@@ -12,7 +12,7 @@ cost no more rows than they have members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, materialize, table
+from .common import drop_kept, materialize, slices, table
 from .graph import components
 
 #: Elements of one comparison in numpy; its temporaries stay in the cache.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").cast(pa.large_binary())
             out = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], ["doc_id", "fp"])
@@ -96,70 +96,98 @@ def tile_hits(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tupl
                         yield x, y
 
 
-def stars(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the local components: each value with its component's smallest."""
-    values = a if b is None else np.concatenate([a, b])
-    parent = np.arange(len(values))
+class Forest:
+    """Components of the numbers below n under links that come in arrays; a root is its component's smallest number."""
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            x = self.parent[x]
         return x
 
-    for x, y in tile_hits(a, b, radius):
-        p, q = parent[x], parent[y + (0 if b is None else len(a))]
-        differ = p != q
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs are not known to be in one component."""
+        return self.parent[x] != self.parent[y]
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        differ = self.apart(x, y)
         if not differ.any():
-            continue
-        for u, v in set(zip(p[differ].tolist(), q[differ].tolist(), strict=True)):
-            u, v = find(u), find(v)
+            return
+        for u, v in set(zip(self.parent[x[differ]].tolist(), self.parent[y[differ]].tolist(), strict=True)):
+            u, v = self.find(u), self.find(v)
             if u != v:
-                parent[max(u, v)] = min(u, v)
-        while not np.array_equal(up := parent[parent], parent):
-            parent = up
-    linked = np.flatnonzero(parent != np.arange(len(values)))
-    return values[linked], values[parent[linked]]
+                self.parent[max(u, v)] = min(u, v)
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+
+    def stars(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the components: each value with that of its root."""
+        linked = np.flatnonzero(self.parent != np.arange(len(values)))
+        return values[linked], values[self.parent[linked]]
+
+
+def stars(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the local components: each value with its component's smallest."""
+    values = a if b is None else np.concatenate([a, b])
+    forest = Forest(len(values))
+    for x, y in tile_hits(a, b, radius):
+        forest.link(x, y + (0 if b is None else len(a)))
+    return forest.stars(values)
+
+
+def deal(cells: list[int], block: int) -> list[tuple[int, int]]:
+    """Blocks of about ``block`` rows for cells of the given sizes, in order: (first block, number of blocks) of each cell. Small neighbours share one."""
+    out, last, filled = [], -1, block
+    for n in cells:
+        of = max(1, -(-n // block))
+        if of > 1 or filled + n > block:
+            last, filled = last + of, 0
+        filled = block if of > 1 else filled + n
+        out.append((last - of + 1, of))
+    return out
+
+
+def block_pairs(spark: SparkSession, dealt: list[tuple[int, int]], near: Iterable[tuple[int, int]]) -> DataFrame:
+    """Pairs of blocks (a <= b) of the pairs of cells in ``near``. The driver sees cells, of which there is a fixed number at most; blocks are paired by the executors."""
+    ranges = sorted({(*dealt[i], *dealt[j]) for i, j in near})
+    blocks = lambda of: F.explode(F.sequence(F.col(f"{of}_first"), F.col(f"{of}_first") + F.col(f"{of}_parts") - 1))
+    cells = spark.createDataFrame(ranges, "x_first int, x_parts int, y_first int, y_parts int")
+    both = cells.select("*", blocks("x").alias("x")).select("x", blocks("y").alias("y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def sided(pairs: DataFrame) -> DataFrame:
+    """(a, b, side, block): each pair once for either of its blocks, once for a block with itself."""
+    return pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
 
 
 def links(fps: DataFrame, radius: int = 4, block: int = 65_536) -> DataFrame:
     """Links (a, b) among the distinct values ``fps.fp`` that connect all that lie within the radius of each other."""
     spark = fps.sparkSession
     cell = [F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo")]
-    cells = sorted((r.hi + r.lo, r.hi, r.lo, r.n) for r in fps.select(*cell).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(c[3] for c in cells)
-    block = max(4096, min(block, -(-total // 16)))
-    members: list[set[tuple[int, int]]] = []
-    filled, dealt = block, []
-    for _, hi, lo, n in cells:
-        parts = -(-n // block)
-        if parts > 1 or filled + n > block:
-            members += [set() for _ in range(parts)]
-            filled = 0 if parts == 1 else block
-        first = len(members) - parts
-        for m in members[first:]:
-            m.add((hi, lo))
-        filled += n
-        dealt.append((hi, lo, first, parts))
-    if not dealt:
+    cells = sorted((r.hi + r.lo, r.hi, r.lo, r.n) for r in fps.select(*cell).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).collect())  # 33 x 33 at most
+    if not cells:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    at = [np.array(sorted(m), dtype=np.int16) for m in members]
-    sides = []
-    for i, x in enumerate(at):
-        for j in range(i, len(at)):
-            if (np.abs(x[:, None] - at[j][None]).sum(axis=2) <= radius).any():
-                sides += [(i, len(sides), 0)] + ([(j, len(sides), 1)] if j > i else [])
-    where = spark.createDataFrame(dealt, "hi int, lo int, first int, parts int")
-    b = fps.select("fp", *cell).join(F.broadcast(where), ["hi", "lo"])  # 33 x 33 rows at most
+    dealt = deal([c[3] for c in cells], max(4096, min(block, -(-sum(c[3] for c in cells) // 16))))
+    at = np.array([c[1:3] for c in cells], dtype=np.int16)
+    near = np.argwhere(np.triu(np.abs(at[:, None] - at[None]).sum(axis=2) <= radius))
+    where = spark.createDataFrame([(hi, lo, *d) for (_, hi, lo, _), d in zip(cells, dealt, strict=True)], "hi int, lo int, first int, parts int")
+    b = fps.select("fp", *cell).join(F.broadcast(where), ["hi", "lo"])
     b = b.groupBy((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("block")).agg(F.collect_list("fp").alias("fps"))
-    pairs = b.join(spark.createDataFrame(sides, "block int, pair int, side int"), "block")
+    pairs = b.join(sided(block_pairs(spark, dealt, near.tolist())), "block")
 
     def run(t: pa.Table) -> pa.Table:
         sides = dict(zip(t.column("side").to_pylist(), t.column("fps").combine_chunks(), strict=True))
         as_array = lambda x: x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        x, y = stars(as_array(sides[0]), as_array(sides[1]) if 1 in sides else None, radius)
+        if 0 not in sides or (1 not in sides and t.column("a")[0].as_py() != t.column("b")[0].as_py()):
+            x = y = np.empty(0, np.uint64)  # the other block is empty
+        else:
+            x, y = stars(as_array(sides[0]), as_array(sides[1]) if 1 in sides else None, radius)
         return pa.table({"a": pa.array(x.view(np.int64)), "b": pa.array(y.view(np.int64))})
 
-    return pairs.select("pair", "side", "fps").groupBy("pair").applyInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "side", "fps").groupBy("a", "b").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, block: int = 65_536) -> DataFrame:
@@ -174,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, block
     """
     d = materialize(fingerprints(docs, shingle))
     fps = materialize(d.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comps = materialize(components(links(fps, radius, block)))
+    comps = components(links(fps, radius, block))
     named = fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = named.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     to = named.join(least, "root", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
@@ -182,4 +210,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, block
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of ``documents``: four words a shingle, four bits.
+
+    Null, empty and blank texts have fingerprint zero and link like any other; texts of any
+    length are read whole; repeated rows and ids stay rows of their own; a null id names a
+    component only where it has no other; an empty table gives no rows; columns other than
+    doc_id and text are not read.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"))

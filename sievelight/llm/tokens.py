@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, slices, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -173,7 +173,7 @@ def token_counts(docs: DataFrame, *, model: str = MODEL, limit: int = 4096, stor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(data)
-        for b in batches:
+        for b in slices(batches):
             total, within, tables = [], [], []
             for text in b.column("text"):
                 changes = own.table(text.as_py() or "")

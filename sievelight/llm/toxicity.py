@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, fold, materialize, table
+from .common import drop_kept, fold, materialize, slices, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Distinct tokens that a task counts before it passes them on.
@@ -116,7 +116,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
                 c.clear()
             return got
 
-        for b in batches:
+        for b in slices(batches):
             for text, toxic, check in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("check").to_pylist(), strict=True):
                 counts[(toxic == 1) + 2 * check].update(set(TOKEN.findall(text.as_py().lower())))
                 if sum(map(len, counts)) > FLUSH:
@@ -136,7 +136,7 @@ def contexts(rows: DataFrame, tokens: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for b in batches:
+        for b in slices(batches):
             found = {(t, before, c) for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True) for w in [TOKEN.findall(text.as_py().lower())] for before, t in zip(["", *w], w, strict=False) if t in wanted}
             token, before, check = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(before, pa.string()), pa.array(check, pa.bool_())], ["token", "before", "check"])
@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, least: int
 
 
 def training_segments(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], drift: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         tokens = [TOKEN.findall(t.as_py().lower()) for t in b.column("text")]
         scores = [[s for _, _, s in segments(t, lexicon, drift)] for t in tokens]
         yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "tokens", "scores"])
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         drop_kept()
         m = sent.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("excess", pa.float64())]))
-        for b in batches:
+        for b in slices(batches):
             got = [text_score(m, t.as_py()) for t in b.column("text")]
             p = pa.array([g[0] for g in got], pa.float64())
             passages = pa.array([[{"start": s, "end": e, "excess": x} for s, e, x in g[2]] for g in got], kind)
@@ -289,7 +289,7 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         m = sent.value
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([text_score(m, t.as_py())[0] < 0.5 for t in b.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

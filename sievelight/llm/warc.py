@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, materialize, open_folder, shared_dir, table
+from .common import drop_kept, materialize, open_folder, shared_dir, slices, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -163,7 +163,7 @@ def write_captures(pages: DataFrame, folder: str, limit: int = 64 << 20) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         writer = Writer(folder, "capture", limit)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for page_id, uri, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").cast(pa.large_binary()), strict=True):
                 payload = html.as_py() or b""
@@ -207,7 +207,7 @@ def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int =
         drop_kept()
         fs, path = open_folder(captures)
         writer, counts, now, source = Writer(folder, "archive", limit), {}, None, None
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 own = record_name(r["file"], r["offset"])
                 if r["refers_file"] is not None:
@@ -242,7 +242,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         fs, path = open_folder(folder)
-        for b in batches:
+        for b in slices(batches):
             for name in b.column("file").to_pylist():
                 rows = []
                 for h, block in parse(file_chunks(fs, f"{path}/{name}")):

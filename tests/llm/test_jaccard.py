@@ -45,3 +45,23 @@ def test_null_and_repeated_ids(spark):
     assert got.columns == ["doc_id", "text"]
     want = [(None, words[0]), (None, words[1]), (1, words[2]), (2, words[3]), (2, words[4]), (3, words[5])]
     assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in want)
+
+
+def test_intersections_by_matrix_and_one_by_one():
+    rng = np.random.default_rng(4)
+    made = [[np.unique(rng.integers(0, 40_000, n, dtype=np.uint64)) for n in rng.integers(1, 600, 60)] for _ in range(2)]
+    a, b = (jaccard.Sets(np.concatenate(s), np.r_[0, np.cumsum([len(x) for x in s])]) for s in made)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(60), np.arange(60)))
+    want = [len(set(made[0][i].tolist()) & set(made[1][j].tolist())) for i, j in zip(x, y)]
+    assert a.shared(x, y, b).tolist() == want
+    assert a.shared(x[:99], y[:99], b).tolist() == want[:99]
+
+
+def test_blocks_of_any_size_give_the_same(spark):
+    rng = np.random.default_rng(5)
+    bases = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (30, 60, 61, 62, 200, 2000)]
+    texts = [edited(rng, b, s) for b in bases for s in (0.001, 0.02, 0.03, 0.05) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(list(enumerate(texts)))
+    for block, load in ((4096, 1 << 20), (7, 1 << 20), (16, 900)):
+        assert sorted(r.doc_id for r in jaccard.first_of_each(docs, block=block, load=load).collect()) == want
