@@ -1,7 +1,9 @@
 """Toxic passages as maximum-scoring segments.
 
 Tokens are scored by the log-odds of toxic against clean documents under a Dirichlet
-prior; a token that tells nothing costs a little. One linear scan finds all maximal
+prior; a token that tells nothing costs a little. A word that is too rare to be scored by
+itself is scored by its longest beginning that tells something, so that inflected and
+compound forms of a known stem count too. One linear scan finds all maximal
 segments of a text (Ruzzo and Tompa). By extreme-value theory a clean text of n tokens
 holds K n exp(-lambda S) segments of score S or more, so lambda S - ln(K n) says how
 far beyond chance a segment lies. A document's evidence is the sum of these excesses,
@@ -19,14 +21,35 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, fold, materialize, slices, table
+from .common import drop_kept, fold, materialize, release, slices, table
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Distinct tokens that a task counts before it passes them on.
-FLUSH = 200_000
+#: Distinct keys that a task counts before it passes them on; words whose scores it remembers.
+FLUSH = KNOWN = 200_000
+#: Lengths of the beginnings of words that are keys too; a star marks them.
+STEMS = range(4, 10)
+
+
+def keys_of(word: str) -> list[str]:
+    """The word and those of its beginnings that are keys, the longest first."""
+    return [word, *(word[:n] + "*" for n in reversed(STEMS) if n < len(word))]
+
+
+class Scores(dict):
+    """word -> its log-odds in a lexicon of keys, 0 where it has none; emptied when full."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= KNOWN:
+            self.clear()
+        found = self[word] = next((self.lexicon[k] for k in keys_of(word) if k in self.lexicon), 0.0)
+        return found
 
 
 @dataclass
@@ -69,13 +92,13 @@ def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, in
     return [(s, e, high - low) for low, high, s, e, _ in kept]
 
 
-def segments(tokens: list[str], lexicon: dict[str, float], drift: float) -> list[tuple[int, int, float]]:
-    """Maximal segments of a text as token spans; runs outside the lexicon are one span."""
+def segments(tokens: list[str], scores: Scores, drift: float) -> list[tuple[int, int, float]]:
+    """Maximal segments of a text as token spans; runs without a score are one span."""
     scored, last = [], 0
-    for i in [i for i, t in enumerate(tokens) if t in lexicon]:
+    for i, s in [(i, s) for i, t in enumerate(tokens) if (s := scores[t])]:
         if i > last:
             scored.append((last, i, -drift * (i - last)))
-        scored.append((i, i + 1, lexicon[tokens[i]]))
+        scored.append((i, i + 1, s))
         last = i + 1
     return maximal_segments(scored)
 
@@ -103,7 +126,7 @@ COUNTS = ("clean", "toxic", "clean_check", "toxic_check")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """In how many texts each token occurs, by class, of all and of those to calibrate on."""
+    """In how many texts each key occurs, by class, of those to learn from and of those to calibrate on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
@@ -118,7 +141,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
         for b in slices(batches):
             for text, toxic, check in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("check").to_pylist(), strict=True):
-                counts[(toxic == 1) + 2 * check].update(set(TOKEN.findall(text.as_py().lower())))
+                counts[(toxic == 1) + 2 * check].update({k for t in set(TOKEN.findall(text.as_py().lower())) for k in keys_of(t)})
                 if sum(map(len, counts)) > FLUSH:
                     yield out()
         yield out()
@@ -126,80 +149,98 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token string, " + ", ".join(f"{c} bigint" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def contexts(rows: DataFrame, tokens: list[str]) -> DataFrame:
-    """Of each of ``tokens``, the distinct tokens before it in toxic texts, of all and of those to calibrate on.
+def contexts(rows: DataFrame) -> DataFrame:
+    """Of each key, the distinct words before it in toxic texts, of those to learn from and of all.
 
     Families of near copies repeat a word in one context; a word that marks toxic
     texts stands in many.
     """
-    wanted = frozenset(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         for b in slices(batches):
-            found = {(t, before, c) for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True) for w in [TOKEN.findall(text.as_py().lower())] for before, t in zip(["", *w], w, strict=False) if t in wanted}
+            found = {(k, before, c) for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True) for w in [TOKEN.findall(text.as_py().lower())] for before, t in set(zip(["", *w], w, strict=False)) for k in keys_of(t)}
             token, before, check = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(before, pa.string()), pa.array(check, pa.bool_())], ["token", "before", "check"])
 
     pairs = rows.where("toxic = 1").mapInArrow(run, "token string, before string, check boolean")
-    return pairs.groupBy("token").agg(F.count_distinct(F.when(~F.col("check"), F.col("before"))).alias("seen"), F.count_distinct("before").alias("seen_all"))
+    pairs = pairs.groupBy("token", "before").agg(F.min("check").alias("check"))
+    return pairs.groupBy("token").agg(F.count(F.when(~F.col("check"), 1)).alias("seen"), F.count(F.lit(1)).alias("seen_all"))
 
 
-def lexicon_of(tokens: list[str], clean: np.ndarray, toxic: np.ndarray, rate: float, share: float) -> dict[str, float]:
-    """token -> log-odds, held back by one standard error, of the tokens that are more uneven than chance makes any.
-
-    By Chernoff's bound n occurrences are split as unevenly as a share y by chance with
-    probability exp(-n KL(y, rate)) at most; half a token is let through by chance.
-    """
+def unevenness(toxic: Column, clean: Column, rate: float) -> Column:
+    """-ln of Chernoff's bound on the probability that chance splits the occurrences as unevenly: n KL(toxic share, ``rate``)."""
     n = toxic + clean
-    if not len(tokens) or not toxic.any() or not clean.any() or not 0 < rate < 1:
+    y = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), toxic / n))
+    return F.when(n > 0, n * (y * F.log(y / rate) + (1 - y) * F.log((1 - y) / (1 - rate)))).otherwise(0.0)
+
+
+def lexicon_of(tokens: list[str], clean: np.ndarray, toxic: np.ndarray, uneven: np.ndarray, totals: tuple[float, float], keys: int, share: float) -> dict[str, float]:
+    """key -> log-odds, held back by one standard error, of the keys that are more uneven than chance makes any of ``keys``; half a key is let through by chance."""
+    if not len(tokens) or not all(totals):
         return {}
-    delta, error = log_odds(toxic, clean, (toxic.sum(), clean.sum()), share)
-    y = np.clip(toxic / np.maximum(n, 1), 1e-12, 1 - 1e-12)
-    uneven = n * (y * np.log(y / rate) + (1 - y) * np.log((1 - y) / (1 - rate)))
+    delta, error = log_odds(toxic, clean, totals, share)
     held = np.sign(delta) * np.maximum(0, np.abs(delta) - error)
-    return {t: float(h) for t, h, u in zip(tokens, held, uneven >= math.log(len(tokens) / 0.5), strict=True) if u and h}
+    return {t: float(h) for t, h, u in zip(tokens, held, uneven >= math.log(keys / 0.5), strict=True) if u and h}
+
 
+def lexicons(rows: DataFrame, share: float) -> tuple[dict[str, float], dict[str, float]]:
+    """The lexicon of the rows to learn from, and that of all rows.
 
-def learn(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, least: int = 4, max_lexicon: int = 100_000, share: float = 0.1, drift: float = 0.2) -> Model:
-    """Learn from labelled documents that are not held out.
+    Every key of every row is counted and tested in Spark; only keys that pass the test come to the driver.
+    """
+    rate = rows.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0] or 0.0
+    if not 0 < rate < 1:
+        return {}, {}
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    counted = token_counts(rows).join(contexts(rows), "token", "left")
+    kinds = {"apart": (F.least(F.col("toxic"), zero(F.col("seen"))), F.col("clean")), "whole": (F.least(F.col("toxic") + F.col("toxic_check"), zero(F.col("seen_all"))), F.col("clean") + F.col("clean_check"))}
+    for kind, (toxic, clean) in kinds.items():
+        counted = counted.withColumns({f"{kind}_toxic": toxic.cast("double"), f"{kind}_clean": clean.cast("double"), f"{kind}_uneven": unevenness(toxic, clean, rate)})
+    tested = materialize(counted.select("token", *[f"{k}_{x}" for k in kinds for x in ("toxic", "clean", "uneven")]))
+    word = ~F.endswith("token", F.lit("*"))
+    whole = tested.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.when(word, F.col(f"{k}_{x}"))), F.lit(0.0)).alias(f"{k}_{x}") for k in kinds for x in ("toxic", "clean")]).first()
+    passed = tested.where(F.greatest(*[f"{k}_uneven" for k in kinds]) >= math.log(max(1, whole.n) / 0.5)).orderBy("token").toArrow()
+    release(tested)
+    column = lambda name: passed.column(name).to_numpy()
+    made = [lexicon_of(passed.column("token").to_pylist(), column(f"{k}_clean"), column(f"{k}_toxic"), column(f"{k}_uneven"), (whole[f"{k}_toxic"], whole[f"{k}_clean"]), whole.n, share) for k in kinds]
+    return made[0], made[1]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, share: float = 0.1, drift: float = 0.2) -> Model:
+    """Learn from at most ``bound`` labelled documents that are not held out.
 
-    Bounds: ``bound`` labelled rows, and of the tokens that occur in ``least`` texts or
-    more the ``max_lexicon`` of most uneven counts, from which the lexicon is chosen.
     The extreme-value law and the logistic curve are fitted on a third of the texts
     with a lexicon from the others; the lexicon in use is that of all. Without toxic or
     without clean rows the lexicon is empty and every score is the share of toxic rows.
     """
     rows = materialize(training_rows(docs, labels, bound))
-    n_clean, n_toxic = F.col("clean") + F.col("clean_check"), F.col("toxic") + F.col("toxic_check")
-    rate = rows.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0] or 0.0
-    uneven = F.abs(n_toxic - rate * (n_toxic + n_clean)) / F.sqrt(n_toxic + n_clean)
-    words = token_counts(rows).where(n_clean + n_toxic >= least).orderBy(F.desc(uneven), "token").limit(max_lexicon).toPandas()
-    tokens = words["token"].tolist()
-    c = {k: words[k].to_numpy(float) for k in COUNTS}
-    seen = {r.token: (r.seen, r.seen_all) for r in contexts(rows, tokens).collect()}  # at most max_lexicon rows
-    some = np.array([seen.get(t, (0, 0)) for t in tokens], dtype=float).reshape(-1, 2)
-    apart = lexicon_of(tokens, c["clean"], np.minimum(c["toxic"], some[:, 0]), rate, share)
-    whole = lexicon_of(tokens, c["clean"] + c["clean_check"], np.minimum(c["toxic"] + c["toxic_check"], some[:, 1]), rate, share)
-
-    check = rows.where("check").mapInArrow(lambda batches: training_segments(batches, apart, drift), "toxic int, tokens bigint, scores array<double>").toPandas()  # at most ``bound`` rows
-    toxic = (check["toxic"] == 1).to_numpy(bool)
-    chance = sorted(s for t, ss in zip(toxic, check["scores"], strict=True) if not t for s in ss)
-    tokens = max(1, int(check["tokens"].to_numpy()[~toxic].sum()))
-    lam = decay(apart, drift, tokens, chance)
-    middle = chance[len(chance) // 2] if chance else 0.0
-    k = (sum(s >= middle for s in chance) + 1) * math.exp(lam * middle) / tokens
+    apart, whole = lexicons(rows, share)
+    check = rows.where("check").mapInArrow(lambda batches: training_segments(batches, apart, drift), "toxic int, tokens bigint, scores array<double>").toArrow()  # at most ``bound`` rows
+    toxic, sizes, scores = (check.column("toxic").to_numpy() == 1), check.column("tokens").to_pylist(), check.column("scores").to_pylist()
+    chance = sorted(s for t, ss in zip(toxic, scores, strict=True) if not t for s in ss)
+    tokens = max(1, sum(n for t, n in zip(toxic, sizes, strict=True) if not t))
+    lam, k = extreme_value_law(apart, drift, tokens, chance)
     model = Model(apart, drift, lam, k, 0.0, 0.0)
-    x = np.array([model.evidence([(0, 0, s) for s in ss], n) for n, ss in zip(check["tokens"], check["scores"], strict=True)])
+    x = np.array([model.evidence([(0, 0, s) for s in ss], n) for n, ss in zip(sizes, scores, strict=True)])
     model.slope, model.offset = logistic(x, toxic)
     model.lexicon = whole
+    release(rows)
     return model
 
 
+def extreme_value_law(lexicon: dict[str, float], drift: float, tokens: int, chance: list[float]) -> tuple[float, float]:
+    """lambda and K, from the sorted segments of ``tokens`` tokens of clean text: K is such that the law gives as many above their median as there are."""
+    lam = decay(lexicon, drift, tokens, chance)
+    middle = chance[len(chance) // 2] if chance else 0.0
+    return lam, (sum(s >= middle for s in chance) + 1) * math.exp(lam * middle) / tokens
+
+
 def training_segments(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], drift: float) -> Iterator[pa.RecordBatch]:
+    known = Scores(lexicon)
     for b in slices(batches):
         tokens = [TOKEN.findall(t.as_py().lower()) for t in b.column("text")]
-        scores = [[s for _, _, s in segments(t, lexicon, drift)] for t in tokens]
+        scores = [[s for _, _, s in segments(t, known, drift)] for t in tokens]
         yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "tokens", "scores"])
 
 
@@ -247,10 +288,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float,
     return float(max(0.0, w[0]) / unit), float(w[1])
 
 
-def text_score(model: Model, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
+def text_score(model: Model, known: Scores, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
     """Probability, number of tokens and the significant passages as token spans with their excess."""
     tokens = TOKEN.findall((text or "").lower())
-    found = segments(tokens, model.lexicon, model.drift)
+    found = segments(tokens, known, model.drift)
     strong = [(s, e, x) for s, e, v in found if (x := model.excess(v, len(tokens))) > 0]
     return model.probability(sum(x for _, _, x in strong)), len(tokens), strong
 
@@ -266,14 +307,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     chance. Null and empty texts have no passage and the score of no evidence. Rows
     are scored one by one: repeated rows alike, other columns ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_lexicon tokens
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # keys that passed the test on a bounded number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         m = sent.value
+        known = Scores(m.lexicon)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("excess", pa.float64())]))
         for b in slices(batches):
-            got = [text_score(m, t.as_py()) for t in b.column("text")]
+            got = [text_score(m, known, t.as_py()) for t in b.column("text")]
             p = pa.array([g[0] for g in got], pa.float64())
             passages = pa.array([[{"start": s, "end": e, "excess": x} for s, e, x in g[2]] for g in got], kind)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), p, pc.greater_equal(p, 0.5).cast(pa.int32()), passages], ["doc_id", "held_out", "score", "predicted", "passages"])
@@ -283,18 +325,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose score is below one half, in one pass."""
+    """The rows of ``docs`` whose score is below one half, in one pass.
+
+    Null and empty texts have the score of no evidence. Rows are judged one by one, so
+    repeated rows and ids stay or go alike. All columns pass through, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         m = sent.value
+        known = Scores(m.lexicon)
         for b in slices(batches):
-            yield b.filter(pa.array([text_score(m, t.as_py())[0] < 0.5 for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([text_score(m, known, t.as_py())[0] < 0.5 for t in b.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and passages of every row of ``documents``.
+
+    Learned from labelled rows that are not held out; null labels and null ids teach nothing.
+    Null, empty and very long texts, repeated rows, empty tables: see ``score`` and ``learn``.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))
