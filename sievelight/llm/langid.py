@@ -1,12 +1,14 @@
 """Language identification by prediction by partial matching.
 
-For every language a byte context tree of variable order is learned: a context that
-occurred T times with D different successors gives a successor that occurred c times
-c / (T + D), and leaves D / (T + D) to the shorter context (escape method C), where
-the successors already seen are excluded. Once learned the statistics are frozen, so
-the code length of a byte depends on the bytes before it only, and all code lengths
-fit in one table: a row per context that any language has seen, the cell of a byte in
-every language. A text's code length is then a sum of gathered cells.
+For every language a byte context tree of variable order, up to ``ORDER`` bytes, is learned:
+a context that occurred T times with D different successors gives a successor that occurred
+c times c / (T + D), and leaves D / (T + D) to the shorter context (escape method C), where
+the successors already seen are excluded. Once learned the statistics are frozen, so the
+code length of a byte depends on the bytes before it only. The tree is kept as one hash
+table a depth: a row per path that any language has seen, with the bits of its last byte
+after the others in every language, and a row per context with the bits of its escape.
+A byte's code length is found on the longest path known, plus the escapes above it; every
+path and every byte of the rows learned from is in the tree.
 """
 
 from __future__ import annotations
@@ -18,45 +20,69 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_kept, fold, table, unit_interval
+from .common import drop_kept, fold, materialize, release, slices, table, unit_interval
 
 LETTER = re.compile(r"[^\W\d_]")
-#: Bytes that are scored in one step; bounds the temporaries.
-STEP = 1 << 20
-ORDER = 3
+#: Bytes that are scored, and that are counted, in one step; bounds the temporaries.
+STEP, COUNTED = 1 << 18, 1 << 22
+#: Bytes of the longest context; a path has one more and fits a long.
+ORDER = 5
 PAD = b" " * ORDER
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Rows:
+    """A hash table of paths with a row of numbers each."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(codes)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        place = self.places(codes)
+        order = np.argsort(place, kind="stable")
+        self.codes, self.values = codes[order], values[order]
+        self.starts = np.searchsorted(place[order], np.arange((1 << bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.starts).max(initial=0))
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        mixed = codes * SPREAD
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= SPREAD
+        return mixed >> self.shift
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The row of every path, -1 where there is none."""
+        place = self.places(codes).astype(np.int64)
+        at, end = self.starts[place], self.starts[place + 1]
+        out = np.full(len(codes), -1, dtype=np.int64)
+        todo = np.flatnonzero(at < end)
+        for _ in range(self.longest):
+            if not len(todo):
+                break
+            hit = self.codes[at[todo]] == codes[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol, 0: rare
-    row: np.ndarray  # three symbols -> row of cells
-    cells: np.ndarray  # (row * symbols + symbol, language) -> bits
+    paths: list[Rows]  # by depth: bits of the last byte
+    escapes: list[Rows]  # by depth: bits of leaving the context
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each run of four bytes occurs, counted in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_kept()
-        for b in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
-                texts.setdefault(lang, []).append(PAD + text.as_py())
-            for lang, parts in texts.items():
-                total: dict[int, int] = {}
-                for part in joined(parts, 4 * STEP):
-                    x = np.frombuffer(part, dtype=np.uint8).astype(np.uint32)
-                    codes, n = np.unique(x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:], return_counts=True)
-                    for c, k in zip(codes.tolist(), n.tolist(), strict=True):
-                        total[c] = total.get(c, 0) + k
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
-
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def codes_of(text: bytes) -> np.ndarray:
+    """Of every byte from the one at ``ORDER`` on, it and the bytes before it as one number."""
+    x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    out = x[: len(x) - ORDER].copy()
+    for i in range(1, ORDER + 1):
+        out <<= np.uint64(8)
+        out |= x[i : len(x) - ORDER + i]
+    return out
 
 
 def joined(parts: list[bytes], step: int) -> Iterator[bytes]:
@@ -73,85 +99,108 @@ def joined(parts: list[bytes], step: int) -> Iterator[bytes]:
         yield b"".join(now)
 
 
-def learn(docs: DataFrame, *, per_lang: int = 4_000, max_grams: int = 100_000, symbols: int = 128, max_cells: int = 1 << 24) -> Model:
+def path_counts(rows: DataFrame) -> DataFrame:
+    """(lang, path, n): how often each run of ``ORDER`` + 1 bytes occurs, counted in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        for b in slices(batches):
+            texts: dict[int, list[bytes]] = {}
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+                texts.setdefault(lang, []).append(PAD + text.as_py())
+            for lang, some in texts.items():
+                for part in joined(some, COUNTED):
+                    codes, n = np.unique(codes_of(part), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), lang, np.int32)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "path", "n"])
+
+    return rows.select("lang", "text").mapInArrow(run, "lang int, path bigint, n bigint").groupBy("lang", "path").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, *, per_lang: int = 2_000) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) with neither text nor lang null.
 
-    Bounds: about ``per_lang`` texts of each language, drawn by a hash of the id;
-    ``max_grams`` most frequent four-byte runs of each language; ``symbols`` most
-    frequent bytes, the others being one symbol; contexts by frequency until the table
-    has ``max_cells`` cells.
+    Bound: about ``per_lang`` texts of each language, drawn by a hash of the id. Of these
+    every byte and every context counts.
     """
     rows = docs.where("text is not null and lang is not null")
-    share = {r.lang: min(1.0, per_lang / r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    part = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    ranked = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    grams = gram_counts(rows.where(unit_interval("lang", F.col("doc_id")) < part)).withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= max_grams)
-    found = grams.select("lang", "gram", "n").toPandas()
-    return build(sorted(share), found["lang"].to_numpy(), found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64), symbols, max_cells)
-
-
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, symbols: int, max_cells: int) -> Model:
-    """The table of code lengths from counts of four-byte runs."""
-    often = np.bincount(gram & 255, weights=n, minlength=256)
-    kept = [int(b) for b in np.argsort(-often, kind="stable")[: symbols - 1] if often[b] > 0]
-    symbol = np.zeros(256, np.uint8)
-    symbol[kept] = np.arange(1, len(kept) + 1)
-    a, which = len(kept) + 1, np.array([langs.index(x) for x in lang.tolist()], dtype=np.int64)
-    s = [symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    codes = [np.zeros(len(gram), np.int64), s[2], s[1] * a + s[2], (s[0] * a + s[1]) * a + s[2]]
-
-    room = max(1, max_cells // (a * max(1, len(langs))))
-    contexts, index, first = [], [], 0  # by order: the contexts kept, and the row of every context
-    for order, code in enumerate(codes):
-        found, back = np.unique(code, return_inverse=True)
-        weight = np.bincount(back, weights=n)
-        keep = found[(weight >= (0 if order < 2 else 4))]
-        left = max(1 if order == 0 else 0, room - first)
-        if len(keep) > left:
-            w = dict(zip(found.tolist(), weight.tolist(), strict=True))
-            keep = np.array(sorted(sorted(keep.tolist(), key=lambda c: (-w[c], c))[:left]), dtype=np.int64)
-        rows = index[-1][np.arange(a**order) % a ** max(0, order - 1)].copy() if order else np.zeros(1, np.int32)
-        rows[keep] = np.arange(first, first + len(keep), dtype=np.int32)
-        contexts.append((keep, first))
-        index.append(rows)
-        first += len(keep)
-
-    p = np.zeros((first, a, len(langs)))
-    rare = 256 - len(kept)  # bytes that share symbol 0
-    for k in range(len(langs)):
-        mine = which == k
-        for order, code in enumerate(codes):
-            keep, start = contexts[order]
-            at = np.searchsorted(keep, code[mine]).clip(0, max(0, len(keep) - 1))
-            hit = keep[at] == code[mine] if len(keep) else np.zeros(mine.sum(), bool)
-            c = np.zeros((len(keep), a))
-            np.add.at(c, (at[hit], s[3][mine][hit]), n[mine][hit])
-            total, seen = c.sum(1, keepdims=True), c > 0
-            d = seen.sum(1, keepdims=True)
-            lower = np.r_[rare, np.ones(len(kept))][None].repeat(len(keep), 0) / 256 if order == 0 else p[index[order - 1][keep % a ** (order - 1)], :, k]
-            unseen = np.where(seen, 0, lower)
-            mass = unseen.sum(1, keepdims=True)
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], [], [])
+    share = docs.sparkSession.createDataFrame([(x, i, min(1.0, per_lang / sizes[x])) for i, x in enumerate(langs)], "of string, number int, share double")
+    drawn = rows.select("doc_id", "text", "lang").join(share, F.col("lang") == F.col("of")).where(unit_interval("lang", F.col("doc_id")) < F.col("share"))
+    counts = materialize(path_counts(drawn.select(F.col("number").alias("lang"), "text")))
+    found = counts.toArrow()
+    release(counts)
+    return build(langs, found.column("lang").to_numpy(), found.column("path").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.float64))
+
+
+def build(langs: list[str], lang: np.ndarray, path: np.ndarray, n: np.ndarray) -> Model:
+    """The tree of code lengths from counts of the longest paths."""
+    paths, escapes = [], []
+    shorter: tuple[np.ndarray, np.ndarray] | None = None  # paths of the depth above, sorted, and their bits
+    own_shorter: list[tuple[np.ndarray, np.ndarray]] = []  # of each language its own paths there, and their probabilities
+    for depth in range(ORDER + 1):
+        kept = path & np.uint64((1 << (8 * (depth + 1))) - 1)
+        every = np.unique(kept)
+        contexts = np.unique(every >> np.uint64(8))
+        bits = np.full((len(every), len(langs)), 8.0)
+        if shorter is not None:
+            bits = shorter[1][np.searchsorted(shorter[0], every & np.uint64((1 << (8 * depth)) - 1))]
+        leave, own = np.zeros((len(contexts), len(langs))), []
+        for k in range(len(langs)):
+            mine, back = np.unique(kept[lang == k], return_inverse=True)
+            c = np.bincount(back, weights=n[lang == k], minlength=len(mine))
+            context, of = np.unique(mine >> np.uint64(8), return_inverse=True)
+            total, distinct = np.bincount(of, weights=c), np.bincount(of).astype(float)
+            if depth:
+                lower = own_shorter[k][1][np.searchsorted(own_shorter[k][0], mine & np.uint64((1 << (8 * depth)) - 1))]
+            else:
+                lower = np.full(len(mine), 1 / 256)
+            free = 1 - np.bincount(of, weights=lower, minlength=len(context))
+            closed = (distinct >= 256) | (free <= 1e-12)  # nothing is left to escape to
+            p = c / np.where(closed, total, total + distinct)[of] if len(mine) else c
             with np.errstate(divide="ignore", invalid="ignore"):
-                q = np.where(seen, c / (total + d), np.where(mass > 0, d / (total + d) * unseen / mass, 0))
-            q = np.where(total > 0, q, lower)
-            p[start : start + len(keep), :, k] = q / q.sum(1, keepdims=True)
-    p[:, 0] /= rare  # one of the bytes that share the symbol
-    cells = -np.log2(np.maximum(p, 2.0**-60)).astype(np.float32).reshape(first * a, len(langs))
-    return Model(langs, symbol, index[ORDER], cells)
+                away = -np.log2(distinct / (total + distinct) / free)
+            own.append((mine, p))
+            leave[np.searchsorted(contexts, context), k] = np.where(closed, 60.0, away)
+        bits = bits + leave[np.searchsorted(contexts, every >> np.uint64(8))]
+        for k, (mine, p) in enumerate(own):
+            bits[np.searchsorted(every, mine), k] = -np.log2(p)
+        paths.append(Rows(every, bits.astype(np.float32)))
+        escapes.append(Rows(contexts, leave.astype(np.float32)))
+        shorter, own_shorter = (every, bits), own
+    return Model(langs, paths, escapes)
+
+
+def bits_of(model: Model, codes: np.ndarray) -> np.ndarray:
+    """Bits of every path's last byte in every language."""
+    row = model.paths[ORDER].find(codes)
+    out = model.paths[ORDER].values[row]
+    left = np.flatnonzero(row < 0)
+    out[left] = 0
+    for depth in range(ORDER, -1, -1):  # the paths that no language has seen so far
+        if not len(left):
+            break
+        here = codes[left] & np.uint64((1 << (8 * (depth + 1))) - 1)
+        if depth < ORDER:
+            row = model.paths[depth].find(here)
+            known = row >= 0
+            out[left[known]] += model.paths[depth].values[row[known]]
+            left, here = left[~known], here[~known]
+        context = model.escapes[depth].find(here >> np.uint64(8))
+        out[left[context >= 0]] += model.escapes[depth].values[context[context >= 0]]
+    out[left] += 8
+    return out
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of every text in every language."""
     out = np.zeros((len(texts), len(model.langs)))
-    a = len(model.cells) // max(1, model.row.max() + 1)
     parts, owner, size = [], [], 0
 
     def score() -> None:
-        x = model.symbol[np.frombuffer(b"".join(parts), dtype=np.uint8)].astype(np.int32)
-        row = model.row[(x[:-3] * a + x[1:-2]) * a + x[2:-1]]
-        bits = model.cells[row * a + x[3:]]
+        bits = bits_of(model, codes_of(b"".join(parts)))
         lengths = np.array([len(p) for p in parts])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         ends = starts + lengths - ORDER  # what follows is the next part's context
@@ -160,7 +209,7 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
     for i, text in enumerate(texts):
         for j in range(0, len(text), STEP):
-            parts.append((text[j - ORDER : j] if j else PAD) + text[j : j + STEP])
+            parts.append((text[max(0, j - ORDER) : j] if j else PAD) + text[j : j + STEP])
             owner.append(i)
             size += len(parts[-1])
             if size >= STEP:
@@ -172,18 +221,18 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text).
 
     The language of the shortest code, the first by name where codes are equal; score
     is its probability if all languages were equally likely before. Null texts, texts
     without a letter, and all texts where nothing was learned: ``und`` with score 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_cells cells and symbols ** 3 rows
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the paths of a bounded number of texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         m = sent.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             lettered = [t is not None and bool(m.langs) and LETTER.search(t) is not None for t in texts]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -212,4 +261,10 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of ``documents``; learned from rows that are not held out.
+
+    Null texts and texts without a letter are ``und``; texts of any length are read whole;
+    repeated rows are predicted alike; with nothing to learn all are ``und``; an empty table
+    gives no rows.
+    """
     return identify(table(spark, sf_dir, "documents"))

@@ -26,51 +26,68 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def grams(text):
-    b = langid.PAD + text.encode()
-    return [int.from_bytes(b[i : i + 4], "big") for i in range(len(b) - 3)]
-
-
-def brute_bits(train, text, symbols=256):
-    """PPM with escape C and exclusion, straight from the definition; contexts of 1 need 2 and longer ones 4 occurrences or none."""
+def tree(train):
+    """The tree of the texts by language."""
+    lang, code, n = [], [], []
+    for k, texts in enumerate(train.values()):
+        c, m = np.unique(np.concatenate([langid.codes_of(langid.PAD + t.encode()) for t in texts]), return_counts=True)
+        lang += [k] * len(c)
+        code += c.tolist()
+        n += m.tolist()
+    return langid.build(list(train), np.array(lang), np.array(code, dtype=np.uint64), np.array(n, dtype=float))
+
+
+def brute_bits(train, text):
+    """PPM with escape C and exclusion, straight from the definition."""
+    order = langid.ORDER
     b, out = langid.PAD + text.encode(), 0.0
     t = [langid.PAD + x.encode() for x in train]
 
-    def p(context, byte, order):
-        if order < 0:
+    def p(context, byte, k):
+        if k < 0:
             return 1 / 256
         c = {}
         for x in t:
-            for i in range(3, len(x)):
-                if x[i - order : i] == context[len(context) - order :]:
+            for i in range(order, len(x)):
+                if x[i - k : i] == context[len(context) - k :]:
                     c[x[i]] = c.get(x[i], 0) + 1
         n, d = sum(c.values()), len(c)
-        if not n or order > 1 and n < 4:
-            return p(context, byte, order - 1)
+        if not n:
+            return p(context, byte, k - 1)
         if byte in c:
-            return c[byte] / (n + d) / (1 if d < 256 else 1)
-        free = 1 - sum(p(context, k, order - 1) for k in c)
-        return d / (n + d) * p(context, byte, order - 1) / free
+            return c[byte] / (n + d)
+        return d / (n + d) * p(context, byte, k - 1) / (1 - sum(p(context, x, k - 1) for x in c))
 
-    for i in range(3, len(b)):
-        out -= math.log2(p(b[i - 3 : i], b[i], 3))
+    for i in range(order, len(b)):
+        out -= math.log2(p(b[i - order : i], b[i], order))
     return out
 
 
 def test_code_lengths_by_definition():
-    train = ["abracadabra abracadabra", "banana bandana cabana", "abc abc abd"]
-    g, n = np.unique([x for t in train for x in grams(t)], return_counts=True)
-    model = langid.build(["xx"], np.array(["xx"] * len(g)), g.astype(np.int64), n.astype(float), 128, 1 << 22)
-    texts = ["abracadabra", "banzai", "zz", "é", "a" * 9]
-    got = langid.code_lengths(model, [t.encode() for t in texts])[:, 0]
-    want = [brute_bits(train, t) for t in texts]
-    assert np.allclose(got, want, rtol=2e-3), (got, want)
+    train = {"xx": ["abracadabra abracadabra", "banana bandana cabana", "abc abc abd"], "yy": ["zebra zebu zeta", "über öde äpfel"], "zz": ["zz"]}
+    texts = ["abracadabra", "banzai", "zz", "é", "a" * 9, "", "zebras über"]
+    got = langid.code_lengths(tree(train), [t.encode() for t in texts])
+    want = [[brute_bits(train[k], t) for k in train] for t in texts]
+    assert np.allclose(got, want, rtol=1e-4), (got, want)
+
+
+def test_paths_are_found():
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    rows = langid.Rows(codes, np.arange(len(codes))[:, None])
+    at = rows.find(codes)
+    assert (at >= 0).all() and (rows.values[at, 0] == np.arange(len(codes))).all()
+    assert (rows.find(codes + np.uint64(1 << 50)) == -1).all()
+
+
+def test_every_script_keeps_its_bytes():
+    train = {k: ["".join(chr(start + i % 90) for i in range(j, j + 400)) for j in range(5)] for k, start in {"ar": 0x627, "hi": 0x905, "ko": 0xAC00, "zh": 0x4E00}.items()}
+    bits = langid.code_lengths(tree(train), [t[0][:60].encode() for t in train.values()])
+    assert bits.argmin(axis=1).tolist() == [0, 1, 2, 3]
 
 
 def test_long_texts_are_cut_without_loss():
-    train = ["abracadabra banana"] * 3
-    g, n = np.unique([x for t in train for x in grams(t)], return_counts=True)
-    model = langid.build(["xx"], np.array(["xx"] * len(g)), g.astype(np.int64), n.astype(float), 128, 1 << 22)
+    model = tree({"xx": ["abracadabra banana"] * 3})
     text = b"abracadabra banana " * 3000
     whole = langid.code_lengths(model, [text])
     step, langid.STEP = langid.STEP, 1000
