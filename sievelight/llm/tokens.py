@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, slices, table
+from .common import keep, materialize, slices, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -67,6 +67,8 @@ class PrefixCounter:
         n = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces:
             raise ValueError("prefix counts need a byte-pair model with byte fallback and without normalization")
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("prefix counts need a model without pieces of the user's own")
         n.add_dummy_prefix = False
         self.bare = SentencePieceProcessor(model_proto=proto.SerializeToString())
         normal = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
@@ -159,35 +161,57 @@ def longest_prefix(packed: bytes, tokens: int) -> int:
     return int(np.flatnonzero(counts(zlib.decompress(packed)) <= tokens)[-1])
 
 
-def token_counts(docs: DataFrame, *, model: str = MODEL, limit: int = 4096, store: bool = False) -> DataFrame:
-    """n_bytes, n_tokens, over_limit and the longest prefix within ``limit`` tokens of every row of ``docs`` (doc_id, text).
+STORED = "doc_id bigint, n_bytes bigint, prefix_table binary"
 
-    n_tokens is what the library gives for the whole text, without added special
-    tokens. With ``store`` the column ``prefix_table`` holds the packed table that
-    ``tokens_of_prefix`` and ``longest_prefix`` answer from, without the text. Null
-    and empty texts have 0 bytes and 0 tokens. Rows are independent, so repeated ids
-    and rows stay; other columns are ignored.
+
+def prefix_tables(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
+    """doc_id, n_bytes and the packed table of prefix counts of every row of ``docs`` (doc_id, text).
+
+    ``tokens_of_prefix`` and ``longest_prefix`` answer from the table, without the text.
+    Null and empty texts have an empty table. Rows are independent, so repeated ids and
+    rows stay; other columns are ignored.
     """
     data = model_bytes(model)
-    ddl = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, chars_within bigint" + (", prefix_table binary" if store else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(data)
         for b in slices(batches):
-            total, within, tables = [], [], []
-            for text in b.column("text"):
-                changes = own.table(text.as_py() or "")
-                n = int(np.frombuffer(changes, dtype=np.int8).sum(dtype=np.int64))
-                total.append(n)
-                within.append(len(changes) - 1 if 0 < n <= limit else int(np.flatnonzero(counts(changes) <= limit)[-1]))
-                if store:
-                    tables.append(pack(changes))
+            tables = [pack(own.table(text.as_py() or "")) for text in b.column("text")]
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "prefix_table"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, STORED)
+
+
+def answers(tables: DataFrame, *, limit: int = 4096) -> DataFrame:
+    """n_bytes, n_tokens, over_limit and the characters of the longest prefix within ``limit`` tokens, from stored tables alone."""
+    ddl = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, chars_within bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            total, within = [], []
+            for packed in b.column("prefix_table"):
+                c = counts(zlib.decompress(packed.as_py()))
+                total.append(int(c[-1]))
+                within.append(len(c) - 1 if c[-1] <= limit else int(np.flatnonzero(c <= limit)[-1]))
             n_tokens = pa.array(total, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, n_tokens, pc.greater(n_tokens, limit), pa.array(within, pa.int64()), *([pa.array(tables, pa.binary())] if store else [])], [x.split()[0] for x in ddl.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n_tokens, pc.greater(n_tokens, limit), pa.array(within, pa.int64())], [x.split()[0] for x in ddl.split(", ")])
+
+    return tables.select("doc_id", "n_bytes", "prefix_table").mapInArrow(run, ddl)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
+
+def token_counts(docs: DataFrame, *, model: str = MODEL, limit: int = 4096) -> DataFrame:
+    """``answers`` from the ``prefix_tables`` of ``docs``, which are written first and read back.
+
+    n_tokens is what the library gives for the whole text, without added special tokens.
+    """
+    return answers(materialize(prefix_tables(docs, model=model)), limit=limit)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and chars_within of every row of ``documents``, from stored prefix tables.
+
+    Null and empty texts have 0 bytes and 0 tokens; texts of any length are read whole;
+    repeated rows and ids stay; an empty table gives no rows; other columns are not read.
+    """
     return token_counts(table(spark, sf_dir, "documents"))

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,8 +43,31 @@ def test_query_rows(spark):
     got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(docs).collect()), key=str)
     want = [(i if i else None, len((t or "").encode()), len(SP.encode(t or "")), len(SP.encode(t or "")) > 4096) for i, t in enumerate(texts)]
     assert got == sorted(want, key=str)
-    stored = tokens.token_counts(docs, store=True).where("doc_id = 3").first()
-    assert tokens.tokens_of_prefix(stored.prefix_table, stored.chars_within) <= 4096
+    stored = tokens.materialize(tokens.prefix_tables(docs))
+    by_limit = {k: tokens.answers(stored, limit=k).where("doc_id = 3").first() for k in (0, 7, 4096, 10**6)}
+    count = [len(SP.encode(texts[3][:i])) for i in (0, by_limit[7].chars_within, by_limit[7].chars_within + 1)]
+    assert by_limit[0].chars_within == 0 and count[1] <= 7 < count[2] and by_limit[10**6].chars_within == len(texts[3])
+    assert by_limit[4096].chars_within < len(texts[3]) and not by_limit[10**6].over_limit
+
+
+def test_megabytes_of_text(spark):
+    text = "Some words, again and again; été 日本 " * 60_000
+    got = tokens.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_tokens == len(SP.encode(text)) and got.n_bytes == len(text.encode())
+
+
+def test_pieces_of_the_user_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(tokens.model_bytes())
+    proto.pieces[-1].type = 4
+    with pytest.raises(ValueError):
+        tokens.PrefixCounter(proto.SerializeToString())
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.token_counts(docs.limit(0)).count() == 0
 
 
