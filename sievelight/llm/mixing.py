@@ -5,9 +5,11 @@ taken in complete epochs, and only the rest is sampled. The sample is drawn by
 Efraimidis and Spirakis: a document with quality weight w gets the key -ln(u) / w,
 and documents are taken in rising order of the key until the budget is used.
 
-The order within a source is found without sorting a source in one task: keys fall
-into buckets of a bounded number of documents, bucket totals are prefix-summed, and
-only the documents of one bucket are ordered together.
+The order within a source is found without sorting a source in one task. Rows of one
+source, id and size are drawn together and counted before the shuffle. What is left falls
+into buckets by the share of the source's rows that chance puts below a key, given its
+weights, so that buckets hold about as many whatever the weights; bucket totals are
+prefix-summed, and only the rows of one bucket are ordered together.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, null_safe, table, unit_interval
+from .common import WORD, materialize, null_safe, table, unit_interval, unused
 
 
 def source_targets(sizes: DataFrame, budget: float, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -41,6 +43,41 @@ def source_targets(sizes: DataFrame, budget: float, weights: tuple[int, ...], ca
     return s.select("source", "source_size", "docs", target.alias("target"))
 
 
+def drawn(docs: DataFrame, quality: DataFrame | None, budget: float, weights: tuple[int, ...], cap: float, seed: str, bucket_docs: int) -> DataFrame:
+    """(source, doc_id, size) once, with the number of ``copies``, source_size, target, epochs, the words ``part`` to draw beyond the epochs and ``start``, the words drawn before."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = materialize(docs.select("doc_id", "source", size.alias("size")))  # texts are read once and never shuffled
+    rows = rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
+    if quality is not None:
+        weighted = quality.select("doc_id", F.col("weight").cast("double").alias("weight"))
+        rows = rows.join(weighted, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    else:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    rows = rows.withColumn("key", -F.log(unit_interval(seed, F.col("doc_id"))) / F.col("weight"))
+
+    octave = F.floor(F.log2("weight") * 4).cast("int").alias("octave")  # a few dozen classes of weights
+    of_class = rows.groupBy("source", octave).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("copies")).alias("words"))
+    spread = F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("octave") / 4).alias("weight"), F.col("n").cast("double").alias("n")))
+    sizes = of_class.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("docs"), spread.alias("classes"))
+    targets = source_targets(sizes.drop("classes"), budget, weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    targets = targets.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = targets.withColumn("buckets", F.ceil(F.col("docs") / bucket_docs))
+    classes = sizes.select(F.col("source").alias("named"), "classes")
+    targets = targets.join(classes, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumnRenamed("source", "of")
+
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    below = F.aggregate("classes", F.lit(0.0), lambda s, c: s + c["n"] * (1 - F.exp(-c["weight"] * F.col("key"))))
+    rows = rows.withColumn("bucket", F.least(F.floor(below / F.col("docs") * F.col("buckets")), F.col("buckets") - 1).cast("bigint")).drop("classes")
+    totals = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("in_bucket"))
+    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead"))
+    joined = rows.join(totals, null_safe(rows, totals, "source", "bucket")).drop(totals["source"]).drop(totals["bucket"])
+    order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("ahead") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))
+    return joined.select("doc_id", "source", "size", "copies", "source_size", "target", "epochs", "part", start.alias("start"))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, seed: str = "mix", bucket_docs: int = 4_000, whole: bool = False) -> DataFrame:
     """Words to take from every document so that sources reach their targets.
 
@@ -57,35 +94,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, budget: float = 1.
     rows. An empty table gives an empty result. The draw depends on ids, sizes and
     the seed only, so reruns agree.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = -F.log(unit_interval(seed, F.col("doc_id"))) / (F.coalesce("weight", F.lit(1.0)) if quality is not None else F.lit(1.0))
-    rows = materialize(docs.select("doc_id", "source", size.alias("size")))  # texts are read once and never shuffled
-    rows = rows.join(quality, "doc_id", "left") if quality is not None else rows
-    rows = rows.select("doc_id", "source", "size", key.alias("key"))
-
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    targets = source_targets(sizes, budget, weights, cap)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    targets = targets.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumn("buckets", F.ceil(F.col("docs") / bucket_docs))
-
-    t = targets.withColumnRenamed("source", "of")
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("of")))
-    spread = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("bigint")
-    rows = rows.withColumn("bucket", spread)
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead"))
-
-    joined = rows.join(totals, null_safe(rows, totals, "source", "bucket")).drop(totals["source"]).drop(totals["bucket"])
-    order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    rows = drawn(docs, quality, budget, weights, cap, seed, bucket_docs)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    start = F.col("start") + F.col("copy") * F.col("size")
     if whole:
         extra = F.when((F.col("part") > 0) & (start + F.col("size") / 2 <= F.col("part")), F.col("size")).otherwise(0)
     else:
         extra = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("part") - start)))
     taken = F.col("size") * F.col("epochs") + extra
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
@@ -95,16 +112,32 @@ def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (not at all, once or twice)."""
-    taken = mix(docs, label_quality(labels), whole=True)
-    times = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    size = F.regexp_count("text", F.lit(WORD)).cast("bigint")
-    t = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times")
-    kept = docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & docs["source"].eqNullSafe(t["_source"]) & (size == t["_size"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it whole (not at all, once or twice).
+
+    Of rows that repeat source, id and size the sample may take some only, those of the
+    smallest text hashes. Texts without words go. Null ids and sources are values like any
+    other. All columns pass through, whatever their names.
+    """
+    rows = drawn(docs, label_quality(labels), 1.5, (5, 2, 1), 2.0, "mix", 4_000).where("size > 0")
+    sampled = F.when(F.col("part") > 0, F.floor((F.col("part") - F.col("start")) / F.col("size") + 0.5)).otherwise(0)
+    sampled = F.greatest(F.lit(0), F.least(sampled, F.col("copies")))  # as many as end half a document beyond the budget at most
+    rows = rows.withColumn("sampled", sampled).where("epochs > 0 or sampled > 0")
+    id_, source, size, epochs, more, some, times = unused(docs, "mix_id", "mix_source", "mix_size", "mix_epochs", "mix_sampled", "mix_some", "mix_times")
+    t = rows.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("epochs").alias(epochs), F.col("sampled").alias(more), (F.col("sampled").between(1, F.col("copies") - 1)).alias(some))
+    kept = docs.join(t, docs["doc_id"].eqNullSafe(t[id_]) & docs["source"].eqNullSafe(t[source]) & (F.regexp_count(docs["text"], F.lit(WORD)).cast("bigint") == t[size]))
+    often = kept.where(~F.col(some)).withColumn(times, F.col(epochs) + F.least(F.col(more), F.lit(1)))
+    place = F.row_number().over(W.partitionBy(id_, source, size).orderBy(F.xxhash64("text")))  # one such group a source, at the edge of its budget
+    split = kept.where(F.col(some)).withColumn(times, place).withColumn(times, F.col(epochs) + F.when(F.col(times) <= F.col(more), 1).otherwise(0))
+    every = often.unionByName(split).where(F.col(times) > 0)
+    return every.withColumn(times, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times).cast("bigint")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of ``documents``, quality weights from ``labels``.
+
+    Null and empty texts, null ids and sources, repeated rows and an empty table: see ``mix``.
+    Columns other than doc_id, source and text are not read.
+    """
     return mix(table(spark, sf_dir, "documents"), label_quality(table(spark, sf_dir, "labels"))).drop("source")
 
 

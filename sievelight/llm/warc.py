@@ -14,7 +14,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -55,8 +55,8 @@ def revisit_record(page_id: int | None, uri: str | None, length: int, digest: st
 
 
 def clean(value: str | None) -> str:
-    """A header value on one line."""
-    return " ".join((value or "").split())
+    """A header value on one line: line breaks are percent-encoded, all else stays."""
+    return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def record_name(file: str, offset: int) -> str:
@@ -71,17 +71,20 @@ class Writer:
         self.fs.create_dir(self.path, recursive=True)
         context = TaskContext.get()
         self.stem = f"{kind}-{context.partitionId():06d}-{context.taskAttemptId()}"
-        self.limit, self.files, self.out, self.at = limit, 0, None, 0
+        self.limit, self.files, self.out, self.name, self.at = limit, 0, None, "", 0
 
-    def add(self, record: bytes) -> tuple[str, int]:
+    def add(self, make: Callable[[str, int], bytes]) -> tuple[str, int, int]:
+        """Append the record that ``make`` gives for a file and an offset; returns both and its size."""
+        record = make(self.name, self.at) if self.out is not None else b""
         if self.out is None or self.at and self.at + len(record) > self.limit:
             self.close()
             self.name, self.at = f"{self.stem}-{self.files:05d}.warc.gz", 0
             self.files += 1
             self.out = self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None)
+            record = make(self.name, 0)
         self.out.write(record)
         self.at += len(record)
-        return self.name, self.at - len(record)
+        return self.name, self.at - len(record), len(record)
 
     def close(self) -> None:
         if self.out is not None:
@@ -168,9 +171,8 @@ def write_captures(pages: DataFrame, folder: str, limit: int = 64 << 20) -> Data
             for page_id, uri, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").cast(pa.large_binary()), strict=True):
                 payload = html.as_py() or b""
                 digest = digest_of(payload)
-                record = response_record(page_id, uri, payload, digest, record_name(writer.stem, writer.at))
-                name, at = writer.add(record)
-                rows.append((page_id, uri, digest, len(payload), name, at, len(record)))
+                place = writer.add(lambda file, at, of=(page_id, uri, payload, digest): response_record(*of, record_name(file, at)))
+                rows.append((page_id, uri, digest, len(payload), *place))
             yield to_batch(rows, HEADERS)
         writer.close()
 
@@ -222,7 +224,7 @@ def write_resolved(decided: DataFrame, captures: str, folder: str, limit: int =
                     if rest or len(payload) != r["length"]:
                         raise ValueError(f"{r['file']} has no such record at {r['offset']}")
                     record = response_record(r["page_id"], r["uri"], payload, r["digest"], own)
-                name, _ = writer.add(record)
+                name, _, _ = writer.add(lambda *_, record=record: record)
                 counts[name] = counts.get(name, 0) + 1
         if source is not None:
             source.close()
@@ -279,12 +281,19 @@ def revisits(pages: DataFrame, *, min_bytes: int = 0, limit: int = 64 << 20) ->
     """
     folder, files = deduplicated_archives(pages, min_bytes=min_bytes, limit=limit)
     read = materialize(read_archives(files, folder))
-    first = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("length").alias("of_length"))
-    out = read.join(first, "refers_id", "left")
-    return out.select("page_id", F.coalesce("length", "of_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    responses, others = read.where("refers_id is null"), read.where("refers_id is not null")
+    first = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("length").alias("of_length"))
+    resolved = others.drop("length").join(first, "refers_id").withColumnRenamed("of_length", "length")
+    columns = ["page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns).unionByName(resolved.select(*columns))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every row of ``pages``, read back from archives.
+
+    Null html is an empty payload; null and repeated ids, repeated rows, very long pages and
+    an empty table: see ``revisits``. Columns other than page_id, url and html are not read.
+    """
     return revisits(table(spark, sf_dir, "pages"))
 
 

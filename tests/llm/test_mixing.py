@@ -55,3 +55,24 @@ def test_mixed_documents_repeats_rows(spark):
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, mixing.label_quality(labels), whole=True).collect()}
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in taken.items() if v}
+
+
+def test_weights_fill_buckets_evenly(spark):
+    rows = [(i, "s", "w") for i in range(6000)]
+    q = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0.05).alias("weight"))
+    d = mixing.drawn(make(spark, rows), q, 1.5, (5, 2, 1), 2.0, "mix", 100)
+    starts = sorted(r.start for r in d.collect())
+    assert starts == list(range(6000))
+
+
+def test_repeated_rows_are_taken_in_part(spark):
+    rows = [(7, "a", "w w w")] * 50 + [(i, "b", "w") for i in range(100, 150)] + [(None, None, "x y")] * 20
+    docs = make(spark, rows)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    one = mixing.mix(docs, mixing.label_quality(labels), whole=True).collect()
+    out = mixing.mixed_documents(docs, labels).collect()
+    assert len(one) == 120
+    for source in ("a", "b", None):
+        words = sum(len(r.text.split()) for r in out if r.source == source)
+        assert words == sum(r.taken for r in one if r.source == source)
+        assert abs(words - next(r.target for r in one if r.source == source)) <= 3

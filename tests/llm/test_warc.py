@@ -43,3 +43,15 @@ def test_files_are_plain_warc(spark):
     assert len(found) == 2
     with pytest.raises(ValueError):
         list(warc.parse([data[:-30]]))
+
+
+def test_every_capture_has_a_name_of_its_own(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i % 3} b", f"text {i % 4}") for i in range(60)], "page_id long, url string, html string").coalesce(2)
+    folder = warc.shared_dir(spark)
+    headers = warc.write_captures(pages, folder, limit=900).collect()
+    found = {}
+    for name in {r.file for r in headers}:
+        for h, _ in warc.parse(warc.file_chunks(*warc.open_folder(f"{folder}/{name}"))):
+            found[h["warc-record-id"]] = h["warc-target-uri"]
+    assert len({r.file for r in headers}) > 4 and len(found) == 60 and set(found.values()) == {f"http://a/{k} b" for k in range(3)}
+    assert {warc.record_name(r.file, r.offset) for r in headers} == set(found)
