@@ -7,7 +7,7 @@ from sievelight.llm import lines
 
 def brute(rows, least):
     """Delete every line of a run of enough words that starts earlier in the corpus too."""
-    docs = sorted({(2**63 - 1 if d is None else d, t) for d, t in rows if t}, key=lambda x: x[0])
+    docs = sorted({(2**65 if d is None else d, t) for d, t in rows if t}, key=lambda x: x[0])
     seqs = {x: [ln for ln in x[1].split("\n") if ln.split()] for x in docs}
     gone = {x: set() for x in docs}
     for a, x in enumerate(docs):
@@ -26,13 +26,13 @@ def brute(rows, least):
 
 def check(spark, rows, least):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.text, r._lines, r._left) for r in lines.deduplicated(docs, min_words=least).collect()), key=str)
+    got = sorted(((r.doc_id, r.text, r.lines, r.kept_lines) for r in lines.deduplicated(docs, min_words=least).collect()), key=str)
     gone, want = brute(rows, least), []
     for d, t in rows:
         if not t:
             want.append((d, t, 0, 0))
             continue
-        g, k, out = gone[(2**63 - 1 if d is None else d, t)], 0, []
+        g, k, out = gone[(2**65 if d is None else d, t)], 0, []
         for ln in t.split("\n"):
             if ln.split():
                 if k not in g:
@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     rng = random.Random(6)
     some = ["a", "b b", "c c c", "d d d d", "e e e e e e e", ""]
     rows = [(i, "\n".join(rng.choices(some, k=rng.randrange(1, 14)))) for i in range(14)]
-    rows += [(20, rows[0][1]), (21, "a\n" * 40), (22, "x\n" + rows[3][1] + "\ny"), (23, None), (24, ""), (25, " \n\n"), (None, rows[5][1]), (2, rows[2][1])]
+    rows += [(20, rows[0][1]), (21, "a\n" * 40), (22, "x\n" + rows[3][1] + "\ny"), (23, None), (24, ""), (25, " \n\n"), (None, rows[5][1]), (2**63 - 1, rows[5][1] + "\nz"), (0, None), (2, rows[2][1])]
     check(spark, rows, 6)
     check(spark, rows, 1)
 
@@ -70,3 +70,25 @@ def test_kept_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.n_chars for r in lines.kept_documents(docs, min_words=3).collect()}
     assert got == {1: 18, 3: 0}
+
+
+def test_maximal_runs_by_definition(spark):
+    rng = random.Random(9)
+    some = ["a", "b b", "c c c", "d d d d"]
+    rows = [(i, "\n".join(rng.choices(some, k=rng.randrange(1, 18)))) for i in range(9)] + [(30, "q\nr\ns\nt\nu\nv\nw"), (31, "x\nq\nr\ns\nt\nu\nv\ny"), (32, "q\nr\ns\n" + "z\n" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seqs = {d: [ln for ln in t.split("\n") if ln.split()] for d, t in rows}
+    at = lambda d, i: seqs[d][i] if 0 <= i < len(seqs[d]) else None
+    words = lambda d, i, n: sum(len(x.split()) for x in seqs[d][i : i + n])
+    for least in (1, 7):
+        got = {(r.doc, r.i, r.n, r.first.doc, r.first.i) for r in lines.maximal_runs(docs, min_words=least).collect()}
+        gone = {}
+        for d, i, n, e, j in got:
+            assert (e, j) < (d, i) and words(d, i, n) >= least
+            assert seqs[d][i : i + n] == seqs[e][j : j + n] and (at(d, i + n) is None or at(d, i + n) != at(e, j + n))
+            assert not any(seqs[x][y : y + n] == seqs[d][i : i + n] for x in seqs for y in range(len(seqs[x])) if (x, y) < (e, j))
+            gone.setdefault(d, set()).update(range(i, i + n))
+        want = brute(rows, least)
+        assert {k: v for k, v in gone.items() if v} == {k[0]: v for k, v in want.items() if v}
+        assert least > 6 or (31, 1, 6, 30, 0) in got
+    assert lines.maximal_runs(docs.limit(0)).count() == 0

@@ -15,7 +15,7 @@ def test_stages_take_effect(spark):
         assert docs.columns == columns and docs.dtypes == before.dtypes
         kept[name] = Counter(r.doc_id for r in docs.select("doc_id").collect())
         if name == "line dedup":
-            assert lines.repeated_runs(docs).count() == 0
+            assert lines.maximal_runs(docs).count() == 0
             assert docs.where("n_chars <> length(text)").count() == 0
         elif name == "simhash near-dedup":
             named = simhash.near_duplicates(before).collect()
