@@ -7,8 +7,6 @@ but before the depth cut. Every ranking has a total order.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +28,14 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def settled(lane: DataFrame, depth: int = 200) -> DataFrame:
+    """A lane's rows, ``depth`` at most, computed once: whatever is built on them does not run the lane again."""
+    rows = lane.limit(depth + 1).collect()
+    if len(rows) > depth:
+        raise ValueError(f"a lane has more than {depth} rows")
+    return lane.sparkSession.createDataFrame(rows, lane.schema)
+
+
 def eligible_rows(df: DataFrame, eligible: DataFrame | None, key: list[str] = KEY) -> DataFrame:
     return df if eligible is None else df.join(eligible.select(*key).distinct(), key, "left_semi")
 
@@ -94,7 +100,8 @@ def vector_lane(vectors: DataFrame, query: list[float], eligible: DataFrame | No
 def fuse(text: DataFrame, vector: DataFrame, *, k: int = 60, text_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
     """Reciprocal rank fusion of two lanes (scope_id, chunk_id, [image_id,] rank); a missing lane adds nothing.
 
-    Image rows take the text rank of the chunk that cites them.
+    Image rows take the text rank of the chunk that cites them. Each lane is read twice:
+    give ``settled`` ones.
     """
     t = text.select(*KEY, F.col("rank").alias("text_rank"))
     v = vector.select(*KEY, *(["image_id"] if "image_id" in vector.columns else [F.lit(None).cast("string").alias("image_id")]), F.col("rank").alias("vector_rank"))
@@ -194,13 +201,6 @@ def rerank(ranked: DataFrame, order: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).drop("new_rank")
 
 
-def trigram_postings(corpus: DataFrame) -> DataFrame:
-    """(trigram, scope_id, chunk_id, n): an index to prefilter phrases with; its partitions follow the trigram."""
-    text = F.lower("text")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3)))
-    return corpus.select(*KEY, F.explode(grams).alias("trigram")).where(F.length("trigram") == 3).groupBy("trigram", *KEY).agg(F.count(F.lit(1)).alias("n"))
-
-
 def resolve_mode(asked: str, *, vectors_ready: bool, online_allowed: bool, fail_behavior: str = "fallback") -> tuple[str, str | None]:
     """(mode, reason for falling back): auto prefers hybrid; without vectors or consent it is text, or an error if asked to."""
     if asked == "text":

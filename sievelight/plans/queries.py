@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
-from ..operators import chunking, evaluation, evidence, history, ledger, lifecycle, search, units
+from ..operators import chunking, evaluation, evidence, history, index, ledger, lifecycle, search, units
 from ..sources import scan, stores
 from . import fixture
 
@@ -43,6 +43,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("scope_id"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("chunk_id"), hashing.content_hash(F.col("text").cast("binary")).alias("raw_hash"), F.lit("[]").alias("heading_path"), "text")
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The index of the documents as they are now, written on first use."""
+    return index.TextIndex.of(corpus(spark, sf_dir), index.state_of(spark, f"{sf_dir}/documents.parquet"))
+
+
 CORPUS = """c AS (SELECT source AS scope_id, lpad(doc_id::VARCHAR, 10, '0') AS chunk_id, 'sha256:' || sha256(text) AS raw_hash, text FROM documents)"""
 
 BM25 = (
@@ -63,15 +68,15 @@ b AS (SELECT scope_id, chunk_id, raw_hash, - i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 +
 @query(BM25 + "SELECT scope_id, chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY bm25, scope_id, chunk_id)::INT AS rank FROM b ORDER BY rank LIMIT 10")
 def bm25_top10(spark, sf_dir):
     """Global BM25 over trigram phrases."""
-    return search.bm25(corpus(spark, sf_dir), PHRASES, depth=10).withColumn("bm25", F.round("bm25", 6))
+    return text_index(spark, sf_dir).bm25(PHRASES, depth=10).drop("raw_hash").withColumn("bm25", F.round("bm25", 6))
 
 
 @query(BM25 + "SELECT scope_id, chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY bm25, scope_id, chunk_id)::INT AS rank FROM b WHERE scope_id IN ('src1', 'src2', 'src3') ORDER BY rank LIMIT 200")
 def bm25_in_scopes(spark, sf_dir):
     """Rows are restricted before the cut, statistics are not."""
-    c = corpus(spark, sf_dir)
-    eligible = c.where("scope_id in ('src1', 'src2', 'src3')").select("scope_id", "chunk_id")
-    return search.bm25(c, PHRASES, eligible).withColumn("bm25", F.round("bm25", 6))
+    found = text_index(spark, sf_dir)
+    eligible = found.docs.where("scope_id in ('src1', 'src2', 'src3')").select("scope_id", "chunk_id")
+    return found.bm25(PHRASES, eligible).drop("raw_hash").withColumn("bm25", F.round("bm25", 6))
 
 
 @query("WITH " + CORPUS + "SELECT scope_id, chunk_id, strpos(text, 'is')::INT AS position, row_number() OVER (ORDER BY strpos(text, 'is'), scope_id, chunk_id)::INT AS rank, 0.0::DOUBLE AS bm25 FROM c WHERE contains(text, 'is') AND (contains(text, 'to') OR contains(text, 'To')) ORDER BY rank LIMIT 200".replace("SELECT scope_id", " SELECT scope_id", 1))
@@ -81,16 +86,17 @@ def short_tokens(spark, sf_dir):
 
 
 def vector_table(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
+    """Vectors of the documents' chunks; some belong to images that the chunks cite."""
+    e, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
     image = F.when(F.col("label") == 9, F.concat(F.lit("img"), (F.col("vec_id") % 7).cast("string")))
-    return e.select(F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("scope_id"), F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("chunk_id"), image.alias("image_id"), F.col("embedding").alias("vector"))
+    return e.join(d, "vec_id", "left").select(F.coalesce("source", F.lit("none")).alias("scope_id"), F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("chunk_id"), image.alias("image_id"), F.col("embedding").alias("vector"))
 
 
 def query_vector(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_ID).first().embedding
 
 
-VECTORS = """v AS (SELECT 's' || (label % 3) AS scope_id, lpad(vec_id::VARCHAR, 10, '0') AS chunk_id, CASE WHEN label = 9 THEN 'img' || (vec_id % 7) END AS image_id, embedding::DOUBLE[] AS vector FROM embeddings),
+VECTORS = """v AS (SELECT coalesce(source, 'none') AS scope_id, lpad(vec_id::VARCHAR, 10, '0') AS chunk_id, CASE WHEN label = 9 THEN 'img' || (vec_id % 7) END AS image_id, embedding::DOUBLE[] AS vector FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
 q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 fi AS (SELECT *, row_number() OVER (PARTITION BY scope_id, image_id ORDER BY chunk_id) AS nth FROM v),
 vr AS (SELECT scope_id, chunk_id, image_id, list_cosine_similarity(vector, q) AS cosine FROM fi, q WHERE image_id IS NULL OR nth = 1),
@@ -112,35 +118,39 @@ def cosine_top10(spark, sf_dir):
 
 
 def lanes(spark, sf_dir):
-    t = search.bm25(corpus(spark, sf_dir).withColumn("scope_id", F.lit("s")), PHRASES)
-    v = search.vector_lane(vector_table(spark, sf_dir).where("image_id is null").withColumn("scope_id", F.lit("s")), query_vector(spark, sf_dir))
-    return t, v
+    """Both lanes, 200 rows each at most, computed once."""
+    t = search.settled(text_index(spark, sf_dir).bm25(PHRASES))
+    return t, search.settled(search.vector_lane(vector_table(spark, sf_dir), query_vector(spark, sf_dir)))
 
 
 def fused(spark, sf_dir):
+    """The fused rows with the hash of their document and their vector; only the documents of these rows are looked up."""
     f = search.fuse(*lanes(spark, sf_dir))
-    c = corpus(spark, sf_dir).select("chunk_id", "raw_hash", F.col("scope_id").alias("home"))
-    e = vector_table(spark, sf_dir).select("chunk_id", "vector")
-    return f.join(c, "chunk_id", "left").join(e, "chunk_id", "left")
+    keys = F.broadcast(f.select("scope_id", "chunk_id").distinct())  # of 400 rows at most
+    c = text_index(spark, sf_dir).docs.join(keys, ["scope_id", "chunk_id"], "left_semi").select("scope_id", "chunk_id", "raw_hash")
+    e = vector_table(spark, sf_dir).join(keys, ["scope_id", "chunk_id"], "left_semi").select("scope_id", "chunk_id", "vector")
+    return f.join(c, ["scope_id", "chunk_id"], "left").join(e, ["scope_id", "chunk_id"], "left")
 
 
 FUSED = (
     BM25.rstrip()
     + """,
-t AS (SELECT chunk_id, row_number() OVER (ORDER BY bm25, chunk_id) AS rank FROM b ORDER BY rank LIMIT 200),
-v AS (SELECT lpad(vec_id::VARCHAR, 10, '0') AS chunk_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-vl AS (SELECT chunk_id, row_number() OVER (ORDER BY list_cosine_similarity(e, q) DESC, chunk_id) AS rank FROM v, q WHERE label <> 9 ORDER BY rank LIMIT 200),
-u AS (SELECT coalesce(t.chunk_id, vl.chunk_id) AS chunk_id, t.rank::INT AS text_rank, vl.rank::INT AS vector_rank, coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + vl.rank), 0) AS score FROM t FULL JOIN vl ON t.chunk_id = vl.chunk_id),
-r AS (SELECT u.*, c.raw_hash, c.scope_id AS home, row_number() OVER (ORDER BY score DESC, u.chunk_id)::INT AS rank FROM u LEFT JOIN c ON c.chunk_id = u.chunk_id)
+t AS (SELECT scope_id, chunk_id, row_number() OVER (ORDER BY bm25, scope_id, chunk_id) AS rank FROM b ORDER BY rank LIMIT 200),
+"""
+    + VECTORS
+    + """,
+u AS (SELECT coalesce(t.scope_id, w.scope_id) AS scope_id, coalesce(t.chunk_id, w.chunk_id) AS chunk_id, NULL::VARCHAR AS image_id, t.rank AS text_rank, w.rank AS vector_rank FROM t FULL JOIN (SELECT * FROM vl WHERE image_id IS NULL) w ON t.scope_id = w.scope_id AND t.chunk_id = w.chunk_id
+  UNION ALL SELECT w.scope_id, w.chunk_id, w.image_id, t.rank, w.rank FROM vl w LEFT JOIN t ON t.scope_id = w.scope_id AND t.chunk_id = w.chunk_id WHERE w.image_id IS NOT NULL),
+y AS (SELECT *, coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS score FROM u),
+r AS (SELECT y.scope_id, y.chunk_id, y.image_id, text_rank::INT AS text_rank, vector_rank::INT AS vector_rank, score, c.raw_hash, row_number() OVER (ORDER BY score DESC, y.chunk_id, y.scope_id, y.image_id NULLS FIRST)::INT AS rank FROM y LEFT JOIN c ON c.chunk_id = y.chunk_id AND c.scope_id = y.scope_id)
 """
 )
 
 
-@query(FUSED + "SELECT chunk_id, text_rank, vector_rank, round(score, 9) AS score, rank FROM r")
+@query(FUSED + "SELECT scope_id, chunk_id, image_id, text_rank, vector_rank, round(score, 9) AS score, rank FROM r")
 def hybrid_rrf(spark, sf_dir):
     """Both lanes fused by reciprocal ranks."""
-    return search.fuse(*lanes(spark, sf_dir)).select("chunk_id", "text_rank", "vector_rank", F.round("score", 9).alias("score"), "rank")
+    return search.fuse(*lanes(spark, sf_dir)).select("scope_id", "chunk_id", "image_id", "text_rank", "vector_rank", F.round("score", 9).alias("score"), "rank")
 
 
 @query(FUSED + ", n AS (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY rank) AS nth FROM r WHERE raw_hash IS NOT NULL) SELECT chunk_id, raw_hash, row_number() OVER (ORDER BY rank)::INT AS rank FROM n WHERE nth <= 1")
@@ -149,21 +159,21 @@ def capped_per_document(spark, sf_dir):
     return search.cap_per_document(fused(spark, sf_dir).where("raw_hash is not null"), 1).select("chunk_id", "raw_hash", "rank")
 
 
-@query(FUSED + ", n AS (SELECT *, row_number() OVER (PARTITION BY home, raw_hash ORDER BY rank) AS nth FROM r WHERE raw_hash IS NOT NULL), g AS (SELECT chunk_id, home AS scope_id, raw_hash, row_number() OVER (ORDER BY rank)::INT AS rank FROM n WHERE nth = 1) SELECT * FROM g WHERE rank > 5 AND rank <= 25")
+@query(FUSED + ", n AS (SELECT *, row_number() OVER (PARTITION BY scope_id, raw_hash ORDER BY rank) AS nth FROM r WHERE raw_hash IS NOT NULL), g AS (SELECT chunk_id, scope_id, raw_hash, row_number() OVER (ORDER BY rank)::INT AS rank FROM n WHERE nth = 1) SELECT * FROM g WHERE rank > 5 AND rank <= 25")
 def documents_page(spark, sf_dir):
     """One row per document and scope, the second page."""
-    rows = fused(spark, sf_dir).where("raw_hash is not null").drop("scope_id").withColumnRenamed("home", "scope_id")
+    rows = fused(spark, sf_dir).where("raw_hash is not null")
     return search.page(search.group_documents(rows).select("chunk_id", "scope_id", "raw_hash", "rank"), 5, 20)
 
 
-@query(FUSED + ", p AS (SELECT doc_id, lpad(doc_id::VARCHAR, 10, '0') AS chunk_id FROM documents), a AS (SELECT chunk_id, 'a/' || doc_id AS path, 'c1' AS commit_hash FROM p UNION ALL SELECT chunk_id, 'b/' || doc_id, 'c2' FROM p WHERE doc_id % 2 = 0) SELECT r.chunk_id, a.path, a.commit_hash, round(score, 9) AS score, row_number() OVER (ORDER BY rank, r.chunk_id, path, commit_hash)::INT AS row FROM r JOIN a ON a.chunk_id = r.chunk_id")
+@query(FUSED + ", p AS (SELECT doc_id, source AS scope_id, lpad(doc_id::VARCHAR, 10, '0') AS chunk_id FROM documents), a AS (SELECT scope_id, chunk_id, 'a/' || doc_id AS path, 'c1' AS commit_hash FROM p UNION ALL SELECT scope_id, chunk_id, 'b/' || doc_id, 'c2' FROM p WHERE doc_id % 2 = 0) SELECT r.chunk_id, r.image_id, a.path, a.commit_hash, round(score, 9) AS score, row_number() OVER (ORDER BY rank, r.scope_id, r.chunk_id, path, commit_hash)::INT AS row FROM r JOIN a ON a.chunk_id = r.chunk_id AND a.scope_id = r.scope_id")
 def alias_rows(spark, sf_dir):
     """Results expanded to their bindings."""
-    d = load(spark, sf_dir, "documents").select(F.lit("s").alias("scope_id"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("chunk_id"), "doc_id")
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("scope_id"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("chunk_id"), "doc_id")
     a = d.select("scope_id", "chunk_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"), F.lit("c1").alias("commit_hash"))
     b = d.where("doc_id % 2 = 0").select("scope_id", "chunk_id", F.concat(F.lit("b/"), F.col("doc_id").cast("string")).alias("path"), F.lit("c2").alias("commit_hash"))
     rows = search.expand_aliases(search.fuse(*lanes(spark, sf_dir)), a.unionByName(b))
-    return rows.select("chunk_id", "path", "commit_hash", F.round("score", 9).alias("score"), "row")
+    return rows.select("chunk_id", "image_id", "path", "commit_hash", F.round("score", 9).alias("score"), "row")
 
 
 @query()
@@ -174,12 +184,13 @@ def mmr_diversified(spark, sf_dir):
     return search.diversify(rows, by=[]).select("chunk_id", "raw_hash", F.round("score", 9).alias("score"), "rank")
 
 
-@query(FUSED + ", o AS (SELECT chunk_id, row_number() OVER (ORDER BY md5(chunk_id))::INT AS new_rank FROM r WHERE rank <= 50) SELECT r.chunk_id, row_number() OVER (ORDER BY new_rank IS NULL, new_rank, rank)::INT AS rank FROM r LEFT JOIN o ON o.chunk_id = r.chunk_id")
+@query(FUSED + ", o AS (SELECT rank, row_number() OVER (ORDER BY md5(chunk_id || coalesce(image_id, '')), rank)::INT AS new_rank FROM r WHERE rank <= 50) SELECT r.chunk_id, r.image_id, row_number() OVER (ORDER BY new_rank IS NULL, new_rank, r.rank)::INT AS rank FROM r LEFT JOIN o ON o.rank = r.rank")
 def reranked(spark, sf_dir):
     """An order from outside for the head, the tail as it was."""
-    f = search.fuse(*lanes(spark, sf_dir)).select("chunk_id", "rank")
-    order = f.where("rank <= 50").select("chunk_id", F.row_number().over(W.orderBy(F.md5("chunk_id"))).alias("new_rank"))
-    return search.rerank(f, order, ["chunk_id"])
+    f = search.fuse(*lanes(spark, sf_dir)).select("chunk_id", "image_id", "rank").withColumn("place", F.col("rank"))
+    mixed = F.md5(F.concat("chunk_id", F.coalesce("image_id", F.lit(""))))
+    order = f.where("rank <= 50").select("place", F.row_number().over(W.orderBy(mixed, "rank")).alias("new_rank"))
+    return search.rerank(f, order, ["place"]).drop("place")
 
 
 @query("WITH " + CORPUS + " SELECT scope_id, chunk_id FROM c WHERE scope_id NOT IN ('src3', 'src4')")

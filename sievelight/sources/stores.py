@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import content_hash
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that operators write, below ``spark.checkpoint.dir``; a local one only where that is unset in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sievelight-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/sievelight"
+
+
 def new_objects(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Objects (kind, body) keyed by content that the store does not have yet, once each."""
     keyed = rows.withColumn("hash", content_hash(F.col("body").cast("binary"))).dropDuplicates(["kind", "hash"])

@@ -4,7 +4,7 @@ import sqlite3
 import numpy as np
 import pytest
 
-from sievelight.operators import chunking, search
+from sievelight.operators import chunking, index, search
 
 UNIT = {"raw_hash": "r", "tool_profile_hash": "p", "gen": 1, "unit_key": "u"}
 
@@ -111,7 +111,35 @@ def test_modes():
         search.resolve_mode("vector", vectors_ready=True, online_allowed=False, fail_behavior="error")
 
 
-def test_postings(spark):
-    df = spark.createDataFrame([("s", "c", "aaaab"), ("s", "d", "ab")], "scope_id string, chunk_id string, text string")
-    assert {(r.trigram, r.n) for r in search.trigram_postings(df).collect()} == {("aaa", 2), ("aab", 1)}
+def test_order_from_outside(spark):
     assert search.rerank(lane(spark, ["a", "b", "c"]), spark.createDataFrame([("c", 1)], "chunk_id string, new_rank int"), ["chunk_id"]).orderBy("rank").select("chunk_id").collect()[0][0] == "c"
+
+
+@pytest.mark.parametrize("phrases", [["aaa"], ["aaa", "bbb"], ["école"], ["検索エ"], ["quick aaa"], ["aaaa"], ["no such"], ["aaa", "zzz"]])
+def test_index_equals_scan(spark, tmp_path, phrases):
+    heads = [json.dumps(["aaa"]) if i % 4 == 0 else "[]" for i in range(len(DOCS))]
+    corpus = spark.createDataFrame([("s", f"{i:02d}", "r", h, d) for i, (d, h) in enumerate(zip(DOCS, heads))], "scope_id string, chunk_id string, raw_hash string, heading_path string, text string")
+    index.TextIndex.build(corpus, f"{tmp_path}/i")
+    built = index.TextIndex(spark, f"{tmp_path}/i")
+    want = {r.chunk_id: r.bm25 for r in search.bm25(corpus, phrases).collect()}
+    got = {r.chunk_id: r.bm25 for r in built.bm25(phrases).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    some = corpus.where("chunk_id < '05'").select("scope_id", "chunk_id")
+    assert {r.chunk_id for r in built.bm25(phrases, some).collect()} == {k for k in want if k < "05"}
+
+
+def test_index_of_nothing_and_of_odd_rows(spark, tmp_path):
+    rows = [("s", "a", "r", "[]", None), ("s", "b", "r", None, "xy"), ("s", "c", "r", "[]", "😀😀😀 x")]
+    corpus = spark.createDataFrame(rows, "scope_id string, chunk_id string, raw_hash string, heading_path string, text string")
+    index.TextIndex.build(corpus, f"{tmp_path}/i")
+    assert [r.chunk_id for r in index.TextIndex(spark, f"{tmp_path}/i").bm25(["😀😀😀"]).collect()] == ["c"]
+    index.TextIndex.build(corpus.limit(0), f"{tmp_path}/j")
+    assert index.TextIndex(spark, f"{tmp_path}/j").bm25(["abc"]).count() == 0
+    with pytest.raises(ValueError):
+        index.TextIndex(spark, f"{tmp_path}/j").bm25(["ab"])
+
+
+def test_settled_lane(spark):
+    assert [r.chunk_id for r in search.settled(lane(spark, ["a", "b"]), 2).collect()] == ["a", "b"]
+    with pytest.raises(ValueError):
+        search.settled(lane(spark, ["a", "b", "c"]), 2)
