@@ -7,8 +7,10 @@ import json
 import math
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH = r"^sha256:[0-9a-f]{64}$"
 
@@ -85,6 +87,32 @@ def chunk_id_column(raw_hash: Column, tool_profile_hash: Column, gen: Column, un
     return content_hash(body)
 
 
+def embedding_id_column(target_type: Column, target_hash: Column, dimensions: Column, distance: Column, modality: Column, profile_hash: Column, context: Column) -> Column:
+    """``embedding_id`` without Python, under the same condition."""
+    return content_hash(json_struct(target_type=target_type, target_hash=target_hash, dimensions=dimensions, distance=distance, modality=modality, profile_hash=profile_hash, context=context, spec_version=F.lit(1)))
+
+
+def chunking_config_column(max_chars: Column, strategy: Column) -> Column:
+    return content_hash(json_struct(max_chars=max_chars, strategy=strategy, spec_version=F.lit(1)))
+
+
+def tool_profile_column(tool: Column, version: Column, options: Column) -> Column:
+    """Identity of a tool with its version and options; absent options are left out."""
+    return content_hash(json_struct(tool=tool, version=version, options=options, spec_version=F.lit(1)))
+
+
+def fingerprint_column(text_layer: Column, prepared: Column) -> Column:
+    """text_hash of the text layer, and of the prepared bytes the perceptual and the visual hash, which are one."""
+    whole = content_hash(prepared)
+    return F.struct(content_hash(text_layer).alias("text_hash"), whole.alias("perceptual_hash"), whole.alias("visual_hash"))
+
+
+@F.pandas_udf(T.StringType())
+def input_hash(query: pd.Series) -> pd.Series:
+    """Hash of a query's NFC form: the query itself is never stored."""
+    return query.map(lambda q: None if q is None else hash_bytes(unicodedata.normalize("NFC", q).encode()))
+
+
 def unit_ref(unit_key: Column) -> Column:
     return F.substring(F.sha2(unit_key, 256), 1, 16)
 

@@ -209,6 +209,13 @@ def leaf_section(section_id: Column, heading_slug: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(section_id, "/"), -1), F.lit("")), heading_slug)
 
 
+def real_text(text: str, percent: int = 85) -> bool:
+    """At least ``percent`` % of the characters, those around the text's ends left aside, are printable or white space."""
+    body = text.strip()
+    printable = sum(c != "\ufffd" and (unicodedata.category(c) != "Cc" or c.isspace()) for c in body)
+    return bool(body) and printable * 100 >= len(body) * percent
+
+
 def is_real_text(text: Column, percent: int = 85) -> Column:
     """At least ``percent`` % of the characters are printable (or tab and line ends)."""
     printable = F.length(F.regexp_replace(text, r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}\uFFFD&&[^\t\n\r]]", ""))

@@ -26,6 +26,32 @@ def finite_vector(a: Column) -> Column:
     return a.isNotNull() & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
+@F.pandas_udf(T.BinaryType())
+def encoded(vectors: pd.Series) -> pd.Series:
+    """A vector as little-endian single floats; null where it is null or has a null or non-finite component."""
+
+    def one(v) -> bytes | None:
+        if v is None or any(x is None for x in v):
+            return None
+        a = np.asarray(v, dtype="<f4")
+        return a.tobytes() if np.isfinite(a).all() else None
+
+    return vectors.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def decoded(data: pd.Series) -> pd.Series:
+    """The vector of little-endian single floats; null where the bytes are no whole number of finite ones."""
+
+    def one(b) -> np.ndarray | None:
+        if b is None or len(b) % 4:
+            return None
+        a = np.frombuffer(b, dtype="<f4")
+        return a.astype(np.float32) if np.isfinite(a).all() else None
+
+    return data.map(one)
+
+
 def rank_cosine(a: Column, b: Column) -> Column:
     """Cosine for ranking: null (the row is dropped) where widths differ, a norm is zero or the value is not finite."""
     n = norm(a) * norm(b)

@@ -72,6 +72,7 @@ def chunk_unit(unit: dict, max_chars: int = 6000) -> Iterator[dict]:
     text = unit["text"] or ""
     content = hash_bytes(text.encode())
     seen: dict[str, int] = {}
+    told, place = 0, 0  # characters passed so far, and their bytes
     for start, end, path in sections(text):
         slug = "/".join(map(slugify, path))
         section = None
@@ -82,7 +83,8 @@ def chunk_unit(unit: dict, max_chars: int = 6000) -> Iterator[dict]:
             body = text[a:b]
             if not body.strip(WHITE_SPACE):
                 continue
-            at = len(text[:a].encode())
+            place += len(text[told:a].encode())
+            told, at = a, place
             raw = body.encode()
             identity = {"raw_hash": unit["raw_hash"], "tool_profile_hash": unit["tool_profile_hash"], "gen": int(unit["gen"]), "unit_key": unit["unit_key"], "unit_content_hash": content, "heading_path": path, "byte_start": at, "byte_end": at + len(raw), "section_id": section}
             yield identity | {"chunk_id": chunk_id(**identity), "text_hash": hash_bytes(raw), "text": body}

@@ -9,6 +9,7 @@ at a depth of 100. Trees are unbounded and stay in joins.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,13 +80,67 @@ def introductions(entries: DataFrame, parents: DataFrame, key: list[str]) -> Dat
     return held.join(before, ["commit_hash", *key], "left_anti")
 
 
-def canonical_introduction(introduced: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
-    """The ancestor-most introduction of each binding, the smallest hash among several."""
-    reach = reachable(introduced.select("commit_hash"), parents).where("depth > 0").select("start", F.col("commit_hash").alias("ancestor"))
-    later = introduced.withColumnRenamed("commit_hash", "start").join(reach, "start")
-    later = later.join(introduced.withColumnRenamed("commit_hash", "ancestor"), ["ancestor", *key], "left_semi")
-    most = introduced.join(later.select(F.col("start").alias("commit_hash"), *key), ["commit_hash", *key], "left_anti")
-    return most.groupBy(*key).agg(F.min("commit_hash").alias("commit_hash"))
+def in_order(edges: list[tuple[str, str]]) -> list[str]:
+    """The commits of a graph, parents before children."""
+    up: dict[str, list[str]] = {}
+    for child, parent in edges:
+        up.setdefault(child, []).append(parent)
+        up.setdefault(parent, [])
+    out: dict[str, None] = {}
+    for first in up:
+        stack = [first]
+        while stack:
+            c = stack[-1]
+            wait = [p for p in up[c] if p not in out] if c not in out else []
+            if wait:
+                stack += wait
+                if len(stack) > 2 * len(up) * (1 + max(map(len, up.values()))):
+                    raise ValueError("a commit is its own ancestor")
+            else:
+                out[stack.pop()] = None
+    return list(out)
+
+
+def canonical_introduction(introduced: DataFrame, parents: DataFrame, key: list[str], most: int = MOST_COMMITS) -> DataFrame:
+    """The ancestor-most introduction of each binding, the smallest hash among several.
+
+    Of ``introduced`` (commit_hash, *key) in one store's graph, which has ``most`` commits at most
+    and goes to all tasks. A task takes bindings by the thousand: one bit each says for every
+    commit, parents first, whether an ancestor introduces the binding.
+    """
+    edges = [tuple(r) for r in parents.select("commit_hash", "parent").distinct().limit(4 * most + 1).collect()]
+    order = in_order(edges)
+    if len(order) > most or len(edges) > 4 * most:
+        raise ValueError(f"a graph has more than {most} commits")
+    up: dict[str, list[str]] = {c: [] for c in order}
+    for child, parent in edges:
+        up[child].append(parent)
+    sent = introduced.sparkSession.sparkContext.broadcast((order, up))
+    grouped = introduced.groupBy(*key).agg(F.array_sort(F.collect_set("commit_hash")).alias("commits"))  # no more than there are commits
+    single = grouped.where(F.size("commits") == 1).select(*key, F.element_at("commits", 1).alias("commit_hash"))
+
+    def run(batches):
+        order, up = sent.value
+        for b in batches:
+            sets = b.column("commits").to_pylist()
+            first = []
+            for i in range(0, len(sets), 4096):
+                own: dict[str, int] = {}
+                for k, commits in enumerate(sets[i : i + 4096]):
+                    for c in commits:
+                        own[c] = own.get(c, 0) | 1 << k
+                above: dict[str, int] = {}
+                for c in order:
+                    bits = 0
+                    for p in up[c]:
+                        bits |= above[p] | own.get(p, 0)
+                    above[c] = bits
+                first += [next(c for c in commits if not above.get(c, 0) >> k & 1) for k, commits in enumerate(sets[i : i + 4096])]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), pa.array(first, pa.string())], [*key, "commit_hash"])
+
+    kinds = dict(grouped.dtypes)
+    several = grouped.where(F.size("commits") > 1).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", commit_hash string")
+    return single.unionByName(several)
 
 
 def final_deleted(chain: DataFrame, entries: DataFrame, head: DataFrame) -> DataFrame:
@@ -114,6 +169,10 @@ def live_chunks(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     return chunks.join(entries, ["raw_hash", "tool_profile_hash", "gen"])
 
 
-def log(head: DataFrame, parents: DataFrame, commits: DataFrame) -> DataFrame:
-    """The first-parent chain from a head, newest first (by depth)."""
-    return reachable(head, parents, first_parent=True).select("commit_hash", "depth").join(commits, "commit_hash")
+def all_bindings(head: DataFrame, parents: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
+    """Every distinct binding that the head reaches, its canonical introduction (pointer_commit), and whether the head has it."""
+    reached = reachable(head, parents).select("commit_hash").distinct()
+    held = entries.join(reached, "commit_hash", "left_semi").select(*key).distinct()
+    first = canonical_introduction(introductions(entries, parents, key), parents, key).withColumnRenamed("commit_hash", "pointer_commit")
+    live = entries.join(head, "commit_hash", "left_semi").select(*key).distinct().withColumn("_live", F.lit(True))
+    return held.join(first, key).join(live, key, "left").withColumn("is_live", F.coalesce("_live", F.lit(False))).drop("_live")

@@ -70,6 +70,11 @@ def markdownize_mode(c: DataFrame, threshold: float = 0.30, most: int = 5) -> Da
     return c.withColumn("reason", reason).withColumn("mode", F.when(F.col("reason").isNull(), "incremental").otherwise("full"))
 
 
+def local_cost(size_bytes: Column) -> Column:
+    """What local work on so many bytes is taken to cost: one hundredth of a dollar for each million."""
+    return size_bytes / F.lit(1e6) * F.lit(0.01)
+
+
 def change_rate(changed: Column, added: Column, removed: Column, new: Column) -> Column:
     return (changed + added + removed) / F.greatest(new, F.lit(1))
 
@@ -79,10 +84,11 @@ def sweep_quota(items: DataFrame, *, total: int = 256, reserved: int = 128) -> D
 
     items(id, kind 'prune' or other, ord, own): rows of ``own`` keys are taken beside the quota.
     """
-    kind = F.when(F.col("kind") == "prune", "prune").otherwise("other")
-    rows = items.where("not own").withColumn("_k", kind)
+    rest = items.where("not own")
+    first = lambda kind: rest.where(F.col("kind") == "prune" if kind == "prune" else F.col("kind") != "prune").orderBy("ord", "id").limit(total).withColumn("_k", F.lit(kind))
+    rows = first("prune").unionByName(first("other"))  # no more of a kind can be taken than there are places
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy("ord", "id")))
-    sizes = items.where("not own").agg(F.count_if(F.col("kind") == "prune").alias("_p"), F.count_if(F.col("kind") != "prune").alias("_o"))
+    sizes = rows.agg(F.count_if(F.col("_k") == "prune").alias("_p"), F.count_if(F.col("_k") == "other").alias("_o"))
     p = F.least("_p", F.greatest(F.lit(reserved), F.lit(total) - F.col("_o")))
     o = F.least("_o", F.lit(total) - p)
     kept = rows.crossJoin(F.broadcast(sizes)).where(F.col("_n") <= F.when(F.col("_k") == "prune", p).otherwise(o))

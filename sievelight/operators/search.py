@@ -184,11 +184,6 @@ def page(ranked: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
     return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def profiles_agree(profiles: DataFrame) -> bool:
-    """True if one profile (dimensions, distance, modality, profile_hash) serves all scopes; else only text is searched."""
-    return len(profiles.select("dimensions", "distance", "modality", "profile_hash").distinct().limit(2).collect()) == 1
-
-
 def without_purged(ranked: DataFrame, active_purges: DataFrame) -> DataFrame:
     """Candidates of scopes without a purge in progress."""
     return ranked.join(active_purges.select("scope_id").distinct(), "scope_id", "left_anti")

@@ -2,60 +2,73 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lcs_pairs(a: list, b: list, cells: int = 2_000_000) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence; equal heads and tails are taken first, and beyond ``cells`` only they are."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    out = [(i, i) for i in range(head)]
-    if x and y and len(x) * len(y) <= cells:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of the longest common subsequence that moves on in ``a`` wherever this loses nothing.
+
+    The lengths for all ends of ``b`` are one number of len(b) bits per element of ``a``: bit t is
+    set where the element t from the end makes the common subsequence longer.
+    """
+    n, full = len(b), (1 << len(b)) - 1
+    where: dict = {}
+    for t, y in enumerate(reversed(b)):
+        where[y] = where.get(y, 0) | 1 << t
+    row, rows = full, [0]
+    for x in reversed(a):
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(~row & full)
+    length = lambda i, j: (rows[len(a) - i] & ((1 << (n - j)) - 1)).bit_count()  # noqa: E731  of a[i:] and b[j:]
+    out, i, j = [], 0, 0
+    while i < len(a) and j < n:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[len(a) - i] >> (n - 1 - j) & 1 or length(i + 1, j) == length(i, j):
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 def map_units(old: DataFrame, new: DataFrame) -> DataFrame:
-    """doc, old_unit, new_unit and state of every unit (doc, ord, unit, fingerprint): equal fingerprints in order are unchanged, then equal keys are changed, the rest is added or removed.
+    """doc, old_unit, new_unit and state of every unit (doc, ord, unit, fingerprint).
 
-    The order of a document's units has no relational form, so each document is one group.
+    Equal fingerprints in order are unchanged. Between two of them units are paired by
+    place: pairs are changed, what is left over is added or removed. The order of a
+    document's units has no relational form, so each document is one group.
     """
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("ord"), b.sort_values("ord")
-        pairs = lcs_pairs(a["fingerprint"].tolist(), b["fingerprint"].tolist())
         ua, ub = a["unit"].tolist(), b["unit"].tolist()
-        rows = [(ua[i], ub[j], "unchanged") for i, j in pairs]
-        left = [u for k, u in enumerate(ua) if k not in {i for i, _ in pairs}]
-        right = [u for k, u in enumerate(ub) if k not in {j for _, j in pairs}]
-        rows += [(u, u, "changed") for u in left if u in right]
-        rows += [(u, None, "removed") for u in left if u not in right]
-        rows += [(None, u, "added") for u in right if u not in left]
+        rows, i, j = [], 0, 0
+        for x, y in [*lcs_pairs(a["fingerprint"].tolist(), b["fingerprint"].tolist()), (len(ua), len(ub))]:
+            for p, q in zip_longest(ua[i:x], ub[j:y]):
+                rows.append((p, q, "added" if p is None else "removed" if q is None else "changed"))
+            if x < len(ua):
+                rows.append((ua[x], ub[y], "unchanged"))
+            i, j = x + 1, y + 1
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc", "old_unit", "new_unit", "state"])
 
     kind = dict(new.dtypes)["doc"]
+    new = new.select(*[F.col(c).alias(c) for c in ("doc", "ord", "unit", "fingerprint")])  # columns of its own, where both come from one table
     return old.groupBy("doc").cogroup(new.groupBy("doc")).applyInPandas(run, f"doc {kind}, old_unit string, new_unit string, state string")
 
 
+def change_rates(mapping: DataFrame) -> DataFrame:
+    """Per document the numbers of units by state and the change rate (changed + added + removed) / max(new, 1)."""
+    n = {s: F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "changed", "added", "removed")}
+    new = F.greatest(F.col("unchanged") + F.col("changed") + F.col("added"), F.lit(1))
+    return mapping.groupBy("doc").agg(*n.values()).withColumn("change_rate", (F.col("changed") + F.col("added") + F.col("removed")) / new)
+
+
 def response_faults(r: DataFrame) -> DataFrame:
     """Responses (arrays updated, added, unchanged, failed, removed, and what was asked: units, asked_changed, asked_added, asked_removed) with the first rule they break, null if none."""
     col = F.col

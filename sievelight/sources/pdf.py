@@ -48,7 +48,7 @@ class Pdf:
         if not filters:
             return raw
         if filters != [b"FlateDecode"] or re.search(rb"/Predictor\s+([2-9]|1\d)", head):
-            return b""
+            raise ValueError("a stream has a filter that is not read")
         out = zlib.decompressobj().decompress(raw, MOST_BYTES)
         if len(out) >= MOST_BYTES:
             raise ValueError("a stream is too large")
@@ -68,8 +68,10 @@ class Pdf:
         out: list[bytes] = []
 
         def walk(node: bytes, seen: frozenset[bytes]) -> None:
-            if node in seen or len(out) >= MOST_PAGES:
+            if node in seen:
                 return
+            if len(out) >= MOST_PAGES:
+                raise ValueError(f"more than {MOST_PAGES} pages")
             kids = re.search(rb"/Kids\s*\[(.*?)\]", node, re.S)
             if kids:
                 for ref in _REF.findall(kids[1]):

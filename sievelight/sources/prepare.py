@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.hashing import canonical_hash, hash_bytes
-from ..functions.text import fence_code, normalize_markdown
+from ..functions.text import fence_code, normalize_markdown, real_text
 from .pdf import pdf_pages
 from .sheets import markdown_table, read_sheets
 
@@ -20,15 +20,13 @@ CODE = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "ts": "typ
 
 
 def looks_like_text(data: bytes) -> bool:
-    """No NUL in the first 8 KiB, and UTF-8 but for a character that the end may cut."""
-    head = data[:8192]
-    if b"\0" in head:
+    """No NUL anywhere, UTF-8 throughout, and real text."""
+    if b"\0" in data:
         return False
     try:
-        head.decode()
-    except UnicodeDecodeError as e:
-        return e.start >= len(head) - 3 and len(data) > 8192
-    return True
+        return real_text(data.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def as_text(name: str, data: bytes) -> Iterator[tuple[str, str]]:

@@ -28,7 +28,7 @@ def any_of(tests: list[Column]) -> Column:
 
 def secret_tier(path: Column) -> Column:
     """A for names and paths that are known to hold secrets, B for suspicious names, else null."""
-    p = F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", ""))
+    p = F.lower(F.replace(F.regexp_replace(path, "^/+", ""), F.lit("\\"), F.lit("/")))
     name = F.element_at(F.split(p, "/"), -1)
     a = p.isin(SECRET_PATHS) | any_of([p.startswith(x) for x in SECRET_PATH_PREFIXES]) | name.isin(SECRET_NAMES)
     a = a | any_of([name.startswith(x) for x in SECRET_NAME_PREFIXES] + [name.endswith(x) for x in SECRET_NAME_SUFFIXES] + [F.contains(name, F.lit(x)) for x in SECRET_NAME_PARTS])
@@ -69,10 +69,23 @@ def ignored(path: Column, is_dir: Column, rules: list[str], fold: bool = False)
 
 
 def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recursive: bool = False, contents: bool = False) -> DataFrame:
-    """Files of a folder: path, name, size_bytes, modified, ignored, secret_tier, and with ``contents`` content and raw_hash."""
+    """Files of a folder: path, name, relative (the path below the folder), size_bytes, modified, ignored, secret_tier, and with ``contents`` content and raw_hash.
+
+    Rules and secrets are tested on the relative path and on each folder in it: what lies in
+    an ignored folder is ignored, whatever later rules say of the file, and what lies in a
+    secret folder is secret. Files and folders whose names begin with . or _ are hidden from
+    Spark's file readers and are not listed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    cols = [F.col("path"), name.alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), ignored(name, F.lit(False), list(rules)).alias("ignored"), secret_tier(name).alias("secret_tier")]
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    parts = F.split(F.substring_index(F.regexp_replace("path", "^[^:/]+:(//[^/]*)?", ""), f"{root}/", -1), "/")
+    relative = F.array_join(parts, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+    hidden = F.exists(above, lambda p: ignored(p, F.lit(True), list(rules))) | ignored(relative, F.lit(False), list(rules))
+    tiers = F.array_compact(F.concat(F.transform(above, secret_tier), F.array(secret_tier(relative))))
+    cols = [F.col("path"), name.alias("name"), relative.alias("relative"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), hidden.alias("ignored"), F.array_min(tiers).alias("secret_tier")]
     return files.select(*cols, *([F.col("content"), content_hash(F.col("content")).alias("raw_hash")] if contents else []))
 
 

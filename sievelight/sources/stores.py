@@ -60,11 +60,73 @@ def link_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return checked.drop("_n")
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add records to a JSON Lines log; nulls are written, so that a replay sees every column."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON Lines log with a fixed schema; a record that breaks it is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def rewrite_log(spark: SparkSession, path: str, schema: str, keep) -> int:
+    """Keep the records of a log for which the condition ``keep`` holds; returns how many went.
+
+    What stays is written aside and moved into place, so that a reader sees the old log or the new one.
+    """
+    log = read_log(spark, path, schema)
+    before, kept = log.count(), log.where(keep)
+    aside, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    kept.write.mode("overwrite").option("ignoreNullFields", "false").json(aside)
+    context = spark.sparkContext
+    at = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    left = read_log(spark, aside, schema).count()
+    fs.delete(at(old), True)
+    if not fs.rename(at(path), at(old)) or not fs.rename(at(aside), at(path)):
+        raise OSError(f"the log could not be moved: {path}")
+    fs.delete(at(old), True)
+    return before - left
+
+
+def search_targets(registry: DataFrame) -> DataFrame:
+    """Scopes to search: the entry seen last of each scope, if it is searchable and its path holds no scope seen later."""
+    last = latest(registry, ["scope_id"], "seen")
+    owner = last.groupBy("path").agg(F.max(F.struct("seen", "scope_id")).alias("o")).select("path", F.col("o.scope_id").alias("scope_id"))
+    return last.join(owner, ["path", "scope_id"], "left_semi").where("searchable")
+
+
+def removed(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """The registry without the scopes of ``gone``."""
+    return registry.join(gone.select("scope_id").distinct(), "scope_id", "left_anti")
+
+
+def duplicates(registry: DataFrame) -> DataFrame:
+    """Scopes that several paths claim, with their number."""
+    return registry.groupBy("scope_id").agg(F.count_distinct("path").alias("paths")).where("paths > 1")
+
+
+def high_water(rows: DataFrame, by: list[str], row: str) -> DataFrame:
+    """Per group the number of rows, of profiles, and the largest row id (0 without rows)."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("profile_hash").alias("profiles"), F.coalesce(F.max(row), F.lit(0)).alias("high_water"))
+
+
+def generation(headers: DataFrame) -> DataFrame:
+    """One hash of all scope headers (scope_id, n, size) in the order of their ids."""
+    line = F.concat("scope_id", F.lit("\t"), F.col("n").cast("string"), F.lit("\t"), F.col("size").cast("string"), F.lit("\n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("scope_id", line.alias("line")))), lambda x: x["line"])  # a line a scope
+    return headers.agg(content_hash(F.array_join(lines, "")).alias("generation"))
+
+
+def view_offsets(units: DataFrame) -> DataFrame:
+    """Where each unit (doc, ord, text) starts and ends in its document's view, in bytes."""
+    w = W.partitionBy("doc").orderBy("ord")
+    rows = units.withColumn("_n", F.octet_length("text").cast("bigint"))
+    start = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("byte_start", start).withColumn("byte_end", F.col("byte_start") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def restore(objects: DataFrame, folder: str) -> DataFrame:
     """Write objects (hash, name, body) as new files of a folder that executors share; returns name and size.
 
