@@ -48,13 +48,13 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
     return one(starts.select(*keys, "commit_hash")).cogroup(one(edges)).applyInPandas(walk, f"{kinds}start string, commit_hash string, depth int")
 
 
-def present(reached: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries of reached commits that have a tree, reached commits without one: shallow). A shallow start is an error."""
-    trees = entries.select("commit_hash").distinct()
-    shallow = reached.join(trees, "commit_hash", "left_anti")
+def present(reached: DataFrame, entries: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries of reached commits that have a tree, reached commits without one: shallow), stores told apart by ``by``. A shallow start is an error."""
+    key = [*(by or []), "commit_hash"]
+    shallow = reached.join(entries.select(*key).distinct(), key, "left_anti")
     if not shallow.where("start = commit_hash").isEmpty():
         raise ValueError("the walk starts at a commit without a tree")
-    return reached.join(entries, "commit_hash"), shallow
+    return reached.join(entries, key), shallow
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

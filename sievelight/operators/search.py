@@ -196,15 +196,13 @@ def rerank(ranked: DataFrame, order: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).drop("new_rank")
 
 
-def resolve_mode(asked: str, *, vectors_ready: bool, online_allowed: bool, fail_behavior: str = "fallback") -> tuple[str, str | None]:
-    """(mode, reason for falling back): auto prefers hybrid; without vectors or consent it is text, or an error if asked to."""
+def resolve_mode(asked: str, *, vectors_ready: bool, online_allowed: bool, agree: bool = True, fail_behavior: str = "fallback") -> tuple[str, str | None]:
+    """(mode, reason for falling back) of one request, by the rules of ``eligibility.modes``; an error where the request wants one."""
     if asked == "text":
         return "text", None
-    reason = None if vectors_ready and online_allowed else "vectors_unavailable" if not vectors_ready else "consent_required"
+    reason = "vectors_unavailable" if not vectors_ready else "profile_mismatch" if not agree else "consent_required" if not online_allowed else None
     if reason is None:
         return ("hybrid" if asked in ("auto", "hybrid") else "vector"), None
     if asked != "auto" and fail_behavior == "error":
         raise ValueError(reason)
     return "text", reason
-
-

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duration_seconds, match_plan
 from ..functions.vectors import token_embedding
-from ..operators import chunking, evidence, history, lifecycle, search
+from ..operators import chunking, eligibility, evidence, history, lifecycle, search
+from ..operators.index import TextIndex
 from ..sources import stores
 
 
@@ -40,6 +41,18 @@ class Settings:
     mmr_depth: int = 100
     diversify: str = "mmr"
     fail_behavior: str = "fallback"
+    consent: bool = True  # to send the query where its vector is made
+    cursor_key: bytes = b""
+
+
+@dataclass(frozen=True)
+class Answer:
+    """A page of rows, what was searched and why, and the token of the next page (null: there is none)."""
+
+    rows: DataFrame
+    mode: str
+    reason: str | None
+    cursor: str | None
 
 
 @dataclass
@@ -49,12 +62,14 @@ class Collection:
     chunks(scope_id, chunk_id, raw_hash, heading_path as JSON text, text, created_at),
     vectors(scope_id, chunk_id, image_id, vector), entries(scope_id, commit_hash, path,
     raw_hash), parents(scope_id, commit_hash, parent, ord), heads(scope_id,
-    commit_hash), objects(kind, hash, body), purges(scope_id).
+    commit_hash), objects(kind, hash, body), purges(scope_id), profiles(scope_id,
+    dimensions, distance, modality, profile_hash). ``index`` is a text index of the chunks.
     """
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     settings: Settings = field(default_factory=Settings)
+    index: TextIndex | None = None
 
     def bindings(self, selector: Selector) -> DataFrame:
         """scope_id, chunk_id, path, commit_hash visible to a selector."""
@@ -63,7 +78,8 @@ class Collection:
             entries = t["entries"].where(F.col("commit_hash") == s.at)
         elif s.all_history:
             reach = history.reachable(t["heads"], t["parents"], by=["scope_id"])
-            entries = t["entries"].join(reach.select("scope_id", "commit_hash").distinct(), ["scope_id", "commit_hash"], "left_semi")
+            held, self.shallow = history.present(reach, t["entries"], by=["scope_id"])  # ancestors without a tree are skipped
+            entries = held.select(*t["entries"].columns).distinct()
         else:
             entries = t["entries"].join(t["heads"], ["scope_id", "commit_hash"], "left_semi")
             if s.include_deleted:
@@ -76,41 +92,80 @@ class Collection:
             chunks = chunks.where(F.col("created_at") >= F.current_timestamp() - F.make_interval(secs=F.lit(duration_seconds(s.since))))
         return chunks.select("scope_id", "chunk_id", "raw_hash").join(entries, ["scope_id", "raw_hash"]).select("scope_id", "chunk_id", "path", "commit_hash")
 
-    def search(self, query: str, *, mode: str = "auto", selector: Selector | None = None, scopes: list[str] | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
-        """One row per document, ranked: scope_id, chunk_id, raw_hash, score, rank, and the citation of its smallest path."""
+    def mode(self, asked: str) -> tuple[str, str | None]:
+        """What a request searches, given the vectors, the scopes' profiles and the user's consent."""
+        agree = True
+        if "profiles" in self.tables:
+            agree = all(r.agree for r in eligibility.profiles_agree(self.tables["profiles"].withColumn("collection_id", F.lit(0))).collect())
+        return search.resolve_mode(asked, vectors_ready="vectors" in self.tables, online_allowed=self.settings.consent, agree=agree, fail_behavior=self.settings.fail_behavior)
+
+    def search(self, query: str, **options) -> DataFrame:
+        """The rows of ``answer``."""
+        return self.answer(query, **options).rows
+
+    def answer(self, query: str, *, mode: str = "auto", selector: Selector | None = None, scopes: list[str] | None = None, limit: int = 10, cursor: str | None = None, offset: int = 0) -> Answer:
+        """One row per document, ranked: scope_id, chunk_id, image_id, raw_hash, score, rank, and the citation of its smallest path.
+
+        Images rank beside chunks and take the text rank of the chunk that cites them. With
+        ``cursor`` the page after the one that gave it; the token is refused if it was made for
+        another query, mode, selector or set of scopes.
+        """
         t, c = self.tables, self.settings
-        bindings = self.bindings(selector or Selector())
+        chosen = (selector or Selector()).checked()
+        request = evidence.query_hash(query, [{"scope_id": s} for s in scopes or []], cap=c.cap, depth=c.mmr_depth, lam=c.lam, mode=mode, selector=repr(chosen))
+        if cursor is not None:
+            offset = evidence.decode_cursor(cursor, c.cursor_key, request)["consumed"]
+        bindings = self.bindings(chosen)
         if scopes is not None:
             bindings = bindings.where(F.col("scope_id").isin(scopes))
         if "purges" in t:
             bindings = search.without_purged(bindings, t["purges"])
         eligible = bindings.select("scope_id", "chunk_id").distinct()
-        resolved, _ = search.resolve_mode(mode, vectors_ready="vectors" in t, online_allowed=True, fail_behavior=c.fail_behavior)
+        resolved, reason = self.mode(mode)
         phrases, short = match_plan(query)
         ranked = None
         if resolved != "vector":
             corpus = t["chunks"].select("scope_id", "chunk_id", "heading_path", "text")
-            ranked = search.bm25(corpus, phrases, eligible, c.depth) if phrases else search.short_lane(corpus, short, eligible, c.depth)
+            if not phrases:
+                ranked = search.short_lane(corpus, short, eligible, c.depth)
+            else:
+                ranked = search.bm25(corpus, phrases, eligible, c.depth) if self.index is None else self.index.bm25(phrases, eligible, c.depth)
+            ranked = search.settled(ranked, c.depth)
         if resolved != "text":
-            lane = search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth)
+            lane = search.settled(search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth), c.depth)
             ranked = lane if ranked is None else search.fuse(ranked, lane, k=c.k, text_weight=c.text_weight, vector_weight=c.vector_weight)
         if "score" not in ranked.columns:
             ranked = ranked.withColumn("score", -F.col("bm25") if "bm25" in ranked.columns else F.col("cosine"))
-        rows = ranked.select("scope_id", "chunk_id", "score", "rank").join(t["chunks"].select("scope_id", "chunk_id", "raw_hash"), ["scope_id", "chunk_id"])
+        if "image_id" not in ranked.columns:
+            ranked = ranked.withColumn("image_id", F.lit(None).cast("string"))
+        rows = ranked.select("scope_id", "chunk_id", "image_id", "score", "rank").join(t["chunks"].select("scope_id", "chunk_id", "raw_hash"), ["scope_id", "chunk_id"])
         if "vectors" in t and c.diversify == "mmr":
-            rows = rows.join(t["vectors"].where("image_id is null").select("scope_id", "chunk_id", "vector"), ["scope_id", "chunk_id"], "left")
+            v = t["vectors"].select("scope_id", "chunk_id", F.col("image_id").alias("of_image"), "vector")
+            same = (rows["scope_id"] == v["scope_id"]) & (rows["chunk_id"] == v["chunk_id"]) & rows["image_id"].eqNullSafe(v["of_image"])
+            rows = rows.join(v, same, "left").select(*[rows[x] for x in rows.columns], "vector")
             rows = search.diversify(rows, lam=c.lam, depth=c.mmr_depth, most=c.cap).drop("vector")
         elif c.diversify != "off":
             rows = search.cap_per_document(rows, c.cap)
-        documents = search.page(search.group_documents(rows), offset, limit)
+        documents = search.page(search.group_documents(rows), offset, limit + 1)
+        if "purges" in t:
+            documents = search.without_purged(documents, t["purges"])  # a purge may have begun meanwhile
         cite = bindings.groupBy("scope_id", "chunk_id").agg(F.min(F.struct("path", "commit_hash")).alias("cite"))
-        return documents.join(cite, ["scope_id", "chunk_id"]).select("scope_id", "chunk_id", "raw_hash", "score", "rank", "cite.path", "cite.commit_hash")
+        found = documents.join(cite, ["scope_id", "chunk_id"]).select("scope_id", "chunk_id", "image_id", "raw_hash", "score", "rank", "cite.path", "cite.commit_hash")
+        found = search.settled(found, limit + 1)  # a page and one row more
+        more = found.where(F.col("rank") > offset + limit).count() > 0
+        token = evidence.encode_cursor({"query_hash": request, "consumed": offset + limit}, c.cursor_key) if more else None
+        return Answer(found.where(F.col("rank") <= offset + limit), resolved, reason, token)
 
     def ingest(self, units: DataFrame) -> DataFrame:
         """Chunks of new units that the collection does not have yet."""
         fresh = chunking.chunk(units, self.settings.max_chars)
         return fresh.dropDuplicates(["chunk_id"]).join(self.tables["chunks"].select("chunk_id"), "chunk_id", "left_anti")
 
+    def history_of(self, scope_id: str) -> DataFrame:
+        """Every binding (path, raw_hash) that a scope's head reaches, with its canonical introduction."""
+        mine = {k: self.tables[k].where(F.col("scope_id") == scope_id).drop("scope_id") for k in ("heads", "parents", "entries")}
+        return history.all_bindings(mine["heads"], mine["parents"], mine["entries"], ["path", "raw_hash"])
+
     def log(self, scope_id: str) -> DataFrame:
         head = self.tables["heads"].where(F.col("scope_id") == scope_id)
         return history.reachable(head, self.tables["parents"].where(F.col("scope_id") == scope_id), first_parent=True).select("commit_hash", "depth")

@@ -21,11 +21,9 @@ def append_chunks(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQ
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(["chunk_id"])
-        try:
-            rows = rows.join(spark.read.parquet(target).select("chunk_id"), "chunk_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            rows = rows.join(spark.read.schema("chunk_id string").parquet(target), "chunk_id", "left_anti")
         rows.write.mode("append").parquet(target)
 
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import vectors
 from sievelight.operators import chunking
+from sievelight.operators.index import TextIndex
 from sievelight.plans.collection import Collection, Selector, Settings
 from sievelight.streaming import ingest
 
@@ -44,3 +46,59 @@ def test_streamed_chunks(spark, tmp_path):
     got = spark.read.parquet(target)
     assert got.count() == 2 and set(got.columns) >= {"chunk_id", "text"}
     assert chunking.chunk(units).select("chunk_id").distinct().count() == 2
+
+
+def test_pages_and_their_tokens(spark):
+    col = collection(spark, settings=Settings(cursor_key=b"k", diversify="off"))
+    one = col.answer("quick dogs fox", mode="text", selector=Selector(all_history=True), limit=2)
+    two = col.answer("quick dogs fox", mode="text", selector=Selector(all_history=True), limit=2, cursor=one.cursor)
+    seen = [r.raw_hash for a in (one, two) for r in a.rows.orderBy("rank").collect()]
+    assert len(seen) == 3 and set(seen) == set(TEXTS) and two.cursor is None
+    with pytest.raises(ValueError):
+        col.answer("quick", mode="text", selector=Selector(all_history=True), cursor=one.cursor)
+    with pytest.raises(ValueError):
+        col.answer("quick dogs fox", mode="text", cursor=one.cursor)
+
+
+def test_what_is_searched_and_why(spark):
+    assert collection(spark).answer("quick").mode == "hybrid"
+    asked = collection(spark, settings=Settings(consent=False)).answer("quick")
+    assert (asked.mode, asked.reason) == ("text", "consent_required")
+    with pytest.raises(ValueError, match="consent"):
+        collection(spark, settings=Settings(consent=False, fail_behavior="error")).answer("quick", mode="vector")
+    col = collection(spark)
+    col.tables["profiles"] = spark.createDataFrame([("s", 768, "cosine", "text", "p"), ("t", 512, "cosine", "text", "p")], "scope_id string, dimensions int, distance string, modality string, profile_hash string")
+    assert (col.answer("quick").mode, col.answer("quick").reason) == ("text", "profile_mismatch")
+    del col.tables["vectors"]
+    assert col.answer("quick").reason == "vectors_unavailable"
+
+
+def test_images_rank_with_their_chunks(spark):
+    col = collection(spark, settings=Settings(diversify="off"))
+    v = spark.createDataFrame([("s", "kr2", "img", vectors.token_embedding("lazy dogs sleep").tolist())], "scope_id string, chunk_id string, image_id string, vector array<float>")
+    col.tables["vectors"] = v
+    top = col.search("lazy dogs").orderBy("rank").first()
+    assert (top.raw_hash, top.image_id) == ("r2", "img") and top.score > 1 / 61
+
+
+def test_an_index_answers_alike(spark, tmp_path):
+    col = collection(spark, settings=Settings(diversify="off"))
+    TextIndex.build(col.tables["chunks"], str(tmp_path / "i"))
+    rows = lambda c: [tuple(r) for r in c.search("quick", mode="text", selector=Selector(all_history=True)).orderBy("rank").collect()]
+    want = rows(col)
+    col.index = TextIndex(spark, str(tmp_path / "i"))
+    got = rows(col)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) == 2
+
+
+def test_commits_without_a_tree_are_skipped(spark):
+    col = collection(spark)
+    col.tables["parents"] = col.tables["parents"].unionByName(spark.createDataFrame([("s", "c1", "c0", 0)], "scope_id string, commit_hash string, parent string, ord int"))
+    assert col.bindings(Selector(all_history=True)).count() == 4 and col.shallow.count() == 1
+    assert {(r.path, r.pointer_commit, r.is_live) for r in col.history_of("s").collect()} == {("a", "c1", True), ("c", "c1", False), ("b", "c2", True)}
+
+
+def test_purges_bar_scopes(spark):
+    col = collection(spark)
+    col.tables["purges"] = spark.createDataFrame([("s",)], "scope_id string")
+    assert col.search("quick", mode="text").count() == 0
