@@ -271,4 +271,9 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of every text of ``documents`` stored as an image: sizes, hashes, the crc of the last samples, a feature.
+
+    Null and empty texts are 64 bytes 0; texts of any length are stored whole; null ids,
+    repeated ids and rows each give a row; an empty table gives none; other columns are not read.
+    """
     return media_features(table(spark, sf_dir, "documents"))

@@ -470,4 +470,10 @@ KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.floa
 
 
 def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every row of ``documents``: doc_id, rank, number and hash of the pieces, probabilities, inclusion, and whether they decode to the text.
+
+    Null and empty texts have the empty segmentation; texts of any length are sampled whole;
+    rows that repeat an id draw alike from their texts; an empty table gives no rows; other
+    columns are not read.
+    """
     return segmentations(table(spark, sf_dir, "documents"))

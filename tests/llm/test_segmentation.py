@@ -93,3 +93,51 @@ def test_query(spark):
     key = lambda r: (str(r.doc_id), r.sample, r.pieces_hash, r.perturbed)
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert sg.segmentations(docs.limit(0)).count() == 0
+
+
+def unigram():
+    """A small model with piece probabilities of its own."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(DATA)
+    proto.trainer_spec.model_type = 1
+    kept = [p for p in proto.pieces if p.type != 1]
+    del proto.pieces[:]
+    proto.pieces.extend(kept)
+    for piece, p in {"▁": 0.2, "a": 0.15, "b": 0.1, "ab": 0.2, "▁a": 0.1, "ba": 0.05, "▁ab": 0.1, "aba": 0.1}.items():
+        proto.pieces.add(piece=piece, score=math.log(p), type=1)
+    return sg.Lattices(proto.SerializeToString(), 1.0)
+
+
+def test_a_unigram_model_keeps_its_probabilities():
+    own = unigram()
+    weight = {p: w for p, (_, w) in own.weight.items()}
+    assert all(abs(weight[p] - v) < 1e-6 for p, v in {"▁": 0.2, "ab": 0.2, "aba": 0.1, "ba": 0.05}.items())
+
+    def paths(s):
+        return [((), 1.0)] if not s else [((s[:j], *q), weight[s[:j]] * v) for j in range(1, len(s) + 1) if s[:j] in weight for q, v in paths(s[j:])]
+
+    found = paths("▁abab▁ab")
+    total = sum(v for _, v in found)
+    truth = Counter()
+    for q, v in found:
+        truth[tuple(own.weight[x][0] for x in q)] = v / total
+    got, left = draw("abab ab", 5, len(truth) + 1, own)
+    assert len(got) == len(truth) > 20 and left == -math.inf
+    assert all(abs(truth[q] - math.exp(log)) < 1e-6 for q, log, _ in got)
+
+
+def test_inclusion_scores_weigh_samples_without_bias():
+    """The sum of p / inclusion over k draws without replacement is 1 on average, and so is any share of it."""
+    own, n, k = unigram(), 3000, 4
+    whole = first = exact = 0.0
+    for seed in range(n):
+        got, left = draw("abab", seed, k, own)
+        for q, log, _ in got:
+            share = math.exp(log - sg.log_inclusion(log, left))
+            whole += share / n
+            first += share / n * (own.raw[q[0]] == "▁a".encode())
+    got, _ = draw("abab", 0, 10_000, own)
+    exact = sum(math.exp(log) for q, log, _ in got if own.raw[q[0]] == "▁a".encode())
+    assert abs(whole - 1) < 0.03 and abs(first - exact) < 0.03
