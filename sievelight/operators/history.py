@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import canonical_hash, content_hash
+
 #: Commits that a walk may reach.
 MOST_COMMITS = 100_000
 
@@ -176,3 +178,24 @@ def all_bindings(head: DataFrame, parents: DataFrame, entries: DataFrame, key: l
     first = canonical_introduction(introductions(entries, parents, key), parents, key).withColumnRenamed("commit_hash", "pointer_commit")
     live = entries.join(head, "commit_hash", "left_semi").select(*key).distinct().withColumn("_live", F.lit(True))
     return held.join(first, key).join(live, key, "left").withColumn("is_live", F.coalesce("_live", F.lit(False))).drop("_live")
+
+
+def snapshot(working: DataFrame, entries: DataFrame, head: str | None, *, kind: str = "manual", at: int = 0, message: str = "") -> tuple[dict, DataFrame]:
+    """A commit of the tree ``working`` (path, raw_hash) on ``head``: its record with stats, and its entries; an unchanged tree gives the head and no entries.
+
+    kind is manual, auto, scheduled, purged or repaired. The tree's hash is that of its
+    entries' hashes in the order of their paths; the commit's that of its canonical record.
+    """
+    if kind not in ("manual", "auto", "scheduled", "purged", "repaired"):
+        raise ValueError(f"unknown kind of commit: {kind}")
+    old = entries.where(F.col("commit_hash") == head).select("path", "raw_hash") if head else working.limit(0)
+    stats = commit_stats(diff(old, working)).first().asDict()
+    if head and not any(stats.values()) and kind in ("auto", "scheduled"):
+        return {"commit_hash": head, "stats": stats}, working.limit(0).withColumn("commit_hash", F.lit(head))
+    line = F.sha2(F.concat_ws("\t", "path", "raw_hash"), 256)
+    # buckets of lines are hashed first, so that no task holds a whole tree
+    part = working.withColumn("_part", F.substring(F.sha2("path", 256), 1, 2)).groupBy("_part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.col("path"), line))), "\n"), 256).alias("h"))
+    tree = part.agg(content_hash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "h"))), lambda x: x["h"]), "\n")).alias("t")).first().t
+    record = {"kind": kind, "message": message, "parent": head, "created_at": at, "tree_hash": tree, "stats": stats}
+    commit = canonical_hash({k: v for k, v in record.items() if v is not None})
+    return record | {"commit_hash": commit}, working.select(F.lit(commit).alias("commit_hash"), "path", "raw_hash")

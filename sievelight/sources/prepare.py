@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.hashing import canonical_hash, hash_bytes
 from ..functions.text import fence_code, normalize_markdown, real_text
+from .office import document_markdown, slides
 from .pdf import pdf_pages
 from .sheets import markdown_table, read_sheets
 
@@ -50,7 +51,15 @@ def as_pages(name: str, data: bytes) -> Iterator[tuple[str, str]]:
         yield f"page:{i}", text
 
 
-ADAPTERS: dict[str, Adapter] = {"md": as_text, "txt": as_text, "markdown": as_text, "xlsx": as_sheets, "pdf": as_pages, **dict.fromkeys(CODE, as_code)}
+def as_document(name: str, data: bytes) -> Iterator[tuple[str, str]]:
+    yield "file", document_markdown(data)
+
+
+def as_slides(name: str, data: bytes) -> Iterator[tuple[str, str]]:
+    yield from slides(data)
+
+
+ADAPTERS: dict[str, Adapter] = {"docx": as_document, "pptx": as_slides, "md": as_text, "txt": as_text, "markdown": as_text, "xlsx": as_sheets, "pdf": as_pages, **dict.fromkeys(CODE, as_code)}
 
 UNITS = "path string, raw_hash string, tool_profile_hash string, gen long, unit_key string, text string, error string"
 

@@ -89,11 +89,12 @@ def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recu
     return files.select(*cols, *([F.col("content"), content_hash(F.col("content")).alias("raw_hash")] if contents else []))
 
 
-def child_scopes(spark: SparkSession, folder: str) -> DataFrame:
-    """Folders below ``folder`` that hold files, version control roots left out."""
+def child_scopes(spark: SparkSession, folder: str, *, version_control: bool = False) -> DataFrame:
+    """Folders below ``folder`` that hold files; what lies in a folder of version control only with ``version_control``."""
     files = scan_folder(spark, folder, recursive=True)
     parent = F.regexp_replace("path", "/[^/]*$", "")
-    return files.where(~F.col("path").rlike(r"/(\.git|\.hg|\.svn)/")).groupBy(parent.alias("scope_path")).agg(F.count(F.lit(1)).alias("files"))
+    plain = files if version_control else files.where(~F.concat(F.lit("/"), F.col("relative")).rlike(r"/(\.git|\.hg|\.svn|CVS|_darcs)/"))
+    return plain.groupBy(parent.alias("scope_path")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def verified(files: DataFrame) -> DataFrame:
