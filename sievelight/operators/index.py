@@ -8,7 +8,7 @@ number of three code points. Phrases are found where all their trigrams stand in
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .search import B, HEADING_WEIGHT, K1, KEY, TEXT_WEIGHT, eligible_rows, top
 TEXT, HEADING = 0, 1
 #: Row groups of postings, small enough to be skipped one by one.
 GROUP_BYTES = 1 << 20
+#: Candidates that are broadcast, a long each; more are joined as the planner sees fit.
+BROADCAST_DOCS = 1_000_000
 _open: dict[tuple[str, str], TextIndex] = {}
 
 
@@ -87,12 +89,11 @@ class TextIndex:
         spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).write.parquet(f"{path}/totals")
 
     @classmethod
-    def of(cls, corpus: DataFrame, name: str) -> TextIndex:
+    def of(cls, spark: SparkSession, corpus: Callable[[], DataFrame], name: str) -> TextIndex:
         """The index of a corpus, built where there is none; ``name`` changes whenever the corpus does.
 
         It is written aside and moved into place whole, so that a builder that dies leaves none.
         """
-        spark = corpus.sparkSession
         key = (spark.sparkContext.applicationId, name)
         if key not in _open:
             base = shared_folder(spark)
@@ -102,7 +103,7 @@ class TextIndex:
             fs = at(base).getFileSystem(context._jsc.hadoopConfiguration())
             if not fs.exists(at(path)):
                 fs.delete(at(aside), True)
-                cls.build(corpus, aside)
+                cls.build(corpus(), aside)
                 fs.delete(at(f"{aside}/texts"), True)
                 if not fs.rename(at(aside), at(path)):
                     fs.delete(at(aside), True)  # another builder was first
@@ -126,24 +127,25 @@ class TextIndex:
             raise ValueError("a phrase has three characters at least")
         known = self.docs_with(sorted({x for g in grams for x in g}))
         found = [(i, g, at) for i, gs in enumerate(grams) if all(known[g] for g in gs) for at, g in enumerate(gs)]
-        weights = F.when(F.col("field") == TEXT, TEXT_WEIGHT).otherwise(HEADING_WEIGHT)
-        sums = [F.coalesce(F.sum(F.when(F.col("phrase") == i, weights * F.col("n"))), F.lit(0.0)).alias(f"f{i}") for i in range(len(phrases))]
         if not found:
-            empty = self.postings.limit(0).select("doc", "field", F.lit(0).alias("phrase"), F.lit(0).alias("n"))
-            return empty.groupBy("doc").agg(*sums)
+            return self.postings.limit(0).select("doc", *[F.lit(0.0).alias(f"f{i}") for i in range(len(phrases))])
         lengths = {i: len(gs) for i, gs in enumerate(grams)}
-        where = self.spark.createDataFrame([(i, g, at, lengths[i]) for i, g, at in found], "phrase int, gram bigint, at int, length int")  # as many rows as the phrases have characters
-        rare = {i: min(gs, key=lambda g: known[g]) for i, gs in enumerate(grams)}
-        first = self.spark.createDataFrame([(i, rare[i]) for i in {i for i, _, _ in found}], "phrase int, gram bigint")
+        rare = {min(grams[i], key=lambda g: known[g]) for i in {i for i, _, _ in found}}
         read = lambda some: self.postings.where(F.col("gram").isin(sorted(some)))
-        rows = read({g for _, g, _ in found}).join(F.broadcast(where), "gram")
-        # only chunks with the rarest trigram of the phrase can hold it
-        able = read(set(rare.values())).join(F.broadcast(first), "gram").select("phrase", "doc", "field")
-        starts = F.transform("positions", lambda p: p - F.col("at"))
-        met = rows.join(able, ["phrase", "doc", "field"], "left_semi").select("phrase", "doc", "field", "length", starts.alias("starts"))
-        met = met.groupBy("phrase", "doc", "field", "length").agg(F.collect_list("starts").alias("all")).where(F.size("all") == F.col("length"))
-        places = F.aggregate(F.slice("all", 2, F.greatest(F.lit(1), F.size("all"))), F.element_at("all", 1), lambda s, x: F.array_intersect(s, x))
-        return met.withColumn("n", F.size(places)).where("n > 0").groupBy("doc").agg(*sums)
+        able = read(rare).select("doc")  # only chunks with the rarest trigram of a phrase can hold it
+        if sum(known[g] for g in rare) <= BROADCAST_DOCS:
+            able = F.broadcast(able)
+        wanted = ", ".join(f"named_struct('phrase', {i}, 'at', {at}, 'gram', {g}L)" for i, g, at in found)
+        rows = read({g for _, g, _ in found}).join(able, "doc", "left_semi")
+        rows = rows.select("doc", "field", "positions", F.explode(F.expr(f"filter(array({wanted}), x -> x.gram = gram)")).alias("p"))
+        starts = F.struct("p.phrase", "field", F.expr("transform(positions, x -> x - p.at)").alias("starts"))
+        met = rows.groupBy("doc").agg(F.collect_list(starts).alias("all"))
+        # places where all trigrams of a phrase stand in a row
+        of = lambda i, f: f"transform(filter(all, x -> x.phrase = {i} AND x.field = {f}), x -> x.starts)"
+        n = lambda i, f: f"CASE WHEN size({of(i, f)}) = {lengths[i]} THEN size(aggregate({of(i, f)}, element_at({of(i, f)}, 1), (s, x) -> array_intersect(s, x))) ELSE 0 END"
+        sums = [F.expr(f"CAST({TEXT_WEIGHT} * ({n(i, TEXT)}) + {HEADING_WEIGHT} * ({n(i, HEADING)}) AS DOUBLE)").alias(f"f{i}") for i in range(len(phrases))]
+        counted = met.select("doc", *sums)
+        return counted.where(" OR ".join(f"f{i} > 0" for i in range(len(phrases))))
 
     def bm25(self, phrases: list[str], eligible: DataFrame | None = None, depth: int = 200) -> DataFrame:
         """As ``search.bm25``: the ``depth`` best chunks for phrases OR-ed together, with raw_hash beside."""

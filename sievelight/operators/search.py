@@ -7,9 +7,13 @@ but before the depth cut. Every ranking has a total order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,10 +34,17 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 def settled(lane: DataFrame, depth: int = 200) -> DataFrame:
     """A lane's rows, ``depth`` at most, computed once: whatever is built on them does not run the lane again."""
-    rows = lane.limit(depth + 1).collect()
-    if len(rows) > depth:
+    rows = lane.limit(depth + 1).toArrow()
+    if rows.num_rows > depth:
         raise ValueError(f"a lane has more than {depth} rows")
-    return lane.sparkSession.createDataFrame(rows, lane.schema)
+    return lane.sparkSession.createDataFrame(rows, lane.schema).coalesce(1)  # so few rows need no exchange
+
+
+def together(spark: SparkSession, *lanes: Callable[[], DataFrame], depth: int = 200) -> list[DataFrame]:
+    """``settled`` lanes, planned and run at the same time; each is given as a function that makes it."""
+    one = inheritable_thread_target(spark)(lambda make: settled(make(), depth))
+    with ThreadPoolExecutor(max_workers=len(lanes)) as pool:
+        return list(pool.map(one, lanes))
 
 
 def eligible_rows(df: DataFrame, eligible: DataFrame | None, key: list[str] = KEY) -> DataFrame:
@@ -100,14 +111,18 @@ def vector_lane(vectors: DataFrame, query: list[float], eligible: DataFrame | No
 def fuse(text: DataFrame, vector: DataFrame, *, k: int = 60, text_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
     """Reciprocal rank fusion of two lanes (scope_id, chunk_id, [image_id,] rank); a missing lane adds nothing.
 
-    Image rows take the text rank of the chunk that cites them. Each lane is read twice:
-    give ``settled`` ones.
+    Image rows take the text rank of the chunk that cites them, which has a row of its own
+    if it is in either lane itself. Each lane is read once: what it says of a chunk meets in
+    one group.
     """
-    t = text.select(*KEY, F.col("rank").alias("text_rank"))
-    v = vector.select(*KEY, *(["image_id"] if "image_id" in vector.columns else [F.lit(None).cast("string").alias("image_id")]), F.col("rank").alias("vector_rank"))
-    chunks = t.join(v.where("image_id is null").drop("image_id"), KEY, "full_outer").withColumn("image_id", F.lit(None).cast("string"))
-    images = v.where("image_id is not null").join(t, KEY, "left")
-    rows = chunks.unionByName(images)
+    found = F.struct("image_id" if "image_id" in vector.columns else F.lit(None).cast("string").alias("image_id"), F.col("rank").alias("vector_rank"))
+    t = text.select(*KEY, F.col("rank").alias("text_rank"), F.lit(None).cast("struct<image_id:string,vector_rank:int>").alias("found"))
+    v = vector.select(*KEY, F.lit(None).cast("int").alias("text_rank"), found.cast("struct<image_id:string,vector_rank:int>").alias("found"))
+    g = t.unionByName(v).groupBy(*KEY).agg(F.max("text_rank").alias("text_rank"), F.collect_list("found").alias("found"))
+    alone = F.array(F.lit(None).cast("struct<image_id:string,vector_rank:int>"))
+    text_only = F.col("text_rank").isNotNull() & ~F.exists("found", lambda x: x["image_id"].isNull())
+    g = g.select(*KEY, "text_rank", F.explode(F.when(text_only, F.concat("found", alone)).otherwise(F.col("found"))).alias("found"))
+    rows = g.select(*KEY, F.col("text_rank"), F.col("found.vector_rank").alias("vector_rank"), F.col("found.image_id").alias("image_id"))
     part = lambda rank, w: F.coalesce(F.lit(float(w)) / (F.lit(k) + F.col(rank)), F.lit(0.0))
     rows = rows.withColumn("score", part("text_rank", text_weight) + part("vector_rank", vector_weight))
     return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id", "scope_id", "image_id")))

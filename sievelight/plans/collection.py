@@ -123,17 +123,19 @@ class Collection:
         eligible = bindings.select("scope_id", "chunk_id").distinct()
         resolved, reason = self.mode(mode)
         phrases, short = match_plan(query)
-        ranked = None
-        if resolved != "vector":
+
+        def text_lane() -> DataFrame:
             corpus = t["chunks"].select("scope_id", "chunk_id", "heading_path", "text")
             if not phrases:
-                ranked = search.short_lane(corpus, short, eligible, c.depth)
-            else:
-                ranked = search.bm25(corpus, phrases, eligible, c.depth) if self.index is None else self.index.bm25(phrases, eligible, c.depth)
-            ranked = search.settled(ranked, c.depth)
-        if resolved != "text":
-            lane = search.settled(search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth), c.depth)
-            ranked = lane if ranked is None else search.fuse(ranked, lane, k=c.k, text_weight=c.text_weight, vector_weight=c.vector_weight)
+                return search.short_lane(corpus, short, eligible, c.depth)
+            return search.bm25(corpus, phrases, eligible, c.depth) if self.index is None else self.index.bm25(phrases, eligible, c.depth)
+
+        def vector_lane() -> DataFrame:
+            return search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth)
+
+        makers = [text_lane] * (resolved != "vector") + [vector_lane] * (resolved != "text")
+        lanes = search.together(self.spark, *makers, depth=c.depth)
+        ranked = lanes[0] if len(lanes) == 1 else search.fuse(*lanes, k=c.k, text_weight=c.text_weight, vector_weight=c.vector_weight)
         if "score" not in ranked.columns:
             ranked = ranked.withColumn("score", -F.col("bm25") if "bm25" in ranked.columns else F.col("cosine"))
         if "image_id" not in ranked.columns:

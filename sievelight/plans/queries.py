@@ -45,7 +45,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
     """The index of the documents as they are now, written on first use."""
-    return index.TextIndex.of(corpus(spark, sf_dir), index.state_of(spark, f"{sf_dir}/documents.parquet"))
+    return index.TextIndex.of(spark, lambda: corpus(spark, sf_dir), index.state_of(spark, f"{sf_dir}/documents.parquet"))
 
 
 CORPUS = """c AS (SELECT source AS scope_id, lpad(doc_id::VARCHAR, 10, '0') AS chunk_id, 'sha256:' || sha256(text) AS raw_hash, text FROM documents)"""
@@ -118,9 +118,8 @@ def cosine_top10(spark, sf_dir):
 
 
 def lanes(spark, sf_dir):
-    """Both lanes, 200 rows each at most, computed once."""
-    t = search.settled(text_index(spark, sf_dir).bm25(PHRASES))
-    return t, search.settled(search.vector_lane(vector_table(spark, sf_dir), query_vector(spark, sf_dir)))
+    """Both lanes, 200 rows each at most, computed once and side by side."""
+    return search.together(spark, lambda: text_index(spark, sf_dir).bm25(PHRASES), lambda: search.vector_lane(vector_table(spark, sf_dir), query_vector(spark, sf_dir)))
 
 
 def fused(spark, sf_dir):
