@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, media, mixing, segmentation, simhash, tokens, topk, toxicity, warc
+from . import collocations, langid, lines, media, mixing, segmentation, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE_SQL = {
     "op1_top_k": topk.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
