@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, langid, lines, media, mixing, segmentation, simhash, tokens, topk, toxicity, warc
+from . import collocations, langid, lines, media, mixing, quantizer, segmentation, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
     "op12_collocations": collocations.op12_collocations,
+    "op13_vector_codes": quantizer.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_vector_codes": quantizer.OP13_SQL,
 }
