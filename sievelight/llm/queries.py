@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, langid, lines, media, mixing, quantizer, segmentation, simhash, tokens, topk, toxicity, warc
+from . import collocations, fingerprints, langid, lines, media, mixing, quantizer, segmentation, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_collocations": collocations.op12_collocations,
     "op13_vector_codes": quantizer.op13_vector_codes,
 }
