@@ -2,7 +2,8 @@
 
 Pivots divide the space into cells; of each cell the number of rows and the ranges of
 their distances to the pivot and of their norms are kept. Queries of neighbouring cells
-form groups. First every query meets a few known rows of the cells it is nearest to, which
+form groups. Distances come from differences, not from products, so that they hold for
+vectors that are large and near to each other. First every query meets a few known rows of the cells it is nearest to, which
 gives a score that its k-th row reaches at least. An inner product is
 (|q|^2 + |x|^2 - |q - x|^2) / 2 and |q - x| is no less than |d(q, p) - d(x, p)|, so a row at
 distance r from its pivot is of use to a group only if
@@ -48,8 +49,17 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T))
+def distances(v: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distances of rows to one point, or each to its own, from differences: right to a relative 1e-13 however near and large they are."""
+    return np.sqrt(((v - to) ** 2).sum(axis=1))
+
+
+def nearest(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each row a pivot that is about the nearest; which one it is affects speed only."""
+    middle = pivots.mean(axis=0)
+    v, pivots = v - middle, pivots - middle
+    with np.errstate(invalid="ignore", over="ignore"):
+        return ((pivots * pivots).sum(1)[None] - 2 * v @ pivots.T).argmin(1)
 
 
 def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -103,11 +113,10 @@ def best_of_block(q_id: np.ndarray, q: np.ndarray, least: np.ndarray, d_id: np.n
 
 def chain(p: np.ndarray) -> np.ndarray:
     """An order of the pivots in which each is followed by the nearest of those left."""
-    far = distances(p, p)
     order, left = [0], np.ones(len(p), bool)
     left[0] = False
     while left.any():
-        order.append(int(np.where(left, far[order[-1]], np.inf).argmin()))
+        order.append(int(np.where(left, distances(p, p[order[-1]]), np.inf).argmin()))
         left[order[-1]] = False
     return np.array(order)
 
@@ -134,7 +143,7 @@ def joined(vectors: DataFrame, is_query: Column, *, k: int, scale: float, pivots
     if not whole.n:
         return nothing
     dim = whole.dim
-    chosen = rows.orderBy(F.xxhash64("vec_id", "at"), "at").limit(pivots or max(16, min(1024, math.isqrt(whole.n)))).select("v").toArrow()
+    chosen = rows.orderBy(F.xxhash64("vec_id", "at"), "at").limit(pivots or max(16, min(8192, math.isqrt(whole.n)))).select("v").toArrow()
     p = np.unique(matrix(chosen.column("v"), dim), axis=0)
     p = p[chain(p)]
 
@@ -142,9 +151,8 @@ def joined(vectors: DataFrame, is_query: Column, *, k: int, scale: float, pivots
         drop_kept()
         for b in batches:
             v = matrix(b.column("v"), dim)
-            far = distances(v, p)
-            cell = far.argmin(1)
-            columns = [b.column("vec_id"), b.column("at"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(v)), cell]), pa.array((v * v).sum(1))]
+            cell = nearest(v, p)
+            columns = [b.column("vec_id"), b.column("at"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(distances(v, p[cell])), pa.array((v * v).sum(1))]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "at", "v", "cell", "r", "norm2"])
 
     data = materialize(rows.mapInArrow(assign, "vec_id bigint, at bigint, v array<double>, cell int, r double, norm2 double"))
@@ -171,8 +179,10 @@ def joined(vectors: DataFrame, is_query: Column, *, k: int, scale: float, pivots
                 s = np.where(probe_id[at][None] == ids[mine][:, None], -np.inf, q[mine] @ probe[at].T)
                 if len(at) >= k:
                     least[mine] = np.partition(s, len(at) - k, axis=1)[:, len(at) - k]
-            slack = 1e-9 * (1 + np.sqrt((q * q).sum(1)) * math.sqrt(max(s.norm2 for s in summary)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("at"), b.column("v"), pa.array(least - slack), b.column("group")], ["q_id", "q_at", "q", "least", "group"])
+            with np.errstate(invalid="ignore", over="ignore"):
+                least = least - 1e-9 * (1 + np.sqrt((q * q).sum(1)) * math.sqrt(max(s.norm2 for s in summary)))
+            least[~np.isfinite(least)] = -np.inf  # beyond doubles there is no bound
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("at"), b.column("v"), pa.array(least), b.column("group")], ["q_id", "q_at", "q", "least", "group"])
 
     asked = data.where(is_query).join(F.broadcast(deal), "cell")  # one row per pivot
     asked = asked.withColumn("group", F.col("first") + F.pmod(F.xxhash64("at"), "parts").cast("int")).select("vec_id", "at", "v", "group")
@@ -180,27 +190,33 @@ def joined(vectors: DataFrame, is_query: Column, *, k: int, scale: float, pivots
 
     def reach(t: pa.Table) -> pa.Table:
         q, least = matrix(t.column("q"), dim), t.column("least").to_numpy()
-        far, own = distances(q, p), (q * q).sum(1)
+        own = (q * q).sum(1)
         size = math.sqrt(own.max())
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             need = float((2 * least - own).min())
             length = float(np.where(least > 0, least / np.sqrt(own), 0).min())
         rows = []
         for c in filled.tolist():
-            low, high, over = float(far[:, c].min()), float(far[:, c].max()), float((q @ p[c] - least).max())
+            with np.errstate(invalid="ignore", over="ignore"):
+                far, over = distances(q, p[c]), float((q @ p[c] - least).max())
+            low, high = float(far.min()), float(far.max())
             s = cells[c]
+            if not all(map(math.isfinite, (low, high, over, need, length, size, s.r_high, s.norm2))):
+                rows.append((c, -math.inf, math.inf, math.inf, s.n))  # no bound: all of the cell goes
+                continue
             gap = max(0.0, s.r_low - high, low - s.r_high)
             if not (s.norm2 * (1 + 1e-9) < need + gap * gap * (1 - 1e-9) or math.sqrt(s.norm2) * (1 + 1e-9) < length or over + size * s.r_high * (1 + 1e-9) < 0):
                 rows.append((c, low, high, over, s.n))
         blocks = max(1, -(-sum(r[4] for r in rows) // block))
         c, low, high, over, _ = zip(*rows, strict=True) if rows else ((),) * 5
         n = len(rows)
-        return pa.table({"group": pa.array([t.column("group")[0].as_py()] * n, pa.int32()), "cell": pa.array(c, pa.int32()), "low": pa.array(low, pa.float64()), "high": pa.array(high, pa.float64()), "over": pa.array(over, pa.float64()), "need": pa.array([need] * n, pa.float64()), "length2": pa.array([length * length] * n, pa.float64()), "size": pa.array([size] * n, pa.float64()), "blocks": pa.array([blocks] * n, pa.int32())})
+        return pa.table({"group": pa.array([t.column("group")[0].as_py()] * n, pa.int32()), "cell": pa.array(c, pa.int32()), "low": pa.array(low, pa.float64()), "high": pa.array(high, pa.float64()), "over": pa.array(over, pa.float64()), "need": pa.array([need if math.isfinite(need) else -math.inf] * n, pa.float64()), "length2": pa.array([length * length if math.isfinite(length * length) else 0.0] * n, pa.float64()), "size": pa.array([size] * n, pa.float64()), "blocks": pa.array([blocks] * n, pa.int32())})
 
     ranges = materialize(queries.select("group", "q", "least").groupBy("group").applyInArrow(reach, "group int, cell int, low double, high double, over double, need double, length2 double, size double, blocks int"))
     gap = F.greatest(F.lit(0.0), F.col("r") - F.col("high"), F.col("low") - F.col("r"))
     more, less = F.lit(1 + 1e-9), F.lit(1 - 1e-9)
     of_use = ~((F.col("norm2") * more < F.col("need") + gap * gap * less) | (F.col("norm2") * more < F.col("length2") * less) | (F.col("over") + F.col("size") * F.col("r") * more < 0))
+    of_use = of_use | (F.col("over") == float("inf"))
     sent = data.join(ranges, "cell").where(of_use).select("group", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
     in_blocks = ranges.groupBy("group").agg(F.max("blocks").alias("blocks"))
     dealt = queries.join(in_blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_id", "q_at", "q", "least")
@@ -232,7 +248,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: float = 6
     numbers of any size; a score that no long holds is null, its rank exact. Other columns
     are ignored. Without a row or a query the result is empty.
 
-    ``pivots`` (the square root of the number of rows, 16 to 1024) are the rows of smallest
+    ``pivots`` (the square root of the number of rows, 16 to 8192) are the rows of smallest
     hash, and ``probes`` rows a cell give the first bounds: both affect speed only. A
     cell of any size is dealt over many blocks.
     """

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievelight.llm import topk
@@ -70,3 +71,26 @@ def test_scores_beyond_a_long_keep_their_rank(spark):
     rows = [(0, [1.0, 1.0]), (1, [3e38, 1.0]), (2, [2e38, 1.0]), (3, [-3e38, 0.0]), (4, [1.0, 0.0]), (5, [3e38, 2e38]), (6, [7e30, 7e30])]
     got = run(spark, rows, k=6)
     assert got == brute(rows, 6, 5) and any(r[3] is None for r in got)
+
+
+@pytest.mark.parametrize("size", [2.0**20, 2.0**24, 2.0**28, 2.0**31])
+def test_large_and_near_vectors(spark, size):
+    rng = np.random.default_rng(7)
+    near = [(i, (size + rng.integers(-3, 4, 64)).tolist()) for i in range(150)]
+    centres = size / 2 * rng.normal(size=(10, 64)).round()
+    clustered = [(i, (centres[i % 10] + rng.integers(-3, 4, 64)).tolist()) for i in range(200)]
+    for rows in (near, clustered):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = [(a, b, c, d) for a, b, c, d in brute_double(rows, 5, 5)]
+        for options in ({}, {"pivots": 40, "group": 8, "block": 64}):
+            assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 5 == 0, k=5, scale=1.0, **options).collect()), key=str) == want
+    assert topk.replication(spark.createDataFrame(clustered, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=5, scale=1.0, pivots=40, group=4) < 0.9
+
+
+def brute_double(rows, k, every):
+    out = []
+    for qi, q in rows:
+        if qi % every == 0:
+            s = sorted((-sum(int(a) * int(b) for a, b in zip(q, d)), i) for i, d in rows if i != qi)[:k]
+            out += [(qi, r + 1, i, -v if -(2**63) <= -v < 2**63 else None) for r, (v, i) in enumerate(s)]
+    return sorted(out, key=str)
