@@ -107,6 +107,8 @@ def copies(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
         found.append(materialize(both.join(first, ["n", "r", "s"]).where(F.expr(f"first < {PLACE}")).select(*RUN)))
         release(both, first)
     release(starts)
+    if not found:  # lines repeat, but no run of them has enough words
+        return lines.limit(0).select(*DOC, "i", F.col("i").alias("n"), F.expr(PLACE).alias("first"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

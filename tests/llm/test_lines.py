@@ -92,3 +92,10 @@ def test_maximal_runs_by_definition(spark):
         assert {k: v for k, v in gone.items() if v} == {k[0]: v for k, v in want.items() if v}
         assert least > 6 or (31, 1, 6, 30, 0) in got
     assert lines.maximal_runs(docs.limit(0)).count() == 0
+
+
+def test_short_lines_repeat_but_no_run_is_long_enough(spark):
+    for rows in ([(0, "a b"), (1, "a b")], [(0, "a b\nc d"), (1, "c d\na b"), (2, None), (3, "a b")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r.doc_id, r.text, r.lines == r.kept_lines) for r in lines.deduplicated(docs).collect()) == [(i, t, True) for i, t in rows]
+        assert sorted(map(tuple, lines.kept_documents(docs).collect())) == rows
