@@ -112,11 +112,12 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, totals: tuple[float, float],
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """The distinct texts, with toxic, of at most ``bound`` labelled rows that are not held out, drawn by a hash of the id.
+    """The distinct texts, with toxic, of at most ``bound`` labelled rows of ``docs`` that are not held out, drawn by a hash of the id.
 
     ``check`` marks a third of them, on which scores are calibrated.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     drawn = known.where(fold(F.col("doc_id")) != 0).orderBy(F.md5(F.concat(F.lit("toxic:"), F.col("doc_id").cast("string"))), "doc_id").limit(bound)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     return rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("check", F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
@@ -212,7 +213,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, share: flo
 
     The extreme-value law and the logistic curve are fitted on a third of the texts
     with a lexicon from the others; the lexicon in use is that of all. Without toxic or
-    without clean rows the lexicon is empty and every score is the share of toxic rows.
+    without clean rows to learn from the lexicon is empty, and where they are missing among those to
+    calibrate on a curve of fixed form stands in (see ``curve``). A text without evidence is never
+    predicted toxic, whatever the share of toxic rows.
     """
     rows = materialize(training_rows(docs, labels, bound))
     apart, whole = lexicons(rows, share)
@@ -223,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, share: flo
     lam, k = extreme_value_law(apart, drift, tokens, chance)
     model = Model(apart, drift, lam, k, 0.0, 0.0)
     x = np.array([model.evidence([(0, 0, s) for s in ss], n) for n, ss in zip(sizes, scores, strict=True)])
-    model.slope, model.offset = logistic(x, toxic)
+    model.slope, model.offset = curve(x, toxic)
     model.lexicon = whole
     release(rows)
     return model
@@ -266,6 +269,16 @@ def decay(lexicon: dict[str, float], drift: float, tokens: int, chance: list[flo
     return max(low, 1e-3)
 
 
+#: Where no curve can be fitted: one third to one without evidence, even at an evidence of ln 3; without evidence a score stays below one half.
+UNFITTED, NO_EVIDENCE = (1.0, -math.log(3)), math.log(0.49 / 0.51)
+
+
+def curve(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the curve that turns evidence into a probability, fitted where there are rows of both classes."""
+    slope, offset = logistic(x, toxic) if toxic.any() and not toxic.all() else UNFITTED
+    return slope, min(offset, NO_EVIDENCE)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
     """Slope and offset of a logistic curve by Newton's method, lightly held to zero."""
     rate = (y.sum() + 0.5) / (len(y) + 1)

@@ -66,8 +66,26 @@ def test_odd_rows(spark):
 
 def test_nothing_to_learn(spark):
     docs, labels, _ = corpus(spark, 40)
-    for some in (labels.limit(0), labels.where("toxic = 0")):
-        assert {r.predicted for r in toxicity.score(docs, toxicity.learn(docs, some)).collect()} == {0} if some.count() else True
+    for some in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1"), labels.limit(1)):
+        model = toxicity.learn(docs, some)
+        assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+        assert toxicity.clean_documents(docs, model).count() == docs.count()
+
+
+def test_no_rows_to_calibrate_on(spark):
+    docs, labels, _ = corpus(spark, 400)
+    rows = docs.join(labels, "doc_id").where("text is not null").select("doc_id", "text", "toxic").collect()
+    third = {r.text for r in docs.where(F.pmod(F.xxhash64("text"), F.lit(3)) == 0).collect()}
+    known = spark.createDataFrame([(r.doc_id, r.toxic) for r in rows if r.text not in third], "doc_id long, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, known)).collect()}
+    assert all(s < 0.5 for i, s in scored.items() if i in {r.doc_id for r in rows if not r.toxic})
+
+
+def test_labels_of_absent_documents_teach_nothing(spark):
+    docs, labels, _ = corpus(spark, 400)
+    absent = spark.range(100_000, 140_000).selectExpr("id AS doc_id", "0 AS toxic")
+    both = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).unionByName(absent)
+    assert toxicity.learn(docs, both, bound=2000) == toxicity.learn(docs, labels, bound=2000)
 
 
 def test_stems_carry_forms_not_seen_before(spark):
