@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import drop_kept, keep, materialize, release, slices, table
 
 #: Distinct words that a task counts before it passes them on; positions of a block that is sorted at once.
-FLUSH, BLOCK = 200_000, 1 << 20
+FLUSH, BLOCK = 200_000, 1 << 19
 #: Marks the end of a piece; cannot be part of a word.
 BREAK = b"."
 #: Lower case of A-Z, and one mark for all that ends a piece.
@@ -303,7 +303,7 @@ def scored(phrases: DataFrame, words: DataFrame, factor: int) -> DataFrame:
     return slots.withColumn("cut", F.array_min(F.filter(F.array(cut(1), cut(2), cut(3)), lambda x: x.isNotNull()))).select("hi", "lo", "a", "lang", "cut.l", "cut.r", "cut.score")
 
 
-def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, inside: int = 80, factor: int = 2_000_000, most_words: int = 1_000_000, per_range: int = 1 << 21, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, inside: int = 80, factor: int = 2_000_000, most_words: int = 1_000_000, per_range: int = 1 << 20, block: int = BLOCK) -> DataFrame:
     """The ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased in A-Z only and cut into pieces at ``.,;:!?`` and at line ends,
