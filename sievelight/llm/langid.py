@@ -116,19 +116,22 @@ def path_counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang int, path bigint, n bigint").groupBy("lang", "path").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, *, per_lang: int = 2_000) -> Model:
+def learn(docs: DataFrame, *, per_lang: int = 2_000, cells: int = 1 << 27) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) with neither text nor lang null.
 
-    Bound: about ``per_lang`` texts of each language, drawn by a hash of the id. Of these
-    every byte and every context counts.
+    Bound: about ``per_lang`` texts of each language and ``cells`` / languages^2 bytes of it,
+    drawn by a hash of the id, longer texts left out; so paths x languages, which the model has a number for,
+    are ``cells`` at each depth at most, whatever the number of languages and the length of
+    texts. Of what is drawn every byte and every context counts.
     """
     rows = docs.where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [], [])
-    share = docs.sparkSession.createDataFrame([(x, i, min(1.0, per_lang / sizes[x])) for i, x in enumerate(langs)], "of string, number int, share double")
-    drawn = rows.select("doc_id", "text", "lang").join(share, F.col("lang") == F.col("of")).where(unit_interval("lang", F.col("doc_id")) < F.col("share"))
+    room = max(1, cells // len(langs) ** 2)
+    share = docs.sparkSession.createDataFrame([(x, i, min(1.0, per_lang / sizes[x].n, room / max(1, sizes[x].size))) for i, x in enumerate(langs)], "of string, number int, share double")
+    drawn = rows.select("doc_id", "text", "lang").where(F.octet_length("text") <= room).join(share, F.col("lang") == F.col("of")).where(unit_interval("lang", F.col("doc_id")) < F.col("share"))
     counts = materialize(path_counts(drawn.select(F.col("number").alias("lang"), "text")))
     found = counts.toArrow()
     release(counts)

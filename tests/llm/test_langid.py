@@ -106,3 +106,21 @@ def test_odd_rows(spark):
     none = langid.learn(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_many_languages_in_bounded_room(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(30):
+        words = ["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(60)]
+        rows += [(1000 * k + i, " ".join(rng.choices(words, k=60)), f"l{k:02d}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, cells=1 << 22)
+    assert all(p.values.size <= 1.5 * (1 << 22) for p in model.paths)
+    assert len(model.paths[-1].codes) < len(langid.learn(docs).paths[-1].codes)
+    named = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    got = langid.predict(docs, model).collect()
+    assert sum(r.lang_pred == named[r.doc_id] for r in got) > 0.98 * len(got)
+    long = docs.limit(1).withColumn("text", F.repeat("text", 5000))
+    assert langid.learn(docs.unionByName(long), cells=1 << 22).langs == model.langs
