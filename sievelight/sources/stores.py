@@ -23,6 +23,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sievelight"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its path type."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A small file as it is."""
+    fs, at = file_system(spark, path)
+    stream = fs.open(at(path))
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def write_new_file(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a small file that does not exist yet; False if it does."""
+    fs, at = file_system(spark, path)
+    if fs.exists(at(path)):
+        return False
+    try:
+        stream = fs.create(at(path), False)
+    except Exception as e:
+        if fs.exists(at(path)):
+            return False  # another writer was first
+        raise e
+    stream.write(data)
+    stream.close()
+    return True
+
+
 def new_objects(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Objects (kind, body) keyed by content that the store does not have yet, once each."""
     keyed = rows.withColumn("hash", content_hash(F.col("body").cast("binary"))).dropDuplicates(["kind", "hash"])
