@@ -34,11 +34,28 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.when(F.size(ordered) > 0, F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(ordered)).cast("int"))))
 
 
-def percentile_disc(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """The same without gathering a group: ranks and counts are windows, and one row per group remains."""
-    w = W.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("_i") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n")))).select(*by, F.col(value).alias("percentile"))
+def percentile_disc(df: DataFrame, by: list[str], value: str, p: float, accuracy: int = 10_000) -> DataFrame:
+    """The ceil(p n)-th smallest value of each group, by counts of ranges: nothing gathers or sorts a group.
+
+    A first pass gives each group two of its values with the wanted rank between them, a few
+    ``accuracy``-ths of its rows apart. A second counts what lies below the first, and each distinct value up to
+    the other; only these counts are put in order. Null values don't count; groups without a value have no row.
+    """
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v"))
+    near = [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b"))
+    sums = sums.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_n", F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(sums[f"_of{k}"])
+    near_it = rows.join(sums, same).where("_v <= _high").groupBy(*keys, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
+    wanted = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n")))
+    ranked = near_it.withColumn("_upto", upto).withColumn("_wanted", wanted)
+    picked = ranked.groupBy(*keys).agg(F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") >= F.col("_wanted")), F.col("_v"))).alias("percentile"), F.bool_or(F.col("_v").isNull() & (F.col("_upto") >= F.col("_wanted"))).alias("_missed"))
+    checked = F.when(F.col("_missed") | F.col("percentile").isNull(), F.raise_error(F.lit("the wanted rank lies outside its bounds")).cast(picked.schema["percentile"].dataType)).otherwise(F.col("percentile"))
+    return picked.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], checked.alias("percentile"))
 
 
 def worst_rank(expected: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:

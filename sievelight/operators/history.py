@@ -2,8 +2,8 @@
 
 commits(commit_hash, commit_type, created_at, tree_hash), parents(commit_hash, parent,
 ord), entries(commit_hash, path, raw_hash, ...). A store's graph is bounded, so that it
-is walked whole in one task; recursive SQL would multiply rows at diamonds and stops
-at a depth of 100. Trees are unbounded and stay in joins.
+is walked whole in one task, and a larger one by doubling; recursive SQL would multiply rows at
+diamonds and stops at a depth of 100. Trees are unbounded and stay in joins.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_hash, content_hash
+from ..sources.stores import discard, written
 
 #: Commits that a walk may reach.
 MOST_COMMITS = 100_000
@@ -24,9 +25,12 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
     """(*by, start, commit_hash, depth): every commit that each start reaches, itself at depth 0, at its least depth.
 
     The graph of one store (named by the columns ``by``) has ``most`` commits at most,
-    or the query fails; within that bound one task walks it, and stores run side by side.
+    or the query fails; within that bound one task walks it, and stores run side by side. A single graph
+    (no ``by``) of more parents than MOST_COMMITS is walked by doubling instead.
     """
     keys = by or []
+    if not keys and most == MOST_COMMITS and parents.limit(MOST_COMMITS + 1).count() > MOST_COMMITS:
+        return reachable_by_doubling(starts, parents, first_parent=first_parent)
     edges = (parents.where("ord = 0") if first_parent else parents).select(*keys, "commit_hash", "parent")
     kinds = "".join(f"{k} {dict(starts.dtypes)[k]}, " for k in keys)
 
@@ -50,6 +54,50 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
     return one(starts.select(*keys, "commit_hash")).cogroup(one(edges)).applyInPandas(walk, f"{kinds}start string, commit_hash string, depth int")
 
 
+def reachable_by_doubling(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """``reachable`` for graphs of any size, by joins: a number of rounds that grows with the logarithm of the longest way.
+
+    Round k has the pairs of commits that a walk of 2^k steps joins, and doubles it; what was
+    reached by fewer steps than 2^k goes on by as many. The walk ends with the first round that reaches nothing
+    new. The pairs are one for each commit and each of its ancestors so many steps away, as many as the history
+    has branches side by side. More than ``most`` reached commits are an error.
+    """
+    keys = by or []
+    edges = (parents.where("ord = 0") if first_parent else parents).where("parent is not null")
+    jump = written(edges.select(*keys, "commit_hash", F.col("parent").alias("to")).distinct())
+    seen = written(starts.select(*keys, F.col("commit_hash").alias("start"), "commit_hash", F.lit(0).alias("depth")).distinct())
+    n, steps = seen.count(), 1
+    while True:
+        more = seen.join(jump, [*keys, "commit_hash"]).select(*keys, "start", F.col("to").alias("commit_hash"), (F.col("depth") + steps).alias("depth"))
+        then = written(seen.unionByName(more).groupBy(*keys, "start", "commit_hash").agg(F.min("depth").alias("depth")))
+        discard(seen)
+        seen, before, n = then, n, then.count()
+        if most is not None and n > most:
+            raise ValueError(f"a walk reaches more than {most} commits")
+        if n == before:
+            discard(jump)
+            return seen
+        if steps > 1 << 40:
+            raise ValueError("a commit is its own ancestor")
+        after = jump.select(*keys, F.col("commit_hash").alias("to"), F.col("to").alias("_to"))
+        twice = written(jump.join(after, [*keys, "to"]).select(*keys, "commit_hash", F.col("_to").alias("to")).distinct())
+        discard(jump)
+        jump, steps = twice, 2 * steps
+
+
+def within_limits(reached: DataFrame, entries: DataFrame, *, by: list[str] | None = None, commits: int = MOST_COMMITS, rows: int = 10_000_000, size: int = 4 << 30) -> DataFrame:
+    """The entries (commit_hash, size_bytes, ...) of reached commits, if a walk of each store may read so much: commits, entries, and bytes; otherwise an error."""
+    key = [*(by or []), "commit_hash"]
+    held = entries.join(reached.select(*key).distinct(), key, "left_semi")
+    walked = reached.select(*key).distinct().groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"))
+    read = held.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("size_bytes").cast("decimal(38,0)")), F.lit(0)).alias("size"))
+    worst = read.agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+    for what, found, most in (("commits", walked.agg(F.max("n")).first()[0], commits), ("entries", worst.n, rows), ("bytes", worst.size, size)):
+        if found and found > most:
+            raise ValueError(f"a walk has {found} {what}; {most} are allowed")
+    return held
+
+
 def present(reached: DataFrame, entries: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries of reached commits that have a tree, reached commits without one: shallow), stores told apart by ``by``. A shallow start is an error."""
     key = [*(by or []), "commit_hash"]

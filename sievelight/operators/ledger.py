@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Error kind, retryable, attempts (null: no limit), backoff, code, paused.
 RETRY = [
@@ -48,6 +53,41 @@ def decide(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("denied_by", deny)
 
 
+def admit(candidates: DataFrame, totals: DataFrame) -> DataFrame:
+    """Candidates in order under nested caps: what is let in raises the totals that later ones meet, what is denied does not.
+
+    candidates(month, seq, scope_id, adapter, usd, device_cap, folder_cap, adapter_cap, ...) and
+    totals(month, scope_id, adapter, total), what was spent or reserved before. Gives each candidate
+    denied_by: the first cap (device, folder, then adapter of the month) that total and cost
+    would reach, or null. What costs nothing is let in and no cap is one; order is seq, then scope, adapter and cost.
+    A null cost is an error. Months are worked on side by side, each as a sorted stream of which
+    only the running totals are held.
+    """
+    before = totals.groupBy("month", "scope_id", "adapter").agg(F.sum("total").alias("usd")).withColumn("_kind", F.lit(0))
+    rows = candidates.withColumns({"_kind": F.lit(1), "usd": F.when(F.col("usd").isNull(), F.raise_error(F.lit("a candidate without a cost")).cast(candidates.schema["usd"].dataType)).otherwise(F.col("usd"))})
+    rows = before.select("month", "scope_id", "adapter", F.col("usd").cast(candidates.schema["usd"].dataType).alias("usd"), "_kind").unionByName(rows, allowMissingColumns=True)
+    rows = rows.select(*candidates.columns, "_kind").repartition("month").sortWithinPartitions("month", "_kind", "seq", "scope_id", "adapter", "usd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, device, folders, adapters = None, 0, {}, {}
+        for b in batches:
+            denied = []
+            for month, kind, scope, adapter, usd, *caps in zip(*(b.column(c).to_pylist() for c in ("month", "_kind", "scope_id", "adapter", "usd", "device_cap", "folder_cap", "adapter_cap")), strict=True):
+                if now != (month,):
+                    now, device, folders, adapters = (month,), 0, {}, {}
+                here = (device, folders.get(scope, 0), adapters.get(adapter, 0))
+                stop = next((level for level, total, cap in zip(("device", "folder", "adapter"), here, caps, strict=True) if kind and usd and cap is not None and total + usd >= cap), None)
+                denied.append(stop)
+                if stop is None:
+                    device, folders[scope], adapters[adapter] = here[0] + usd, here[1] + usd, here[2] + usd
+            asked = pa.compute.equal(b.column("_kind"), 1)
+            columns = [b.column(c) for c in candidates_columns] + [pa.array(denied, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*candidates_columns, "denied_by"]).filter(asked)
+
+    candidates_columns = candidates.columns
+    return rows.mapInArrow(run, T.StructType([*candidates.schema.fields, T.StructField("denied_by", T.StringType())]))
+
+
 def budget_warning(levels: DataFrame, threshold: float = 80.0) -> DataFrame:
     """The level of the worst percentage of its cap, if that is ``threshold`` or more: level, percent."""
     p = levels.where("cap > 0").select("level", (F.col("total") / F.col("cap") * 100).alias("percent"))

@@ -55,16 +55,27 @@ def reserve(requests: DataFrame, wanted: DataFrame) -> DataFrame:
 def settle(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Second phase: the requests' next states, and what each costs in the end.
 
-    outcomes(idempotency_key, outcome, usd): 'submitted' moves a reservation on, 'done' settles a
-    submitted request at its cost, 'rejected' releases either. An outcome that does not
-    fit the state changes nothing. Settled and released requests stay.
+    outcomes(idempotency_key, [seq,] outcome, usd), taken in the order of seq: 'submitted' moves a
+    reservation on, 'done' settles a submitted request at its cost, 'rejected' releases either. An
+    outcome that does not fit the state it meets changes nothing. Settled and released requests
+    stay. Several outcomes of a key without a seq, or with one seq, are an error. A key has few outcomes,
+    which are folded in one row.
     """
-    o = outcomes.groupBy("idempotency_key").agg(F.max_by("usd", "outcome").alias("usd"), F.max("outcome").alias("outcome"))
-    s, what = F.col("state"), F.col("outcome")
-    state = F.when((s == RESERVED) & (what == "submitted"), SUBMITTED).when((s == SUBMITTED) & (what == "done"), SETTLED).when(s.isin(RESERVED, SUBMITTED) & (what == "rejected"), RELEASED).otherwise(s)
-    rows = requests.join(o, "idempotency_key", "left").withColumn("next", state)
-    cost = F.when((F.col("next") == SETTLED) & (s != SETTLED), F.col("usd")).when(F.col("next") == RELEASED, 0.0)
-    return rows.withColumn("cost_usd", cost).drop("outcome", "usd")
+    ordered = "seq" in outcomes.columns
+    one = F.struct((F.col("seq") if ordered else F.lit(0)).cast("bigint").alias("seq"), "outcome", F.col("usd").cast("double").alias("usd"))
+    o = outcomes.groupBy("idempotency_key").agg(F.array_sort(F.collect_list(one)).alias("_outcomes"))
+    unclear = F.size(F.array_distinct(F.transform("_outcomes", lambda x: x["seq"]))) < F.size("_outcomes")
+    o = o.withColumn("_outcomes", F.when(unclear, F.raise_error(F.concat(F.lit("outcomes without an order of "), F.col("idempotency_key").cast("string"))).cast(o.schema["_outcomes"].dataType)).otherwise(F.col("_outcomes")))
+
+    def step(now: Column, x: Column) -> Column:
+        s, what = now["state"], x["outcome"]
+        settled, released = (s == SUBMITTED) & (what == "done"), s.isin(RESERVED, SUBMITTED) & (what == "rejected")
+        state = F.when((s == RESERVED) & (what == "submitted"), SUBMITTED).when(settled, SETTLED).when(released, RELEASED).otherwise(s)
+        return F.struct(state.cast("int").alias("state"), F.when(settled, x["usd"]).when(released, F.lit(0.0)).otherwise(now["cost"]).alias("cost"))
+
+    begin = F.struct(F.col("state").cast("int").alias("state"), F.when(F.col("state") == RELEASED, F.lit(0.0)).alias("cost"))
+    rows = requests.join(o, "idempotency_key", "left").withColumn("_end", F.aggregate(F.coalesce("_outcomes", F.array().cast(o.schema["_outcomes"].dataType)), begin, step))
+    return rows.withColumns({"next": F.col("_end.state"), "cost_usd": F.col("_end.cost")}).drop("_outcomes", "_end")
 
 
 def sweep_progress(plan: DataFrame, receipts: DataFrame, trees: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +60,13 @@ class Answer:
 class Collection:
     """Tables of one collection.
 
-    chunks(scope_id, chunk_id, raw_hash, heading_path as JSON text, text, created_at),
+    chunks(scope_id, chunk_id, raw_hash, heading_path as JSON text, text, created_at, and
+    seq, a number that grows as chunks are added, where pages must not see later ones),
     vectors(scope_id, chunk_id, image_id, vector), entries(scope_id, commit_hash, path,
     raw_hash), parents(scope_id, commit_hash, parent, ord), heads(scope_id,
     commit_hash), objects(kind, hash, body), purges(scope_id), profiles(scope_id,
-    dimensions, distance, modality, profile_hash). ``index`` is a text index of the chunks.
+    dimensions, distance, modality, profile_hash). ``index`` is a text index of the chunks. chunks, heads and
+    purges may be functions that give the table as it is when they are called.
     """
 
     spark: SparkSession
@@ -71,9 +74,21 @@ class Collection:
     settings: Settings = field(default_factory=Settings)
     index: TextIndex | None = None
 
-    def bindings(self, selector: Selector) -> DataFrame:
-        """scope_id, chunk_id, path, commit_hash visible to a selector."""
-        t, s = self.tables, selector.checked()
+    def now(self, name: str) -> DataFrame:
+        """A table as it is at this moment: one that is given as a function is made anew."""
+        t = self.tables[name]
+        return t() if callable(t) else t
+
+    def chunks_upto(self, mark: int | None) -> DataFrame:
+        """The chunks up to a number ``seq``; all where they have none. A chunk without a number counts as old."""
+        chunks = self.now("chunks")
+        return chunks if mark is None else chunks.where(F.coalesce(F.col("seq") <= mark, F.lit(True)))
+
+    def bindings(self, selector: Selector, *, heads: DataFrame | None = None, moment: datetime | None = None, mark: int | None = None) -> DataFrame:
+        """scope_id, chunk_id, path, commit_hash visible to a selector: with the heads as they are or as given, at a moment (now), of chunks up to a mark (all)."""
+        t, s = dict(self.tables), selector.checked()
+        if heads is not None:
+            t["heads"] = heads
         if s.at is not None:
             entries = t["entries"].where(F.col("commit_hash") == s.at)
         elif s.all_history:
@@ -87,9 +102,10 @@ class Collection:
                 held = t["entries"].join(chain, ["scope_id", "commit_hash"]).join(entries.select("scope_id", "path"), ["scope_id", "path"], "left_anti")
                 last = held.groupBy("scope_id", "path").agg(F.min_by(F.struct("commit_hash", "raw_hash"), "depth").alias("x")).select("scope_id", "x.commit_hash", "path", "x.raw_hash")
                 entries = history.include_deleted(entries.select("scope_id", "commit_hash", "path", "raw_hash"), last, ["scope_id", "raw_hash"])
-        chunks = t["chunks"]
+        chunks = self.chunks_upto(mark)
         if s.since:
-            chunks = chunks.where(F.col("created_at") >= F.current_timestamp() - F.make_interval(secs=F.lit(duration_seconds(s.since))))
+            cutoff = F.current_timestamp() if moment is None else F.lit(moment)
+            chunks = chunks.where(F.col("created_at") >= cutoff - F.make_interval(secs=F.lit(duration_seconds(s.since))))
         return chunks.select("scope_id", "chunk_id", "raw_hash").join(entries, ["scope_id", "raw_hash"]).select("scope_id", "chunk_id", "path", "commit_hash")
 
     def mode(self, asked: str) -> tuple[str, str | None]:
@@ -108,27 +124,41 @@ class Collection:
 
         Images rank beside chunks and take the text rank of the chunk that cites them. With
         ``cursor`` the page after the one that gave it; the token is refused if it was made for
-        another query, mode, selector or set of scopes.
+        another query, mode, selector or set of scopes. A token also carries the heads of the first page,
+        its moment, from which ``since`` is counted, the largest ``seq`` of its chunks and the version of the index,
+        so that the pages of one request neither repeat nor miss a row while the collection grows. Purges are read anew.
         """
         t, c = self.tables, self.settings
         chosen = (selector or Selector()).checked()
         request = evidence.query_hash(query, [{"scope_id": s} for s in scopes or []], cap=c.cap, depth=c.mmr_depth, lam=c.lam, mode=mode, selector=repr(chosen))
+        index = self.index
         if cursor is not None:
-            offset = evidence.decode_cursor(cursor, c.cursor_key, request)["consumed"]
-        bindings = self.bindings(chosen)
+            pinned = evidence.decode_cursor(cursor, c.cursor_key, request)
+            offset = pinned["consumed"]
+            if index is not None and index.manifest.version != pinned["index"]:
+                index = TextIndex(self.spark, index.path, pinned["index"])
+        else:
+            rows_of_heads = self.now("heads").select("scope_id", "commit_hash").distinct().orderBy("scope_id", "commit_hash").collect()  # one a scope
+            seen = self.now("chunks")
+            mark = seen.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if "seq" in seen.columns else None
+            pinned = {"heads": [list(r) for r in rows_of_heads], "moment": datetime.now(UTC).isoformat(), "mark": mark, "index": None if index is None else index.manifest.version}
+        moment = datetime.fromisoformat(pinned["moment"])
+        heads = self.spark.createDataFrame([tuple(h) for h in pinned["heads"]], "scope_id string, commit_hash string")
+        bindings = self.bindings(chosen, heads=heads, moment=moment, mark=pinned["mark"])
         if scopes is not None:
             bindings = bindings.where(F.col("scope_id").isin(scopes))
         if "purges" in t:
-            bindings = search.without_purged(bindings, t["purges"])
+            bindings = search.without_purged(bindings, self.now("purges"))
+        all_chunks = self.chunks_upto(pinned["mark"])
         eligible = bindings.select("scope_id", "chunk_id").distinct()
         resolved, reason = self.mode(mode)
         phrases, short = match_plan(query)
 
         def text_lane() -> DataFrame:
-            corpus = t["chunks"].select("scope_id", "chunk_id", "heading_path", "text")
+            corpus = all_chunks.select("scope_id", "chunk_id", "heading_path", "text")
             if not phrases:
                 return search.short_lane(corpus, short, eligible, c.depth)
-            return search.bm25(corpus, phrases, eligible, c.depth) if self.index is None else self.index.bm25(phrases, eligible, c.depth)
+            return search.bm25(corpus, phrases, eligible, c.depth) if index is None else index.bm25(phrases, eligible, c.depth)
 
         def vector_lane() -> DataFrame:
             return search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth)
@@ -140,7 +170,7 @@ class Collection:
             ranked = ranked.withColumn("score", -F.col("bm25") if "bm25" in ranked.columns else F.col("cosine"))
         if "image_id" not in ranked.columns:
             ranked = ranked.withColumn("image_id", F.lit(None).cast("string"))
-        rows = ranked.select("scope_id", "chunk_id", "image_id", "score", "rank").join(t["chunks"].select("scope_id", "chunk_id", "raw_hash"), ["scope_id", "chunk_id"])
+        rows = ranked.select("scope_id", "chunk_id", "image_id", "score", "rank").join(all_chunks.select("scope_id", "chunk_id", "raw_hash"), ["scope_id", "chunk_id"])
         if "vectors" in t and c.diversify == "mmr":
             v = t["vectors"].select("scope_id", "chunk_id", F.col("image_id").alias("of_image"), "vector")
             same = (rows["scope_id"] == v["scope_id"]) & (rows["chunk_id"] == v["chunk_id"]) & rows["image_id"].eqNullSafe(v["of_image"])
@@ -150,12 +180,12 @@ class Collection:
             rows = search.cap_per_document(rows, c.cap)
         documents = search.page(search.group_documents(rows), offset, limit + 1)
         if "purges" in t:
-            documents = search.without_purged(documents, t["purges"])  # a purge may have begun meanwhile
+            documents = search.without_purged(documents, self.now("purges"))  # a purge may have begun meanwhile
         cite = bindings.groupBy("scope_id", "chunk_id").agg(F.min(F.struct("path", "commit_hash")).alias("cite"))
         found = documents.join(cite, ["scope_id", "chunk_id"]).select("scope_id", "chunk_id", "image_id", "raw_hash", "score", "rank", "cite.path", "cite.commit_hash")
         found = search.settled(found, limit + 1)  # a page and one row more
         more = found.where(F.col("rank") > offset + limit).count() > 0
-        token = evidence.encode_cursor({"query_hash": request, "consumed": offset + limit}, c.cursor_key) if more else None
+        token = evidence.encode_cursor({k: pinned[k] for k in ("heads", "moment", "mark", "index")} | {"query_hash": request, "consumed": offset + limit}, c.cursor_key) if more else None
         return Answer(found.where(F.col("rank") <= offset + limit), resolved, reason, token)
 
     def ingest(self, units: DataFrame) -> DataFrame:

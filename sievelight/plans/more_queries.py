@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
@@ -273,24 +275,28 @@ def reservations(spark, sf_dir):
     return tasks.reserve(held, o.where("created_at % 10 <> 0"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS state FROM orders), o AS (SELECT o_orderkey AS k, ['submitted', 'done', 'rejected'][o_custkey % 3 + 1] AS outcome, o_totalprice AS usd FROM orders WHERE o_custkey % 5 <> 0),
-n AS (SELECT r.k, state, usd, CASE WHEN state = 0 AND outcome = 'submitted' THEN 1 WHEN state = 1 AND outcome = 'done' THEN 2 WHEN state IN (0, 1) AND outcome = 'rejected' THEN 3 ELSE state END AS next FROM r LEFT JOIN o USING (k))
-SELECT k AS idempotency_key, state, next::INT AS next, CASE WHEN next = 2 AND state <> 2 THEN usd WHEN next = 3 THEN 0.0 END AS cost_usd FROM n""")
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS state FROM orders), a AS (SELECT o_orderkey AS k, ['submitted', 'done', 'rejected'][o_custkey % 3 + 1] AS a, o_totalprice AS usd FROM orders WHERE o_custkey % 5 <> 0),
+b AS (SELECT o_orderkey AS k, ['done', 'rejected'][o_orderkey // 4 % 2 + 1] AS b, 2 * o_totalprice AS usd FROM orders WHERE o_custkey % 2 = 0),
+s AS (SELECT r.k, state, a.usd AS first_usd, b.usd AS second_usd, b, CASE WHEN state = 0 AND a = 'submitted' THEN 1 WHEN state = 1 AND a = 'done' THEN 2 WHEN state IN (0, 1) AND a = 'rejected' THEN 3 ELSE state END AS mid FROM r LEFT JOIN a USING (k) LEFT JOIN b USING (k)),
+n AS (SELECT *, CASE WHEN mid = 1 AND b = 'done' THEN 2 WHEN mid IN (0, 1) AND b = 'rejected' THEN 3 ELSE mid END AS next FROM s)
+SELECT k AS idempotency_key, state, next::INT AS next, CASE WHEN next = 3 THEN 0.0 WHEN next = 2 AND mid <> 2 THEN second_usd WHEN next = 2 AND state <> 2 THEN first_usd END AS cost_usd FROM n""")
 def settlements(spark, sf_dir):
-    """The second phase, what outcomes make of requests."""
+    """The second phase, what up to two outcomes in order make of requests."""
     o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
-    outcome = F.element_at(F.array(F.lit("submitted"), F.lit("done"), F.lit("rejected")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    got = tasks.settle(o.select(k.alias("idempotency_key"), (k % 4).alias("state")), o.where("o_custkey % 5 <> 0").select(k.alias("idempotency_key"), outcome.alias("outcome"), F.col("o_totalprice").alias("usd")))
+    pick = lambda some, i: F.element_at(F.array(*map(F.lit, some)), (i + 1).cast("int"))
+    first = o.where("o_custkey % 5 <> 0").select(k.alias("idempotency_key"), F.lit(1).alias("seq"), pick(["submitted", "done", "rejected"], F.col("o_custkey") % 3).alias("outcome"), F.col("o_totalprice").alias("usd"))
+    second = o.where("o_custkey % 2 = 0").select(k.alias("idempotency_key"), F.lit(2).alias("seq"), pick(["done", "rejected"], F.floor(k / 4) % 2).alias("outcome"), (2 * F.col("o_totalprice")).alias("usd"))
+    got = tasks.settle(o.select(k.alias("idempotency_key"), (k % 4).alias("state")), first.unionByName(second))
     return got.select("idempotency_key", "state", F.col("next").cast("int").alias("next"), "cost_usd")
 
 
-@query("""WITH c AS (SELECT event_id, event_id % 500 AS tree FROM events WHERE event_type <> 'view'), r AS (SELECT event_id FROM events WHERE event_id % 2 = 0), t AS (SELECT DISTINCT event_id % 500 AS tree FROM events WHERE event_id % 3 <> 0 AND event_id < 300)
+@query("""WITH c AS (SELECT event_id, event_id % 500 AS tree FROM events WHERE event_type <> 'view'), r AS (SELECT event_id FROM events WHERE event_id % 2 = 0), t AS (SELECT DISTINCT event_id % 500 AS tree FROM events WHERE event_id % 3 <> 0 AND event_id % 500 <> event_id % 7 * 71)
 SELECT event_id, phase, CASE phase WHEN 'marked' THEN 'write_receipt' WHEN 'receipted' THEN 'unlink_tree' END AS next_step FROM (SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM r) AND tree NOT IN (SELECT tree FROM t) THEN 'done' WHEN event_id IN (SELECT event_id FROM r) THEN 'receipted' WHEN tree IN (SELECT tree FROM t) THEN 'marked' ELSE 'broken' END AS phase FROM c)""")
 def sweep_progress(spark, sf_dir):
     """L2: how far a sweep has come, told by receipts and trees."""
     e, i = load(spark, sf_dir, "events"), F.col("event_id")
     plan = e.where("event_type <> 'view'").select(i.alias("commit_hash"), (i % 500).alias("tree_hash"))
-    trees = e.where("event_id % 3 <> 0 and event_id < 300").select((i % 500).alias("tree_hash"))
+    trees = e.where("event_id % 3 <> 0 and event_id % 500 <> event_id % 7 * 71").select((i % 500).alias("tree_hash"))
     return tasks.sweep_progress(plan, e.where("event_id % 2 = 0").select(i.alias("commit_hash")), trees).select(F.col("commit_hash").alias("event_id"), "phase", "next_step")
 
 
@@ -316,7 +322,7 @@ def registry_duplicates(spark, sf_dir):
 def replayed_log(spark, sf_dir):
     """A log appended to twice, rewritten without some records, and replayed."""
     e = load(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    path = f"{stores.shared_folder(spark)}/log-{spark.sparkContext.applicationId}-{id(e)}"
+    path = f"{stores.shared_folder(spark)}/log-{uuid.uuid4().hex}"
     stores.append_log(e.where("event_id % 2 = 0"), path)
     stores.append_log(e.where("event_id % 2 = 1"), path)
     schema = "user_id bigint, event_type string, event_id bigint"

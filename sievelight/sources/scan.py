@@ -6,8 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import content_hash
+from . import folder as folder_tree
+from .stores import written
 
 #: Names and paths that hold secrets.
 SECRET_PATHS = [".kube/config", ".docker/config.json"]
@@ -68,25 +71,84 @@ def ignored(path: Column, is_dir: Column, rules: list[str], fold: bool = False)
     return out
 
 
-def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recursive: bool = False, contents: bool = False) -> DataFrame:
-    """Files of a folder: path, name, relative (the path below the folder), size_bytes, modified, ignored, secret_tier, and with ``contents`` content and raw_hash.
+def last_rule(path: Column, is_dir: Column, rules: list[str]) -> Column:
+    """True where the last rule that matches takes a path in, False where it leaves it out, null where none matches."""
+    out = F.lit(None).cast("boolean")
+    for rule in rules:
+        if rule.strip() and not rule.startswith("#"):
+            pattern = rule.removeprefix("!")
+            out = F.when(path.rlike(glob_regex(pattern)) & (is_dir if pattern.endswith("/") else F.lit(True)), F.lit(rule.startswith("!"))).otherwise(out)
+    return out
 
-    Rules and secrets are tested on the relative path and on each folder in it: what lies in
-    an ignored folder is ignored, whatever later rules say of the file, and what lies in a
-    secret folder is secret. Files and folders whose names begin with . or _ are hidden from
-    Spark's file readers and are not listed.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
-    parts = F.split(F.substring_index(F.regexp_replace("path", "^[^:/]+:(//[^/]*)?", ""), f"{root}/", -1), "/")
-    relative = F.array_join(parts, "/")
+
+def scan_allows(relative: Column, rules: list[str] = ()) -> Column:
+    """Whether a scan would take up a file at this relative path: no rule leaves it or a folder above it out, and it is no known secret."""
+    hidden, tier, _ = _judged(relative, list(rules))
+    return ~hidden & F.coalesce(tier != "A", F.lit(True))
+
+
+def _judged(relative: Column, rules: list[str]) -> tuple[Column, Column, Column]:
+    """Of a relative path: whether it is ignored, its secret tier, and whether a rule takes it in by name; folders above it count for the first two."""
+    parts = F.split(relative, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
-    hidden = F.exists(above, lambda p: ignored(p, F.lit(True), list(rules))) | ignored(relative, F.lit(False), list(rules))
-    tiers = F.array_compact(F.concat(F.transform(above, secret_tier), F.array(secret_tier(relative))))
-    cols = [F.col("path"), name.alias("name"), relative.alias("relative"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), hidden.alias("ignored"), F.array_min(tiers).alias("secret_tier")]
-    return files.select(*cols, *([F.col("content"), content_hash(F.col("content")).alias("raw_hash")] if contents else []))
+    hidden = F.exists(above, lambda p: ignored(p, F.lit(True), rules)) | ignored(relative, F.lit(False), rules)
+    tier = F.array_min(F.array_compact(F.concat(F.transform(above, secret_tier), F.array(secret_tier(relative)))))
+    return hidden, tier, F.coalesce(last_rule(relative, F.lit(False), rules), F.lit(False))
+
+
+#: Why a file is held back.
+QUARANTINE = {"excluded": "secrets_tier_a_excluded", "held": "secrets_tier_a_online_hold", "warned": "secrets_tier_b_warning"}
+
+
+def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recursive: bool = False, contents: bool = False, most_bytes: int = 64 << 20) -> DataFrame:
+    """Files of a folder: path, name, relative (the path below the folder), size_bytes, modified, ignored, secret_tier, quarantine, and with ``contents`` content and raw_hash.
+
+    Files of every name are listed, also those that begin with . or _. Rules and secrets are
+    tested on the relative path and on each folder in it: what lies in an ignored folder is ignored,
+    whatever later rules say of the file, and what lies in a secret folder is secret. quarantine:
+    a known secret is excluded, or held where a rule with ! takes it in by name; a suspicious name is
+    a warning. Contents of files that are excluded, gone since, or larger than ``most_bytes`` are null;
+    they are read in parts of even size, whatever folders hold.
+    """
+    folder_tree.register(spark)
+    files = spark.read.format(folder_tree.FORMAT).option("recursive", str(recursive).lower()).load(folder)
+    hidden, tier, named = _judged(F.col("relative"), list(rules))
+    rows = files.select("path", F.element_at(F.split("relative", "/"), -1).alias("name"), "relative", "size_bytes", "modified", hidden.alias("ignored"), tier.alias("secret_tier"), named.alias("_named"))
+    excluded = F.col("ignored") | ~F.col("_named")
+    reason = F.when(F.col("secret_tier") == "A", F.when(excluded, QUARANTINE["excluded"]).otherwise(QUARANTINE["held"])).when(F.col("secret_tier") == "B", QUARANTINE["warned"])
+    rows = rows.withColumn("quarantine", reason).drop("_named")
+    return with_contents(rows, folder, most_bytes) if contents else rows
+
+
+def with_contents(rows: DataFrame, folder: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of a scan with content and raw_hash; excluded files are not opened."""
+    closed = F.col("ignored") | F.coalesce(F.col("quarantine") == QUARANTINE["excluded"], F.lit(False))
+    read = lambda batches: folder_tree.contents(batches, folder, most_bytes)
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    opened = rows.where(~closed).repartition(F.xxhash64("path")).mapInArrow(read, schema)
+    both = opened.unionByName(rows.where(closed).withColumn("content", F.lit(None).cast("binary")))
+    return both.withColumn("raw_hash", F.when(F.col("content").isNotNull(), content_hash(F.col("content"))))
+
+
+def rescan(spark: SparkSession, folder: str, stored: DataFrame, rules: list[str] = (), *, most_bytes: int = 64 << 20) -> DataFrame:
+    """A recursive scan against a stored listing (relative, size_bytes, modified, raw_hash): the listing now, with change.
+
+    Only files that are new, or whose size or time differs, are opened and hashed; the others keep
+    their stored hash. change: added, changed (another hash), touched (the same hash),
+    unchanged, or removed. Files that may not be opened have a null hash.
+    """
+    now = scan_folder(spark, folder, rules, recursive=True)
+    old = stored.select("relative", F.col("size_bytes").alias("_size"), F.col("modified").alias("_time"), F.col("raw_hash").alias("_hash"))
+    met = now.join(old, "relative", "left")
+    same = F.col("_hash").isNotNull() & (F.col("size_bytes") == F.col("_size")) & (F.col("modified") == F.col("_time"))
+    known = written(met.withColumn("_same", same))
+    kept = known.where("_same").select(*now.columns, F.col("_hash").alias("raw_hash"), F.lit("unchanged").alias("change"))
+    again = with_contents(known.where("not _same").select(*now.columns, "_size", "_hash"), folder, most_bytes)
+    kind = F.when(F.col("_size").isNull(), "added").when(F.col("raw_hash").eqNullSafe(F.col("_hash")), "touched").otherwise("changed")
+    found = kept.unionByName(again.select(*now.columns, "raw_hash", kind.alias("change")))
+    gone = old.join(known.select("relative"), "relative", "left_anti").select("relative", F.col("_size").alias("size_bytes"), F.col("_time").alias("modified"), F.col("_hash").alias("raw_hash"), F.lit("removed").alias("change"))
+    return found.unionByName(gone, allowMissingColumns=True)
 
 
 def child_scopes(spark: SparkSession, folder: str, *, version_control: bool = False) -> DataFrame:

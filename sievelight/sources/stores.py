@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -56,6 +57,22 @@ def write_new_file(spark: SparkSession, path: str, data: bytes) -> bool:
     return True
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written below the shared folder and read back: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for tables that no later plan reads."""
+    for t in tables:
+        fs, at = file_system(t.sparkSession, t.written_to)
+        fs.delete(at(t.written_to), True)
+
+
 def new_objects(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Objects (kind, body) keyed by content that the store does not have yet, once each."""
     keyed = rows.withColumn("hash", content_hash(F.col("body").cast("binary"))).dropDuplicates(["kind", "hash"])
