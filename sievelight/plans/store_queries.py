@@ -52,20 +52,20 @@ def admissions(spark, sf_dir):
     return ledger.admit(asked, o.where("o_orderstatus = 'P'").select("month", "scope_id", "adapter", F.col("usd").alias("total"))).select("month", "seq", "denied_by")
 
 
-@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS total FROM orders),
-p AS MATERIALIZED (SELECT i, i - 29 - c % 3 AS up FROM n WHERE i > 32 UNION SELECT i, i - 61 FROM n WHERE i > 61 AND c % 10 = 0),
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS total FROM orders),
+p AS MATERIALIZED (SELECT i, i - 30 AS up FROM n WHERE i > 30 UNION SELECT i, i - 61 FROM n WHERE i > 61 AND i % 97 = 0),
 r AS (SELECT max(total) AS i, 0 AS depth FROM n UNION SELECT p.up, r.depth + 1 FROM r JOIN p ON p.i = r.i)
 SELECT k AS commit, min(depth)::INT AS depth FROM r JOIN n USING (i) GROUP BY k""")
 def long_ancestry(spark, sf_dir):
     """All ancestors of the last of a long history with merges, and their least depths, by doubling."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
     # commits are numbered by range partitions, so that no task sees all of them
     placed = stores.written(o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").withColumn("m", F.monotonically_increasing_id()))
     sizes = placed.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.alias("a").join(sizes.select(F.col("part").alias("p"), F.col("n").alias("of")).alias("b"), F.expr("p < part"), "left").groupBy("part").agg(F.coalesce(F.sum("of"), F.lit(0)).alias("before"))
-    n = placed.withColumn("part", F.shiftright("m", 33)).join(before, "part").select("o_orderkey", "o_custkey", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("i"))
-    up = n.where("i > 32").select(F.col("i").alias("commit_hash"), (F.col("i") - 29 - F.col("o_custkey") % 3).alias("parent"), F.lit(0).alias("ord"))
-    merged = n.where("i > 61 and o_custkey % 10 = 0").select(F.col("i").alias("commit_hash"), (F.col("i") - 61).alias("parent"), F.lit(1).alias("ord"))
+    n = placed.withColumn("part", F.shiftright("m", 33)).join(before, "part").select("o_orderkey", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("i"))
+    up = n.where("i > 30").select(F.col("i").alias("commit_hash"), (F.col("i") - 30).alias("parent"), F.lit(0).alias("ord"))
+    merged = n.where("i > 61 and i % 97 = 0").select(F.col("i").alias("commit_hash"), (F.col("i") - 61).alias("parent"), F.lit(1).alias("ord"))
     reached = history.reachable_by_doubling(n.agg(F.max("i").alias("commit_hash")), up.unionByName(merged))
     return reached.join(n, reached["commit_hash"] == n["i"]).select(F.col("o_orderkey").alias("commit"), "depth")
 
