@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stores import file_system, read_file, shared_folder, write_new_file
+from ..sources.stores import file_system, publish_version, read_file, read_version, shared_folder, write_new_file
 from .search import B, HEADING_WEIGHT, K1, KEY, TEXT_WEIGHT, eligible_rows, top
 
 TEXT, HEADING = 0, 1
@@ -144,7 +143,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark, self.path = spark, path
-        self.manifest = self._manifest(version)
+        self.manifest = Manifest(**(read_version(spark, path, version) or {}))
         m = self.manifest
         read = lambda name, ddl, some: spark.read.schema(ddl).parquet(*[f"{path}/{kind}/{s['name']}{name}" for kind, s in some]) if some else spark.createDataFrame([], ddl)
         segments = [("segments", s) for s in m.segments]
@@ -158,18 +157,6 @@ class TextIndex:
         self.mean = total / self.chunks if self.chunks else 0.0
         self.known: dict[int, int] = {}
 
-    def _manifest(self, version: int | None) -> Manifest:
-        fs, at = file_system(self.spark, self.path)
-        folder = at(f"{self.path}/manifests")
-        versions = sorted((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), reverse=True) if fs.exists(folder) else []
-        for v in versions if version is None else [version]:
-            text = read_file(self.spark, f"{self.path}/manifests/{v:012d}").decode()
-            if text.endswith("\n"):  # else its writer is not done, or died
-                return Manifest(**json.loads(text))
-        if version is not None or versions:
-            raise ValueError(f"no whole version {version if version is not None else versions} of {self.path}")
-        return Manifest()
-
     def _docs_of(self, segments: list[dict]) -> DataFrame:
         """Chunks of some segments, deleted ones too; folders of partitions are read one segment at a time."""
         each = [self.spark.read.schema(DOCS).parquet(f"{self.path}/segments/{s['name']}/docs") for s in segments]
@@ -184,8 +171,7 @@ class TextIndex:
     def _published(self, manifest: Manifest) -> TextIndex:
         """The next version, unless another writer was first."""
         manifest.version = self.manifest.version + 1
-        if not write_new_file(self.spark, f"{self.path}/manifests/{manifest.version:012d}", (json.dumps(vars(manifest)) + "\n").encode()):
-            raise RuntimeError(f"{self.path} has a newer version than {self.manifest.version}: open it and try again")
+        publish_version(self.spark, self.path, vars(manifest))
         return TextIndex(self.spark, self.path, manifest.version)
 
     @classmethod

@@ -12,7 +12,7 @@ from ..functions.text import duration_seconds, match_plan
 from ..functions.vectors import token_embedding
 from ..operators import chunking, eligibility, evidence, history, lifecycle, search
 from ..operators.index import TextIndex
-from ..sources import stores
+from ..sources import restore
 
 
 @dataclass(frozen=True)
@@ -226,4 +226,4 @@ class Collection:
 
     def restore(self, hashes: DataFrame, folder: str) -> DataFrame:
         """Write objects (hash, name) to a new folder."""
-        return stores.restore(self.tables["objects"].join(hashes, "hash").select("hash", "name", "body"), folder)
+        return restore.restore(self.tables["objects"].join(hashes, "hash").select("hash", "name", "body"), folder)

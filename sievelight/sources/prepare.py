@@ -11,7 +11,7 @@ from ..functions.hashing import canonical_hash, hash_bytes
 from ..functions.text import fence_code, normalize_markdown, real_text
 from .office import document_markdown, slides
 from .pdf import pdf_pages
-from .sheets import markdown_table, read_sheets
+from .sheets import read_sheets, sheet_markdown
 
 #: An adapter gives (unit key, Markdown) pairs for a file's name and bytes.
 Adapter = Callable[[str, bytes], Iterator[tuple[str, str]]]
@@ -43,7 +43,7 @@ def as_sheets(name: str, data: bytes) -> Iterator[tuple[str, str]]:
     for sheet, rows in read_sheets(data):
         key = sheet.replace("#", "##")
         seen[key] = seen.get(key, 0) + 1
-        yield f"sheet:{key}" + (f"#{seen[key]}" if seen[key] > 1 else ""), markdown_table(rows)
+        yield f"sheet:{key}" + (f"#{seen[key]}" if seen[key] > 1 else ""), sheet_markdown(rows)
 
 
 def as_pages(name: str, data: bytes) -> Iterator[tuple[str, str]]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +99,53 @@ def _judged(relative: Column, rules: list[str]) -> tuple[Column, Column, Column]
     return hidden, tier, F.coalesce(last_rule(relative, F.lit(False), rules), F.lit(False))
 
 
+class Rules:
+    """The rules of one scope as two automata, for files and for folders: alternatives from the last rule to the first, so that the one that matches is the last that does."""
+
+    def __init__(self, rules: list[str]):
+        patterns = [(r.startswith("!"), r.removeprefix("!")) for r in rules if r.strip() and not r.startswith("#")]
+        self.automata = []
+        for for_folders in (False, True):
+            some = [(taken, glob_regex(p)[1:-1]) for taken, p in reversed(patterns) if for_folders or not p.endswith("/")]
+            self.automata.append((re.compile("|".join(f"({p})" for _, p in some)) if some else None, [taken for taken, _ in some]))
+
+    def ignores(self, path: str, is_dir: bool) -> bool:
+        automaton, taken = self.automata[is_dir]
+        hit = automaton.fullmatch(path) if automaton else None
+        return hit is not None and not taken[hit.lastindex - 1]
+
+    def hides(self, path: str) -> bool:
+        """Whether a file, or a folder above it, is ignored."""
+        ends = [i for i, c in enumerate(path) if c == "/"]
+        return any(self.ignores(path[:i], True) for i in ends) or self.ignores(path, False)
+
+
+def ignored_by_scope(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` (scope_id, relative, ...) with ``ignored`` by their scope's rules (scope_id, ord, rule), the last that matches winning.
+
+    A scope's rules travel with its files as one list and are compiled once a task. Scopes without
+    rules, and null ids, ignore nothing. Null paths are not ignored.
+    """
+    of = rules.groupBy(F.col("scope_id").alias("_scope")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rule"))), lambda x: x["rule"]).alias("_rules"))
+    rows = files.join(of, files["scope_id"] == F.col("_scope"), "left").drop("_scope")
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Rules] = {}
+        for b in batches:
+            out = []
+            for path, own in zip(b.column("relative").to_pylist(), b.column("_rules").to_pylist(), strict=True):
+                key = tuple(own or ())
+                if key not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[key] = Rules(list(key))
+                out.append(path is not None and known[key].hides(path))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.bool_())], [*names, "ignored"])
+
+    return rows.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("ignored", T.BooleanType())]))
+
+
 #: Why a file is held back.
 QUARANTINE = {"excluded": "secrets_tier_a_excluded", "held": "secrets_tier_a_online_hold", "warned": "secrets_tier_b_warning"}
 
@@ -108,8 +157,9 @@ def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recu
     tested on the relative path and on each folder in it: what lies in an ignored folder is ignored,
     whatever later rules say of the file, and what lies in a secret folder is secret. quarantine:
     a known secret is excluded, or held where a rule with ! takes it in by name; a suspicious name is
-    a warning. Contents of files that are excluded, gone since, or larger than ``most_bytes`` are null;
-    they are read in parts of even size, whatever folders hold.
+    a warning. With ``contents`` files that are ignored or excluded are left out: they are not opened.
+    Contents of files that are gone since, or larger than ``most_bytes``, are null. They are read in parts of even
+    size, whatever folders hold.
     """
     folder_tree.register(spark)
     files = spark.read.format(folder_tree.FORMAT).option("recursive", str(recursive).lower()).load(folder)
@@ -118,12 +168,17 @@ def scan_folder(spark: SparkSession, folder: str, rules: list[str] = (), *, recu
     excluded = F.col("ignored") | ~F.col("_named")
     reason = F.when(F.col("secret_tier") == "A", F.when(excluded, QUARANTINE["excluded"]).otherwise(QUARANTINE["held"])).when(F.col("secret_tier") == "B", QUARANTINE["warned"])
     rows = rows.withColumn("quarantine", reason).drop("_named")
-    return with_contents(rows, folder, most_bytes) if contents else rows
+    return with_contents(rows.where(~_closed()), folder, most_bytes) if contents else rows
+
+
+def _closed() -> Column:
+    """Whether a file of a scan may not be opened."""
+    return F.col("ignored") | F.coalesce(F.col("quarantine") == QUARANTINE["excluded"], F.lit(False))
 
 
 def with_contents(rows: DataFrame, folder: str, most_bytes: int = 64 << 20) -> DataFrame:
     """The rows of a scan with content and raw_hash; excluded files are not opened."""
-    closed = F.col("ignored") | F.coalesce(F.col("quarantine") == QUARANTINE["excluded"], F.lit(False))
+    closed = _closed()
     read = lambda batches: folder_tree.contents(batches, folder, most_bytes)
     schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
     opened = rows.where(~closed).repartition(F.xxhash64("path")).mapInArrow(read, schema)

@@ -1,4 +1,4 @@
-"""Spreadsheets as units: one Markdown table per sheet, in formats of the cells."""
+"""Spreadsheets as units: a Markdown table per region of a sheet, in formats of the cells."""
 
 from __future__ import annotations
 
@@ -73,9 +73,12 @@ def read_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
         for sheet in xml("xl/workbook.xml").iter(f"{MAIN}sheet"):
             path = "xl/" + targets[sheet.get(REL)].removeprefix("/xl/")
             rows: list[list[str]] = []
-            cells_read = 0
+            cells_read, number = 0, 0
             for row in xml(path).iter(f"{MAIN}row"):
                 line: list[str] = []
+                before, number = number, int(row.get("r", number + 1))
+                if rows and number > before + 1:
+                    rows.append([])  # rows that are not stored are blank
                 for c in row.iter(f"{MAIN}c"):
                     cells_read += 1
                     if cells_read > MOST_CELLS:
@@ -104,12 +107,40 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) + "\n"
 
 
+def regions(rows: list[list[str]]) -> list[list[list[str]]]:
+    """The rows between blank ones."""
+    out: list[list[list[str]]] = [[]]
+    for r in rows:
+        if any(c.strip() for c in r):
+            out[-1].append(r)
+        elif out[-1]:
+            out.append([])
+    return [r for r in out if r]
+
+
+def region_markdown(rows: list[list[str]]) -> str:
+    """A region as text: lines of prose up to the first row with two filled cells, which heads a table of the rest without its empty columns."""
+    filled = [[c.strip() for c in r if c.strip()] for r in rows]
+    head = next((k for k, f in enumerate(filled) if len(f) > 1), len(rows))
+    parts = [" ".join(f) for f in filled[:head]]
+    table = rows[head:]
+    if table:
+        used = [k for k in range(max(map(len, table))) if any(k < len(r) and r[k].strip() for r in table)]
+        parts.append(markdown_table([[r[k].strip() if k < len(r) else "" for k in used] for r in table]).rstrip("\n"))
+    return "\n\n".join(parts)
+
+
+def sheet_markdown(rows: list[list[str]]) -> str:
+    """A sheet as its regions, one after the other."""
+    return "\n\n".join(map(region_markdown, regions(rows))) + "\n"
+
+
 def sheet_units(files: DataFrame) -> DataFrame:
     """path, unit_key and text of every sheet of the workbooks in ``files`` (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, f"sheet:{name.replace('#', '##')}", markdown_table(grid)) for p, data in zip(b["path"], b["content"], strict=True) for name, grid in read_sheets(data)]
+            rows = [(p, f"sheet:{name.replace('#', '##')}", sheet_markdown(grid)) for p, data in zip(b["path"], b["content"], strict=True) for name, grid in read_sheets(data)]
             yield pd.DataFrame(rows, columns=["path", "unit_key", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, unit_key string, text string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import json
 import tempfile
 import uuid
 
@@ -57,6 +57,27 @@ def write_new_file(spark: SparkSession, path: str, data: bytes) -> bool:
     return True
 
 
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """The manifest of a version (the latest) of what lies below ``path``; None where there is none. One whose writer is not done, or died, does not count."""
+    fs, at = file_system(spark, path)
+    folder = at(f"{path}/manifests")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    versions = sorted((int(n) for n in names if n.isdigit()), reverse=True)
+    for v in versions if version is None else [version]:
+        text = read_file(spark, f"{path}/manifests/{v:012d}").decode()
+        if text.endswith("\n"):
+            return json.loads(text)
+    if version is not None or versions:
+        raise ValueError(f"no whole version {version if version is not None else versions} of {path}")
+    return None
+
+
+def publish_version(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Write the manifest of a new version (``manifest["version"]``); an error if another writer was first."""
+    if not write_new_file(spark, f"{path}/manifests/{manifest['version']:012d}", (json.dumps(manifest) + "\n").encode()):
+        raise RuntimeError(f"{path} already has version {manifest['version']}: open it and try again")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written below the shared folder and read back: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -175,28 +196,3 @@ def view_offsets(units: DataFrame) -> DataFrame:
     rows = units.withColumn("_n", F.octet_length("text").cast("bigint"))
     start = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("byte_start", start).withColumn("byte_end", F.col("byte_start") + F.coalesce("_n", F.lit(0))).drop("_n")
-
-
-def restore(objects: DataFrame, folder: str) -> DataFrame:
-    """Write objects (hash, name, body) as new files of a folder that executors share; returns name and size.
-
-    The hash is checked before, an existing file is never replaced, and names with path parts are refused.
-    """
-    safe = re.compile(r"[^/\\\0]+")
-
-    def run(batches):
-        import os
-
-        import pandas as pd
-
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for name, body in zip(b["name"], b["body"], strict=True):
-                if not safe.fullmatch(name) or name in (".", ".."):
-                    raise ValueError(f"unsafe name: {name}")
-                with open(f"{folder}/{name}", "xb") as f:
-                    f.write(body)
-            yield pd.DataFrame({"name": b["name"], "size_bytes": b["body"].map(len)})
-
-    ok = objects.where(content_hash(F.col("body").cast("binary")) == F.col("hash"))
-    return ok.select("name", F.col("body").cast("binary").alias("body")).mapInPandas(run, "name string, size_bytes long")

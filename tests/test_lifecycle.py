@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.operators import evaluation, evidence, history, ledger, lifecycle, units
-from sievelight.sources import scan, sheets, stores
+from sievelight.sources import restore, scan, sheets, stores
 
 NOW = 1_700_000_000
 
@@ -135,7 +135,7 @@ def test_stores(spark, tmp_path):
     with pytest.raises(Exception, match="two embeddings"):
         stores.link_embeddings(c, e.unionByName(e)).collect()
     o = spark.createDataFrame([("a.txt", b"x")], "name string, body binary").withColumn("hash", F.concat(F.lit("sha256:"), F.sha2("body", 256)))
-    assert stores.restore(o, str(tmp_path / "out")).collect()[0].size_bytes == 1
+    assert restore.restore(o, str(tmp_path / "out")).collect()[0].size_bytes == 1
     assert (tmp_path / "out" / "a.txt").read_bytes() == b"x"
     rows = spark.createDataFrame([("s1", 1), ("s2", 2)], "scope_id string, v int")
     stores.replace_scope(spark, rows, str(tmp_path / "t"))
