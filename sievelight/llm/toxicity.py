@@ -28,7 +28,7 @@ from .common import drop_kept, fold, materialize, release, slices, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Distinct keys that a task counts before it passes them on; words whose scores it remembers.
-FLUSH = KNOWN = 200_000
+FLUSH, KNOWN = 100_000, 200_000
 #: Lengths of the beginnings of words that are keys too; a star marks them.
 STEMS = range(4, 10)
 
@@ -159,10 +159,21 @@ def contexts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for b in slices(batches):
-            found = {(k, before, c) for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True) for w in [TOKEN.findall(text.as_py().lower())] for before, t in set(zip(["", *w], w, strict=False)) for k in keys_of(t)}
+        found: set[tuple[str, str, bool]] = set()
+
+        def out() -> pa.RecordBatch:
             token, before, check = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(before, pa.string()), pa.array(check, pa.bool_())], ["token", "before", "check"])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(before, pa.string()), pa.array(check, pa.bool_())], ["token", "before", "check"])
+
+        for b in slices(batches):
+            for text, c in zip(b.column("text"), b.column("check").to_pylist(), strict=True):
+                words = TOKEN.findall(text.as_py().lower())
+                for before, t in set(zip(["", *words], words, strict=False)):
+                    found.update((k, before, c) for k in keys_of(t))
+                    if len(found) > FLUSH:
+                        yield out()
+        yield out()
 
     pairs = rows.where("toxic = 1").mapInArrow(run, "token string, before string, check boolean")
     pairs = pairs.groupBy("token", "before").agg(F.min("check").alias("check"))
