@@ -26,7 +26,7 @@ from .common import drop_kept, fold, materialize, release, slices, table, unit_i
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are scored, and that are counted, in one step; bounds the temporaries.
-STEP, COUNTED = 1 << 18, 1 << 22
+STEP, COUNTED = 1 << 18, 1 << 21
 #: Bytes of the longest context; a path has one more and fits a long.
 ORDER = 5
 PAD = b" " * ORDER
