@@ -135,6 +135,24 @@ def golden_run(results: DataFrame, target: float = 0.8) -> tuple[DataFrame, Data
     return rows.select("query_id", "scenario", "status", "recall"), s
 
 
+def crossscope_report(results: DataFrame, targets: DataFrame, target: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """A run over several scopes: its scenarios, and one row of totals.
+
+    results(query_id, scenario, status, recall, duration_ms, worst_rank), targets(scenario, target_ms).
+    A query that is not 'ok' counts with recall 0, and with its duration if it has one. A scenario
+    passes if its mean recall reaches ``target`` and the 95th percentile of durations lies below its own; one
+    that no query has is left out. The run passes (all_pass) if no query failed and all scenarios pass.
+    The mean and the largest worst rank are those of queries that have one.
+    """
+    rows = results.withColumn("_recall", F.when(F.col("status") == "ok", F.col("recall")).otherwise(0.0))
+    s = rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("_recall").alias("recall_at_10"))
+    s = s.join(percentile_disc(rows, ["scenario"], "duration_ms", 0.95).withColumnRenamed("percentile", "p95_ms"), "scenario", "left").join(targets, "scenario", "left")
+    s = s.withColumns({"passes_target": F.coalesce(F.col("recall_at_10") >= target, F.lit(False)), "passes_latency": F.coalesce(F.col("p95_ms") < F.col("target_ms"), F.lit(False))})
+    totals = rows.agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(F.col("status") != "ok").alias("n_failed"), F.avg("worst_rank").alias("worst_rank_mean"), F.max("worst_rank").alias("worst_rank_max"))
+    passed = s.agg(F.coalesce(F.bool_and(F.col("passes_target") & F.col("passes_latency")), F.lit(True)).alias("_passed"))
+    return s, totals.crossJoin(passed).withColumn("all_pass", (F.col("n_failed") == 0) & F.col("_passed")).drop("_passed")  # one row with one row
+
+
 #: What a report of time and cost measures.
 MEASURES = ["baseline_ttfv_ms", "enriched_ttfv_ms", "preview_cost_micro_usd", "actual_cost_micro_usd"]
 

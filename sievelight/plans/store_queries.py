@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import history, ledger
+from ..operators import evaluation, history, ledger
 from ..operators.index import TextIndex
 from ..sources import scan, stores
 from .queries import BM25, PHRASES, corpus, load, query
@@ -79,3 +79,42 @@ def scan_policy(spark, sf_dir):
     name = F.when(k % 7 == 2, F.concat(F.lit("token"), k.cast("string"), F.lit(".txt"))).when(k % 7 == 3, F.concat(F.lit("n"), k.cast("string"), F.lit(".log"))).when(k % 7 > 4, F.concat(k.cast("string"), F.lit(".md"))).otherwise(pick(k % 7, {0: ".env", 1: "id_rsa"}, "keep.log"))
     rows = load(spark, sf_dir, "customer").select(k.alias("k"), F.concat(pick(k % 9, {0: "src/", 1: ".ssh/", 2: "tmp/", 3: "a/tmp/"}, "docs/"), name).alias("relative"))
     return rows.withColumn("allowed", scan.scan_allows(F.col("relative"), ["*.log", "!keep.log", "tmp/"]))
+
+
+@query("""WITH a AS (SELECT DISTINCT 'h' || vec_id % 400 AS h, CASE WHEN vec_id % 2 = 0 THEN 'x' END AS context, vec_id % 400 AS k FROM embeddings WHERE vec_id < 400),
+o AS (SELECT h, context, arg_max(e[1], vec_id) AS first FROM (SELECT 'h' || vec_id % 400 AS h, CASE WHEN vec_id % 2 = 0 THEN 'x' END AS context, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id >= 100) GROUP BY h, context),
+c AS (SELECT a.h, a.context, coalesce(o.first, b.embedding[1]::DOUBLE) AS first FROM a LEFT JOIN o ON o.h = a.h AND o.context IS NOT DISTINCT FROM a.context LEFT JOIN embeddings b ON b.vec_id = a.k)
+SELECT doc_id, c.first FROM documents d JOIN c ON c.h = 'h' || d.doc_id % 450 AND c.context IS NOT DISTINCT FROM CASE WHEN d.doc_id % 450 % 2 = 0 THEN 'x' END""")
+def written_embeddings(spark, sf_dir):
+    """Content rows put in or in place, written twice, then linked to chunks."""
+    e, i = load(spark, sf_dir, "embeddings"), F.col("vec_id")
+    rows = e.select(F.concat(F.lit("h"), (i % 400).cast("string")).alias("target_hash"), F.lit("p").alias("profile_hash"), F.when(i % 2 == 0, "x").alias("context"), F.col("embedding").alias("vector"), i.alias("seq"))
+    stored = rows.where("seq < 400").drop("seq")
+    once = stores.write_embeddings(stored, rows.where("seq >= 100"), width=64)
+    contents = stores.write_embeddings(once, rows.where("seq >= 100"), width=64)
+    k = F.col("doc_id") % 450
+    chunks = load(spark, sf_dir, "documents").select(F.col("source").alias("scope_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("h"), k.cast("string")).alias("text_hash"), F.lit("p").alias("profile_hash"), F.when(k % 2 == 0, "x").alias("context"), "doc_id")
+    return stores.link_embeddings(chunks, contents).where("vector is not null").select("doc_id", F.element_at("vector", 1).cast("double").alias("first"))
+
+
+@query("""WITH r AS (SELECT 'M' || o_custkey % 4 AS scenario, CASE o_orderkey % 40 WHEN 0 THEN 'failed' WHEN 1 THEN 'unimplemented' ELSE 'ok' END AS status, (o_orderkey % 7 + 3) / 9.0 AS recall, CASE WHEN o_orderkey % 40 <> 0 THEN o_totalprice END AS ms FROM orders),
+s AS (SELECT scenario, count(*) AS n_queries, round(avg(CASE WHEN status = 'ok' THEN recall ELSE 0 END), 6) AS recall_at_10, quantile_disc(ms, 0.95) AS p95_ms, avg(CASE WHEN status = 'ok' THEN recall ELSE 0 END) >= 0.632 AS passes_target FROM r GROUP BY scenario)
+SELECT *, p95_ms < 420000 + 5000 * substr(scenario, 2)::INT AS passes_latency FROM s""")
+def crossscope_scenarios(spark, sf_dir):
+    """Recall, percentiles and gates of a run over several scopes."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 40 == 0, "failed").when(k % 40 == 1, "unimplemented").otherwise("ok")
+    rows = load(spark, sf_dir, "orders").select(k.alias("query_id"), F.concat(F.lit("M"), (F.col("o_custkey") % 4).cast("string")).alias("scenario"), status.alias("status"), ((k % 7 + 3) / 9.0).alias("recall"), F.when(k % 40 != 0, F.col("o_totalprice")).alias("duration_ms"), (k % 11).cast("int").alias("worst_rank"))
+    targets = rows.select("scenario").distinct().withColumn("target_ms", F.lit(420000) + 5000 * F.substring("scenario", 2, 9).cast("int"))
+    scenarios, _ = evaluation.crossscope_report(rows, targets, 0.632)
+    return scenarios.select("scenario", "n_queries", F.round("recall_at_10", 6).alias("recall_at_10"), "p95_ms", "passes_target", "passes_latency")
+
+
+@query("""WITH r AS (SELECT CASE o_orderkey % 40 WHEN 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 11 END AS rank FROM orders)
+SELECT count(*) AS n_queries, count(*) FILTER (status <> 'ok') AS n_failed, round(avg(rank), 6) AS worst_rank_mean, max(rank)::INT AS worst_rank_max, false AS all_pass FROM r""")
+def crossscope_totals(spark, sf_dir):
+    """Failures and worst expected ranks of a run."""
+    k = F.col("o_orderkey")
+    rows = load(spark, sf_dir, "orders").select(k.alias("query_id"), F.lit("M1").alias("scenario"), F.when(k % 40 == 0, "failed").otherwise("ok").alias("status"), F.lit(1.0).alias("recall"), F.lit(1.0).alias("duration_ms"), F.when(k % 3 != 0, (k % 11).cast("int")).alias("worst_rank"))
+    _, totals = evaluation.crossscope_report(rows, rows.select("scenario").distinct().withColumn("target_ms", F.lit(5.0)))
+    return totals.withColumn("worst_rank_mean", F.round("worst_rank_mean", 6))

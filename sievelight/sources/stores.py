@@ -122,6 +122,20 @@ def retain_scopes(table: DataFrame, live: DataFrame) -> DataFrame:
     return table.join(live.select("scope_id").distinct(), "scope_id", "left_semi")
 
 
+def write_embeddings(contents: DataFrame, rows: DataFrame, *, width: int | None = None) -> DataFrame:
+    """Content rows (target_hash, profile_hash, context, vector) with ``rows`` (and seq) put in or in place.
+
+    The key is hash, profile and context, null being a context of its own; of several rows of one key the last by seq
+    counts, so writing rows again changes nothing. A vector that is null, empty, not finite, of
+    norm zero, or not of ``width`` is an error. ``link_embeddings`` then finds the vectors of chunks.
+    """
+    v = F.col("vector")
+    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
+    fine = fine if width is None else fine & (F.size(v) == width)
+    checked = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), v).otherwise(F.raise_error(F.concat(F.lit("no vector to store for "), F.col("target_hash"))).cast(rows.schema["vector"].dataType)))
+    return upsert(contents, checked, ["target_hash", "profile_hash", "context"])
+
+
 def link_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vectors of chunks by text hash, profile and context (null equals null); more than one is an error."""
     on = (chunks["text_hash"] == embeddings["target_hash"]) & (chunks["profile_hash"] == embeddings["profile_hash"]) & chunks["context"].eqNullSafe(embeddings["context"])
