@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, history, ledger
 from ..operators.index import TextIndex
 from ..sources import scan, stores
+from ..sources.projections import Projections
 from .queries import BM25, PHRASES, corpus, load, query
 
 
@@ -118,3 +119,30 @@ def crossscope_totals(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select(k.alias("query_id"), F.lit("M1").alias("scenario"), F.when(k % 40 == 0, "failed").otherwise("ok").alias("status"), F.lit(1.0).alias("recall"), F.lit(1.0).alias("duration_ms"), F.when(k % 3 != 0, (k % 11).cast("int")).alias("worst_rank"))
     _, totals = evaluation.crossscope_report(rows, rows.select("scenario").distinct().withColumn("target_ms", F.lit(5.0)))
     return totals.withColumn("worst_rank_mean", F.round("worst_rank_mean", 6))
+
+
+@query("""WITH d AS (SELECT coalesce(source, 'none') AS scope_id, doc_id FROM documents), n AS (SELECT * FROM d WHERE scope_id NOT IN ('src1', 'src3') OR doc_id % 2 = 0)
+SELECT 'c1' AS answer, scope_id, count(*) AS n, sum(doc_id)::BIGINT AS total FROM d GROUP BY scope_id UNION ALL SELECT 'now', scope_id, count(*), sum(doc_id)::BIGINT FROM n GROUP BY scope_id UNION ALL SELECT 'reader', scope_id, count(*), sum(doc_id)::BIGINT FROM d GROUP BY scope_id""")
+def projection_versions(spark, sf_dir):
+    """Two scopes show another commit; the old one still answers, and a reader of the version before sees no change."""
+    d = load(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("scope_id"), "doc_id")
+    first = d.withColumn("commit_hash", F.lit("c1"))
+    empty = Projections(spark, f"{stores.shared_folder(spark)}/projections-{uuid.uuid4().hex}", "scope_id string, commit_hash string, doc_id bigint")
+    reader = empty.replace(first, {r.scope_id: "c1" for r in d.select("scope_id").distinct().collect()})  # scopes, not rows
+    moved = [s for s in reader.scopes if s in ("src1", "src3")]
+    later = d.where(F.col("scope_id").isin(moved) & (F.col("doc_id") % 2 == 0)).withColumn("commit_hash", F.lit("c2"))
+    now = reader.replace(later, dict.fromkeys(moved, "c2"), preserve_at=True)
+    sums = lambda df, name: df.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("total")).select(F.lit(name).alias("answer"), "scope_id", "n", "total")
+    return sums(now.at("c1"), "c1").unionByName(sums(now.current(), "now")).unionByName(sums(reader.current(), "reader"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, 's' || c_custkey % 4 AS scope_id, CASE c_custkey % 3 WHEN 0 THEN 'docs/' WHEN 1 THEN 'tmp/x/' ELSE 'a/tmp/' END || CASE c_custkey % 5 WHEN 0 THEN 'keep.log' WHEN 1 THEN c_custkey || '.log' ELSE c_custkey || '.md' END AS relative FROM customer)
+SELECT k, CASE scope_id WHEN 's0' THEN relative LIKE '%.log' AND relative NOT LIKE '%/keep.log' WHEN 's1' THEN relative LIKE '%tmp/%' WHEN 's2' THEN regexp_full_match(relative, 'docs/[^/]*[.]md') AND NOT regexp_full_match(relative, 'docs/[^/]*5[.]md') ELSE false END AS ignored FROM f""")
+def rule_sets(spark, sf_dir):
+    """Rules of many scopes as a table, the last that matches winning."""
+    k = F.col("c_custkey")
+    pick = lambda i, some: F.element_at(F.array(*[F.lit(x) for x in some]), (i + 1).cast("int"))
+    name = F.when(k % 5 == 0, "keep.log").when(k % 5 == 1, F.concat(k.cast("string"), F.lit(".log"))).otherwise(F.concat(k.cast("string"), F.lit(".md")))
+    files = load(spark, sf_dir, "customer").select(k.alias("k"), F.concat(F.lit("s"), (k % 4).cast("string")).alias("scope_id"), F.concat(pick(k % 3, ["docs/", "tmp/x/", "a/tmp/"]), name).alias("relative"))
+    rules = spark.createDataFrame([("s0", 1, "*.log"), ("s0", 2, "!keep.log"), ("s1", 1, "# folders"), ("s1", 2, "tmp/"), ("s2", 1, "docs/*.md"), ("s2", 2, "!docs/*5.md")], "scope_id string, ord int, rule string")
+    return scan.ignored_by_scope(files, rules).select("k", "ignored")
