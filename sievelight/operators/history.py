@@ -214,11 +214,6 @@ def visible_at(publications: DataFrame, ancestors: DataFrame) -> DataFrame:
     return publications.join(ancestors.select(F.col("commit_hash").alias("introduction_commit")), "introduction_commit", "left_semi")
 
 
-def live_chunks(chunks: DataFrame, entries: DataFrame) -> DataFrame:
-    """Chunks of the normalized instances that a tree pins, one row per entry that does."""
-    return chunks.join(entries, ["raw_hash", "tool_profile_hash", "gen"])
-
-
 def all_bindings(head: DataFrame, parents: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
     """Every distinct binding that the head reaches, its canonical introduction (pointer_commit), and whether the head has it."""
     reached = reachable(head, parents).select("commit_hash").distinct()
@@ -229,7 +224,7 @@ def all_bindings(head: DataFrame, parents: DataFrame, entries: DataFrame, key: l
 
 
 def snapshot(working: DataFrame, entries: DataFrame, head: str | None, *, kind: str = "manual", at: int = 0, message: str = "") -> tuple[dict, DataFrame]:
-    """A commit of the tree ``working`` (path, raw_hash) on ``head``: its record with stats, and its entries; an unchanged tree gives the head and no entries.
+    """A commit of the tree ``working`` (path, raw_hash) on ``head``: its record with stats, and its entries; an unchanged tree gives, if kind is auto or scheduled, the head and no entries.
 
     kind is manual, auto, scheduled, purged or repaired. The tree's hash is that of its
     entries' hashes in the order of their paths; the commit's that of its canonical record.

@@ -36,13 +36,13 @@ def configured_chunks(spark, sf_dir):
     return eligibility.current_config(chunks, made, told, "c2", top * 3 // 4, top).select(F.col("chunk_id").alias("doc_id"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS k, l_partkey % 100 AS raw_hash, l_linenumber % 2 AS gen, l_suppkey % 3 AS manifest FROM lineitem),
-e AS (SELECT o_orderkey AS path, o_custkey % 100 AS raw_hash, o_orderkey % 2 AS gen, o_custkey % 3 AS manifest FROM orders WHERE o_orderkey % 50 = 0)
+@query("""WITH c AS (SELECT l_orderkey AS k, l_partkey % 1000 AS raw_hash, l_linenumber % 2 AS gen, l_suppkey % 3 AS manifest FROM lineitem),
+e AS (SELECT o_orderkey AS path, o_custkey % 1000 AS raw_hash, o_orderkey % 2 AS gen, o_custkey % 3 AS manifest FROM orders)
 SELECT e.path, count(*) AS chunks FROM c JOIN e ON c.raw_hash = e.raw_hash AND c.gen = e.gen AND c.manifest = e.manifest GROUP BY e.path""")
 def pinned_chunks(spark, sf_dir):
     """Chunks of the instances that a tree pins, by hash, tool, generation and manifest."""
-    c = load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("l_linenumber") % 2).cast("bigint").alias("gen"), (F.col("l_suppkey") % 3).alias("manifest_hash"))
-    e = load(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 100).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("o_orderkey") % 2).cast("bigint").alias("gen"), (F.col("o_custkey") % 3).alias("manifest_hash"))
+    c = load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1000).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("l_linenumber") % 2).cast("bigint").alias("gen"), (F.col("l_suppkey") % 3).alias("manifest_hash"))
+    e = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 1000).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("o_orderkey") % 2).cast("bigint").alias("gen"), (F.col("o_custkey") % 3).alias("manifest_hash"))
     return eligibility.live_chunks(c, e).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -204,14 +204,16 @@ def retained_instances(spark, sf_dir):
     return refs.retained_instances(n, history.reachable(head, parents).where("depth <= 12")).select("raw_hash", "gen", "commits")
 
 
-@query("SELECT 'doc:' || doc_id AS unit_key, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0 AND length(trim(text)) > 0 AND NOT contains(text, '#') AND length(text) <= 6000")
+@query("SELECT 'doc:' || doc_id AS unit_key, CASE WHEN NOT contains(text, '#') AND length(text) <= 6000 THEN octet_length(encode(text))::BIGINT ELSE -1 END AS bytes FROM documents WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0 AND length(trim(text)) > 0")
 def reindexed(spark, sf_dir):
-    """Chunks that one commit pins and the collection lacks; one chunk a document where there are no headings."""
-    d = load(spark, sf_dir, "documents").where("not contains(text, '#') and length(text) <= 6000")
+    """Whole documents that one commit pins and the collection lacks; the bytes of those that are one chunk, -1 for others."""
+    d = load(spark, sf_dir, "documents")
     units_ = d.select(hashing.content_hash(F.concat("text", F.col("doc_id").cast("string")).cast("binary")).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), F.lit(1).cast("bigint").alias("gen"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("unit_key"), "text", "doc_id")
     entries = units_.select(F.when(F.col("doc_id") % 3 == 0, "c1").otherwise("c2").alias("commit_hash"), "raw_hash", "tool_profile_hash", "gen")
     there = chunking.chunk(units_.where("doc_id % 9 = 0"))
-    return refs.reindex_at("c1", entries, units_, there).select("unit_key", (F.col("byte_end") - F.col("byte_start")).alias("bytes"))
+    made = refs.reindex_at("c1", entries, units_, there).groupBy("unit_key").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
+    plain = units_.select("unit_key", (~F.contains("text", F.lit("#")) & (F.length("text") <= 6000)).alias("plain"))
+    return made.join(plain, "unit_key").select("unit_key", F.when(F.col("plain"), F.col("bytes")).otherwise(F.lit(-1)).alias("bytes"))
 
 
 @query(HISTORY + """, i AS (SELECT commit_hash, path, raw_hash FROM n WHERE NOT EXISTS (SELECT 1 FROM p JOIN n m ON m.commit_hash = p.parent WHERE p.commit_hash = n.commit_hash AND m.path = n.path AND m.raw_hash = n.raw_hash)),

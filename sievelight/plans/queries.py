@@ -320,7 +320,7 @@ def search_texts(spark, sf_dir):
 
 @query()
 def token_embeddings(spark, sf_dir):
-    """Offline embeddings of benchmark passages."""
+    """offline embeddings of benchmark passages."""
     b = load(spark, sf_dir, "benchmark").select("item_id", vectors.token_embedding_col("text").alias("v"))
     return b.select("item_id", F.size("v").alias("dimensions"), F.round(vectors.norm(F.col("v")), 4).alias("norm"))
 
@@ -423,7 +423,7 @@ def paths_by_content(spark, sf_dir):
 
 @query(HISTORY + ", pub AS (SELECT 'k' || user_id AS chunk_id, 'c-' || day AS introduction_commit FROM e), t AS (SELECT commit_hash FROM chain WHERE depth >= 10) SELECT DISTINCT chunk_id, introduction_commit FROM pub WHERE introduction_commit IN (SELECT commit_hash FROM t)")
 def visible_publications(spark, sf_dir):
-    """What was published at a point of the past."""
+    """H7: what was published at a point of the past."""
     e = load(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("chunk_id"), F.concat(F.lit("c-"), F.date_format("ts", "yyyy-MM-dd")).alias("introduction_commit")).distinct()
     _, parents, head = commit_tables(spark, sf_dir)
     return history.visible_at(e, history.reachable(head, parents, first_parent=True).where("depth >= 10")).select("chunk_id", "introduction_commit")
@@ -621,7 +621,7 @@ def new_objects(spark, sf_dir):
 
 @query("SELECT doc_id, source AS scope_id FROM documents WHERE source IN ('src1', 'src5')")
 def retained_scopes(spark, sf_dir):
-    """S20 S19."""
+    """Rows of scopes that are still there."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("scope_id"))
     return stores.retain_scopes(d, spark.createDataFrame([("src1",), ("src5",)], "scope_id string"))
 
@@ -838,12 +838,12 @@ def history_coverage(spark, sf_dir):
     return evaluation.coverage(o).withColumnRenamed("group", "user_id")
 
 
-@query("""WITH f AS (SELECT i % 20 AS scope, i // 20 AS file FROM range(20 * 200) t(i)),
+@query("""WITH d AS (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM documents), f AS (SELECT i % 20 AS scope, i // 20 AS file FROM d WHERE i < n // 20 * 20),
 s AS (SELECT scope, file, string_agg('# Section ' || k || chr(10) || chr(10) || 'Reference ' || substr(sha256(scope || ':' || file || ':' || k), 1, 12) || ' of file ' || file || ' and section ' || k || '.' || chr(10) || chr(10), '' ORDER BY k) AS text FROM f, range(1, 31) r(k) GROUP BY scope, file)
 SELECT 'scope-' || scope AS scope_id, count(*) * 30 AS chunks, sum(octet_length(encode(text)))::BIGINT AS bytes, min('sha256:' || sha256(text)) AS first_hash FROM s GROUP BY scope""")
 def scale_fixture(spark, sf_dir):
-    """The generated corpus of 20 scopes and 120,000 chunks, chunked and counted by scope."""
-    u = fixture.scale_units(spark)
+    """A generated corpus of 20 scopes, with as many files as there are documents, chunked and counted by scope."""
+    u = fixture.scale_units(spark, files=load(spark, sf_dir, "documents").count() // 20)
     c = chunking.chunk(u).groupBy("raw_hash").agg(F.count_distinct("chunk_id").alias("chunks"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
     return u.select("scope_id", "raw_hash").join(c, "raw_hash").groupBy("scope_id").agg(F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"), F.min("raw_hash").alias("first_hash"))
 
