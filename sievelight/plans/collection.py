@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -73,6 +74,7 @@ class Collection:
     tables: dict[str, DataFrame]
     settings: Settings = field(default_factory=Settings)
     index: TextIndex | None = None
+    embed: Callable[[str], list[float]] | None = None  # makes the vector of a query; by default the token embedding
 
     def now(self, name: str) -> DataFrame:
         """A table as it is at this moment: one that is given as a function is made anew."""
@@ -161,7 +163,7 @@ class Collection:
             return search.bm25(corpus, phrases, eligible, c.depth) if index is None else index.bm25(phrases, eligible, c.depth)
 
         def vector_lane() -> DataFrame:
-            return search.vector_lane(t["vectors"], token_embedding(query).tolist(), eligible, c.depth)
+            return search.vector_lane(t["vectors"], self.embed(query) if self.embed else token_embedding(query).tolist(), eligible, c.depth)
 
         makers = [text_lane] * (resolved != "vector") + [vector_lane] * (resolved != "text")
         lanes = search.together(self.spark, *makers, depth=c.depth)
