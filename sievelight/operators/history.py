@@ -2,12 +2,15 @@
 
 commits(commit_hash, commit_type, created_at, tree_hash), parents(commit_hash, parent,
 ord), entries(commit_hash, path, raw_hash, ...). A store's graph is bounded, so that it
-is walked whole in one task, and a larger one by doubling; recursive SQL would multiply rows at
+is walked whole in one task, and a larger one by contraction; recursive SQL would multiply rows at
 diamonds and stops at a depth of 100. Trees are unbounded and stay in joins.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +22,8 @@ from ..sources.stores import discard, written
 
 #: Commits that a walk may reach.
 MOST_COMMITS = 100_000
+#: Edges of a contracted graph that a task walks, and edges that a commit's going may add before contraction is given up.
+SKELETON, MOST_ADDED = 2 * MOST_COMMITS, 1024
 
 
 def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int = MOST_COMMITS) -> DataFrame:
@@ -26,11 +31,11 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
 
     The graph of one store (named by the columns ``by``) has ``most`` commits at most,
     or the query fails; within that bound one task walks it, and stores run side by side. A single graph
-    (no ``by``) of more parents than MOST_COMMITS is walked by doubling instead.
+    (no ``by``) of more parents than MOST_COMMITS is walked by contraction instead.
     """
     keys = by or []
     if not keys and most == MOST_COMMITS and parents.limit(MOST_COMMITS + 1).count() > MOST_COMMITS:
-        return reachable_by_doubling(starts, parents, first_parent=first_parent)
+        return reachable_by_contraction(starts, parents, first_parent=first_parent)
     edges = (parents.where("ord = 0") if first_parent else parents).select(*keys, "commit_hash", "parent")
     kinds = "".join(f"{k} {dict(starts.dtypes)[k]}, " for k in keys)
 
@@ -54,35 +59,100 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
     return one(starts.select(*keys, "commit_hash")).cogroup(one(edges)).applyInPandas(walk, f"{kinds}start string, commit_hash string, depth int")
 
 
-def reachable_by_doubling(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """``reachable`` for graphs of any size, by joins: a number of rounds that grows with the logarithm of the longest way.
+def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """``reachable`` for graphs of any size, by joins over tables that shrink.
 
-    Round k has the pairs of commits that a walk of 2^k steps joins, and doubles it; what was
-    reached by fewer steps than 2^k goes on by as many. The walk ends with the first round that reaches nothing
-    new. The pairs are one for each commit and each of its ancestors so many steps away, as many as the history
-    has branches side by side. More than ``most`` reached commits are an error.
+    Each round takes commits out of the graph, no two of them neighbours, and joins their children to their
+    parents by edges of as many steps; only commits whose going adds no edges are taken, and where few of them are left, those that
+    add few. When SKELETON edges of a store are left, one task a start walks them; rounds are then undone, last first: a commit's depth is
+    the least of its children's in its round, and their steps. A graph too dense to shrink is walked edge by edge from what is left. Starts stay
+    to the end. More than ``most`` reached commits are an error.
     """
     keys = by or []
-    edges = (parents.where("ord = 0") if first_parent else parents).where("parent is not null")
-    jump = written(edges.select(*keys, "commit_hash", F.col("parent").alias("to")).distinct())
-    seen = written(starts.select(*keys, F.col("commit_hash").alias("start"), "commit_hash", F.lit(0).alias("depth")).distinct())
-    n, steps = seen.count(), 1
+    edges = (parents.where("ord = 0") if first_parent else parents).where("parent is not null and commit_hash <> parent")
+    left = written(edges.select(*keys, F.col("commit_hash").alias("child"), "parent", F.lit(1).alias("steps")).distinct())
+    first = written(starts.select(*keys, F.col("commit_hash").alias("start")).distinct())
+    largest = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds: list[DataFrame] = []
+    n, slack = largest(left), 0
+    while n > SKELETON and slack <= MOST_ADDED:
+        name = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731  a new order each round
+        up = left.select(*keys, F.col("child").alias("commit"), F.lit(0).alias("ins"), F.lit(1).alias("outs"), name("parent").alias("other"))
+        down = left.select(*keys, F.col("parent").alias("commit"), F.lit(1).alias("ins"), F.lit(0).alias("outs"), name("child").alias("other"))
+        stay = first.select(*keys, F.col("start").alias("commit"), F.lit(0).alias("ins"), F.lit(0).alias("outs"), F.lit(-(1 << 63)).alias("other"))
+        ends = up.unionByName(down).unionByName(stay).groupBy(*keys, "commit").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), F.min("other").alias("other"))
+        taken = written(ends.where((name("commit") < F.col("other")) & (F.col("ins") * F.col("outs") <= F.col("ins") + F.col("outs") + slack)).select(*keys, "commit"))
+        into = taken.select(*keys, F.col("commit").alias("parent"), F.lit(True).alias("into"))
+        out_of = taken.select(*keys, F.col("commit").alias("child"), F.lit(True).alias("out_of"))
+        marked = written(left.join(into, [*keys, "parent"], "left").join(out_of, [*keys, "child"], "left"))
+        way = marked.where("into").select(*keys, "child", F.col("parent").alias("via"), F.col("steps").alias("_steps"))
+        on = marked.where("out_of").select(*keys, F.col("child").alias("via"), "parent", "steps")
+        added = way.join(on, [*keys, "via"]).where("child <> parent").select(*keys, "child", "parent", (F.col("steps") + F.col("_steps")).alias("steps"))
+        rest = marked.where("into is null and out_of is null").select(*keys, "child", "parent", "steps")
+        after = written(rest.unionByName(added).groupBy(*keys, "child", "parent").agg(F.min("steps").alias("steps")))
+        discard(left, taken)
+        rounds.append(marked)
+        left, before, n = after, n, largest(after)
+        if n > 0.9 * before:
+            slack = max(1, 2 * slack)
+    found = [written(_walked(first, left, keys) if n <= SKELETON else _relaxed(first, left, keys))]
+    total = found[0].count()
+    for marked in reversed(rounds):
+        if most is not None and total > most:
+            break
+        step = marked.where("into").select(*keys, F.col("child").alias("commit_hash"), F.col("parent").alias("to"), "steps")
+        seen = functools.reduce(DataFrame.unionByName, found)
+        more = seen.join(step, [*keys, "commit_hash"]).groupBy(*keys, "start", F.col("to").alias("commit_hash")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+        found.append(written(more))
+        total += found[-1].count()
+    discard(left, first, *rounds)
+    if most is not None and total > most:
+        raise ValueError(f"a walk reaches more than {most} commits")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+reachable_by_doubling = reachable_by_contraction  # its name when it squared the graph
+
+
+def _walked(first: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, start, commit_hash, depth) by the shortest ways over few edges (child, parent, steps), each start in a task."""
+
+    def walk(key: tuple, g: pa.Table) -> pa.Table:
+        up: dict = {}
+        for child, parent, steps in zip(*(g.column(c).to_pylist() for c in ("child", "parent", "steps")), strict=True):
+            up.setdefault(child, []).append((parent, steps))
+        start = key[-1].as_py()
+        depth, ahead, done = {start: 0}, [(0, start)], set()
+        while ahead:
+            d, c = heapq.heappop(ahead)
+            if c not in done:
+                done.add(c)
+                for p, steps in up.get(c, ()):
+                    if d + steps < depth.get(p, 1 << 62):
+                        depth[p] = d + steps
+                        heapq.heappush(ahead, (d + steps, p))
+        del depth[start]
+        names, kinds = [*keys, "start"], [*(k.type for k in key), g.schema.field("parent").type, pa.int32()]
+        return pa.table([*(pa.repeat(k, len(depth)) for k in key), pa.array(list(depth), kinds[-2]), pa.array(list(depth.values()), kinds[-1])], [*names, "commit_hash", "depth"])
+
+    kinds = dict(first.dtypes)
+    each = edges.join(first, keys) if keys else edges.crossJoin(first)
+    reached = each.groupBy(*keys, "start").applyInArrow(walk, "".join(f"{k} {kinds[k]}, " for k in [*keys, "start"]) + f"commit_hash {dict(edges.dtypes)['parent']}, depth int")
+    return first.select(*keys, "start", F.col("start").alias("commit_hash"), F.lit(0).alias("depth")).unionByName(reached)
+
+
+def _relaxed(first: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_walked`` over any number of edges, as many rounds as the shortest ways have edges."""
+    seen, state = written(first.select(*keys, "start", F.col("start").alias("commit_hash"), F.lit(0).alias("depth"))), None
+    step = edges.select(*keys, F.col("child").alias("commit_hash"), F.col("parent").alias("to"), "steps")
     while True:
-        more = seen.join(jump, [*keys, "commit_hash"]).select(*keys, "start", F.col("to").alias("commit_hash"), (F.col("depth") + steps).alias("depth"))
+        more = seen.join(step, [*keys, "commit_hash"]).select(*keys, "start", F.col("to").alias("commit_hash"), (F.col("depth") + F.col("steps")).alias("depth"))
         then = written(seen.unionByName(more).groupBy(*keys, "start", "commit_hash").agg(F.min("depth").alias("depth")))
         discard(seen)
-        seen, before, n = then, n, then.count()
-        if most is not None and n > most:
-            raise ValueError(f"a walk reaches more than {most} commits")
-        if n == before:
-            discard(jump)
+        now = tuple(then.agg(F.count(F.lit(1)), F.sum("depth")).first())
+        seen, before, state = then, state, now
+        if state == before:
             return seen
-        if steps > 1 << 40:
-            raise ValueError("a commit is its own ancestor")
-        after = jump.select(*keys, F.col("commit_hash").alias("to"), F.col("to").alias("_to"))
-        twice = written(jump.join(after, [*keys, "to"]).select(*keys, "commit_hash", F.col("_to").alias("to")).distinct())
-        discard(jump)
-        jump, steps = twice, 2 * steps
 
 
 def within_limits(reached: DataFrame, entries: DataFrame, *, by: list[str] | None = None, commits: int = MOST_COMMITS, rows: int = 10_000_000, size: int = 4 << 30) -> DataFrame:

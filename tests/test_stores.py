@@ -97,6 +97,34 @@ def test_ancestry_by_doubling(spark):
             history.within_limits(reached, entries, **limit)
 
 
+@pytest.mark.parametrize("skeleton", [0, 40])
+def test_ancestry_makes_no_pairs(spark, monkeypatch, skeleton):
+    n = 2000
+    edges = [(i, i - 6, 0) for i in range(7, n + 1)] + [(i, i - 13, 1) for i in range(14, n + 1) if i % 11 == 0]
+    parents = spark.createDataFrame(edges, "commit_hash long, parent long, ord int")
+    starts = spark.createDataFrame([(n,), (n - 1,)], "commit_hash long")
+    rows = []
+    keep = history.written
+    monkeypatch.setattr(history, "written", lambda df: rows.append((out := keep(df)).count()) or out)
+    monkeypatch.setattr(history, "SKELETON", skeleton, raising=False)
+    monkeypatch.setattr(history, "MOST_ADDED", 64, raising=False)
+    up, want = {}, set()
+    for c, p, _ in edges:
+        up.setdefault(c, []).append(p)
+    for s in (n, n - 1):
+        depth, now = {s: 0}, [s]
+        for c in now:  # breadth first
+            for p in up.get(c, ()):
+                if p not in depth:
+                    depth[p] = depth[c] + 1
+                    now.append(p)
+        want |= {(s, c, d) for c, d in depth.items()}
+    got = [tuple(r) for r in history.reachable_by_doubling(starts, parents).select("start", "commit_hash", "depth").collect()]
+    assert len(got) == len(want) and set(got) == want
+    if skeleton:
+        assert sum(rows) < 40 * n
+
+
 def tree(root, files):
     for name, text in files.items():
         at = root / name
