@@ -1,7 +1,8 @@
 """A written index for phrase search, kept in segments: positions of trigrams, and lengths of chunks.
 
-Postings are sorted by trigram, so that a filter on trigrams reaches the pages that hold
-them and a query reads what its phrases need, not the texts. A trigram is a number of three
+Postings lie in runs of some chunks each, sorted by trigram, so that a filter on trigrams reaches
+the pages that hold them and a query reads what its phrases need, not the texts; they are written where
+they are made, without a shuffle. Of a chunk's rows of a trigram one leads, which is counted. A trigram is a number of three
 code points. Phrases are found where all their trigrams stand in a row.
 
 An index is a row of versions. A version's manifest names its segments, its deletions and
@@ -29,6 +30,8 @@ from .search import B, HEADING_WEIGHT, K1, KEY, TEXT_WEIGHT, eligible_rows, top
 TEXT, HEADING = 0, 1
 #: Row groups of postings, small enough to be skipped one by one; bytes of texts that are cut into trigrams at once.
 GROUP_BYTES, PART_BYTES = 1 << 20, 4 << 20
+#: Characters of texts whose postings a task sorts at once, and rows that it hands over at once.
+RUN_BYTES, BATCH_ROWS = 8 << 20, 1 << 16
 #: Chunks with a hit, by their trigrams' counts, up to which a query's scores are summed up on the driver: three numbers each.
 FEW_HITS = 50_000
 #: Candidates that are broadcast, a long each; more are joined as the planner sees fit.
@@ -36,7 +39,7 @@ BROADCAST_DOCS = 1_000_000
 #: A chunk's number: the segment it came with, its partition there, its place in that.
 PLACES, PARTS = 28, 12
 DOCS = "doc bigint, scope_id string, chunk_id string, raw_hash string, size double, part bigint"
-POSTINGS = "gram bigint, doc bigint, size int, field int, positions array<int>"
+POSTINGS = "gram bigint, doc bigint, size int, field int, positions array<int>, leads boolean"
 _open: dict[tuple[str, str], TextIndex] = {}
 
 
@@ -47,30 +50,39 @@ def grams_of(text: str) -> np.ndarray:
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """POSTINGS of lower-case texts and headings (doc, size, text, heading)."""
+    """POSTINGS of lower-case texts and headings (doc, size, text, heading), in runs sorted by trigram, of RUN_BYTES of texts each; a chunk's stand in one run."""
+
+    def run_of(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, doc, size, kind, long, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(long)].astype(np.int32)), pa.array(places))
+        order = np.argsort(gram, kind="stable")  # chunks come one after the other
+        gram, doc = gram[order], doc[order]
+        leads = np.r_[True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]
+        for k in range(0, len(order), BATCH_ROWS):
+            some = slice(k, k + BATCH_ROWS)
+            arrays = [gram[some], doc[some], size[order[some]], kind[order[some]]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), lists.take(pa.array(order[some])), pa.array(leads[some])], ["gram", "doc", "size", "field", "positions", "leads"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        read = 0
         for whole in batches:
             step = max(1, min(1000, PART_BYTES * whole.num_rows // max(1, whole.nbytes)))
             for k in range(0, whole.num_rows, step):
-                b = whole.slice(k, step)
-                grams, docs, sizes, fields, ends, places = [], [], [], [], [], []
-                for field_, name in ((TEXT, "text"), (HEADING, "heading")):
-                    for doc, size, text in zip(b.column("doc").to_pylist(), b.column("size").to_pylist(), b.column(name).to_pylist(), strict=True):
+                for doc, size, *texts in zip(*(whole.slice(k, step).column(c).to_pylist() for c in ("doc", "size", "text", "heading")), strict=True):
+                    for kind, text in zip((TEXT, HEADING), texts, strict=True):
                         g = grams_of(text or "")
+                        read += len(g)
                         if len(g):
                             order = np.argsort(g, kind="stable")
                             kinds, first = np.unique(g[order], return_index=True)
-                            grams.append(kinds)
-                            docs.append(np.full(len(kinds), doc, np.int64))
-                            sizes.append(np.full(len(kinds), size, np.int32))
-                            fields.append(np.full(len(kinds), field_, np.int32))
-                            ends.append(np.diff(np.r_[first, len(g)]))
-                            places.append(order.astype(np.int32))
-                if grams:
-                    offsets = pa.array(np.r_[0, np.cumsum(np.concatenate(ends))].astype(np.int32))
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (grams, docs, sizes, fields)), lists], ["gram", "doc", "size", "field", "positions"])
+                            n = len(kinds)
+                            found.append((kinds, np.full(n, doc, np.int64), np.full(n, size, np.int32), np.full(n, kind, np.int32), np.diff(np.r_[first, len(g)]), order.astype(np.int32)))
+                    if read >= RUN_BYTES:
+                        yield from run_of(found)
+                        found, read = [], 0
+        if found:
+            yield from run_of(found)
 
     return docs.select("doc", "size", "text", "heading").mapInArrow(run, POSTINGS)
 
@@ -192,15 +204,16 @@ class TextIndex:
         lowered.repartition(parts, *KEY).withColumns({"part": part, "doc": F.shiftleft(part, PLACES) + row}).write.parquet(f"{at}/texts")
         texts = self.spark.read.parquet(f"{at}/texts")
         texts.select("doc", *KEY, "raw_hash", F.col("size").cast("double").alias("size"), "part").write.partitionBy("part").parquet(f"{at}/docs")
-        self._sorted(postings_of(texts), at)
+        self._written(postings_of(texts), at)
         fs, path = file_system(self.spark, at)
         fs.delete(path(f"{at}/texts"), True)
         return self._described(name, [origin])
 
-    def _sorted(self, postings: DataFrame, at: str) -> None:
-        postings.repartitionByRange("gram").sortWithinPartitions("gram", "doc").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{at}/postings")
-        grams = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("gram").agg(F.count_distinct("doc").alias("docs"))
-        grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/grams")
+    def _written(self, postings: DataFrame, at: str) -> None:
+        """Postings as they come, and in how many chunks each trigram is: sums of what tasks count."""
+        postings.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{at}/postings")
+        grams = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("gram").agg(F.count_if("leads").alias("docs"))
+        grams.sortWithinPartitions("gram").write.parquet(f"{at}/grams")
 
     def _described(self, name: str, origins: list[int]) -> dict:
         total = self.spark.read.schema(DOCS).parquet(f"{self.path}/segments/{name}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
@@ -245,7 +258,7 @@ class TextIndex:
         name = f"{m.next:08d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.path}/segments/{name}"
         self._live(self._docs_of(some)).write.partitionBy("part").parquet(f"{at}/docs")
-        self._sorted(self._live(self.spark.read.schema(POSTINGS).parquet(*[f"{self.path}/segments/{s['name']}/postings" for s in some])), at)
+        self._written(self._live(self.spark.read.schema(POSTINGS).parquet(*[f"{self.path}/segments/{s['name']}/postings" for s in some])).sortWithinPartitions("gram", "doc", "field"), at)
         left = []
         if self.deletions:  # of segments that stay
             kept = f"{uuid.uuid4().hex}"

@@ -91,3 +91,26 @@ def test_index_is_published_once(spark, tmp_path):
 def test_delete_from_an_empty_index(spark, tmp_path):
     v = TextIndex(spark, f"{tmp_path}/i").delete(spark.createDataFrame([("a", "b")], "scope_id string, chunk_id string"))
     assert v.chunks == 0 and v.bm25(["abc"]).count() == 0 and v.append(spark.createDataFrame([], SCHEMA)).docs.count() == 0
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RUN_BYTES", 200, raising=False)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() > last)
+
+    stages = store.stageList(None, False, False, none, None)
+    last = max([stages.apply(i).stageId() for i in range(stages.size())], default=-1)
+    rows = [(s, c, h, head, text * 20) for s, c, h, head, text in chunks(0, 400)]
+    v = TextIndex.build(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/i")
+    n = shuffled()
+    assert n < v.postings.count() / 2
+    held = {}
+    for _, c, _, head, text in rows:
+        for g in {*index.grams_of(head.lower()).tolist(), *index.grams_of(text.lower()).tolist()}:
+            held[g] = held.get(g, 0) + 1
+    assert v.docs_with(sorted(held)[:200]) == {g: held[g] for g in sorted(held)[:200]}
+    same_as_fresh(spark, v, rows)
