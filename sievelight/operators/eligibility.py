@@ -20,10 +20,19 @@ def current_config(chunks: DataFrame, generations: DataFrame, publications: Data
     return chunks.where(F.col("row") <= most_row).join(made, "chunk_id", "left_semi").join(told, "chunk_id", "left_semi")
 
 
+def pinned_by(chunks: DataFrame, entries: DataFrame) -> list[str]:
+    return INSTANCE + (["manifest_hash"] if "manifest_hash" in chunks.columns and "manifest_hash" in entries.columns else [])
+
+
 def live_chunks(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """Chunks of the normalized instances that a tree pins, one row per entry that does; where both sides have manifest_hash it must agree too."""
-    key = INSTANCE + (["manifest_hash"] if "manifest_hash" in chunks.columns and "manifest_hash" in entries.columns else [])
-    return chunks.join(entries, key)
+    return chunks.join(entries, pinned_by(chunks, entries))
+
+
+def live_counts(chunks: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries of a tree with the number of chunks that each pins, those without any left out: ``live_chunks`` counted by entry, of which no row is made."""
+    key = pinned_by(chunks, entries)
+    return entries.join(chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks")), key)
 
 
 def runtime_bindings(bindings: DataFrame, snapshots: DataFrame, runtime: DataFrame, selector: str) -> DataFrame:

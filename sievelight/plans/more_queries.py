@@ -43,7 +43,7 @@ def pinned_chunks(spark, sf_dir):
     """Chunks of the instances that a tree pins, by hash, tool, generation and manifest."""
     c = load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1000).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("l_linenumber") % 2).cast("bigint").alias("gen"), (F.col("l_suppkey") % 3).alias("manifest_hash"))
     e = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 1000).alias("raw_hash"), F.lit("t").alias("tool_profile_hash"), (F.col("o_orderkey") % 2).cast("bigint").alias("gen"), (F.col("o_custkey") % 3).alias("manifest_hash"))
-    return eligibility.live_chunks(c, e).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
+    return eligibility.live_counts(c, e).groupBy("path").agg(F.sum("chunks").alias("chunks"))
 
 
 @query("""WITH b AS (SELECT o_orderkey AS chunk_id, o_custkey % 20 AS scope_id, CASE WHEN o_orderkey % 2 = 0 THEN 'current' ELSE 'at' END AS selector, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'new' END AS snapshot, o_custkey % 7 AS raw_hash, o_orderkey % 2 AS gen, CASE WHEN o_custkey % 5 <> 0 THEN 'm' END AS manifest FROM orders),

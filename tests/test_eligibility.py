@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions import hashing, vectors
-from sievelight.operators import evaluation, history, refs, tasks, units
+from sievelight.operators import eligibility, evaluation, history, refs, tasks, units
 from sievelight.sources import pdf, prepare, scan, stores
 
 
@@ -149,3 +149,13 @@ def test_input_hash_is_of_nfc(spark):
     df = spark.createDataFrame([("é",), ("é",), (None,)], "q string")
     got = [r[0] for r in df.select(hashing.input_hash("q")).collect()]
     assert got[0] == got[1] == hashing.hash_bytes("é".encode()) and got[2] is None
+
+
+def test_pinned_chunks_are_counted_without_pairs(spark):
+    ddl = "raw_hash string, tool_profile_hash string, gen long, manifest_hash string"
+    chunks = spark.createDataFrame([(f"h{i % 3}" if i % 7 else None, "t", i % 2, "m") for i in range(600)], ddl)
+    entries = spark.createDataFrame([(f"h{i % 4}" if i % 5 else None, "t", i % 2, "m" if i % 3 else "n", i) for i in range(400)], ddl + ", path long")
+    for c, e in ((chunks, entries), (chunks.drop("manifest_hash"), entries)):
+        want = {r.path: r["count"] for r in eligibility.live_chunks(c, e).groupBy("path").count().collect()}
+        got = eligibility.live_counts(c, e)
+        assert want and {r.path: r.chunks for r in got.collect()} == want and got.count() == len(want)
