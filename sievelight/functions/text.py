@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,6 +184,30 @@ def text_column(fn, kind: T.DataType = T.StringType()):
     return run
 
 
+#: Bytes of strings that ``computed`` works on at once.
+SLICE_BYTES = 4 << 20
+
+
+def computed(df: DataFrame, columns: dict[str, tuple[Callable[[str], str], str]]) -> DataFrame:
+    """``df`` with columns that are each a function of a string column, one of ``df`` or one before it; null stays null.
+
+    All are made in one pass and handed over in slices, so that a task holds few of the long ones.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, min(1000, SLICE_BYTES * whole.num_rows // max(1, whole.nbytes)))
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
+                made: dict[str, list] = {}
+                for name, (fn, source) in columns.items():
+                    made[name] = [None if s is None else fn(s) for s in (made[source] if source in made else b.column(source).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.string()) for m in made.values())], [*names, *made])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(name, T.StringType()) for name in columns)]))
+
+
 slugify_col = text_column(slugify)
 normalize_markdown_col = text_column(normalize_markdown)
 search_projection_col = text_column(search_projection)

@@ -1,9 +1,13 @@
 import hashlib
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.functions import hashing, text, vectors
+from sievelight.operators import chunking
 
 
 def test_canonical_json():
@@ -104,3 +108,34 @@ def test_hash_columns(spark):
     assert hashing.prompt_hash("a  \r\nb\n\n") == hashing.prompt_hash("a\nb")
     base = dict(target_type="chunk", target_hash="h", dimensions=2, distance="cosine", modality="text", profile_hash="p")
     assert hashing.embedding_id(**base) != hashing.embedding_id(**base, context="")
+
+
+class Units:
+    """Gives out the function that a task runs."""
+
+    columns, schema = ["id", "text"], T.StructType()
+
+    def select(self, *names):
+        return self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+    mapInArrow = mapInPandas
+
+
+def test_a_task_hands_chunks_over_in_parts():
+    text = "".join(f"# Section {k}\n\nSome words.\n\n" for k in range(30))
+    units = pd.DataFrame({"raw_hash": [f"h{i}" for i in range(3000)], "tool_profile_hash": "p", "gen": 1, "unit_key": [f"u{i}" for i in range(3000)], "text": text})
+    sizes = [len(b) for b in chunking.chunk(Units())(iter([units]))]
+    assert sum(sizes) == 90_000 and max(sizes) < 6000
+
+
+def test_columns_of_long_strings_are_computed_in_slices(spark):
+    rows = [(i, None if i == 5 else f"&amp; \u0041\u030a {i} " * 50_000) for i in range(40)]
+    columns = {"upper": (str.upper, "text"), "length": (lambda s: str(len(s)), "upper")}
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["id", "text"])
+    slices = list(text.computed(Units(), columns)(iter([whole])))
+    assert sum(b.num_rows for b in slices) == 40 and max(b.num_rows for b in slices) < 15
+    got = text.computed(spark.createDataFrame(rows[:8], "id long, text string"), columns).collect()
+    assert [(r.id, r.upper, r.length) for r in got] == [(i, s and s.upper(), s and str(len(s.upper()))) for i, s in rows[:8]]
