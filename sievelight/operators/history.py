@@ -24,6 +24,8 @@ from ..sources.stores import discard, written
 MOST_COMMITS = 100_000
 #: Edges of a contracted graph that a task walks, and edges that a commit's going may add before contraction is given up.
 SKELETON, MOST_ADDED = 2 * MOST_COMMITS, 1024
+#: Edges of numbered commits that a task contracts by itself, on an average and at most; and edges times ends of a block that it walks.
+BLOCK, MOST_IN_BLOCK, MOST_WALKED = 1 << 17, 1 << 20, 1 << 24
 
 
 def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int = MOST_COMMITS) -> DataFrame:
@@ -59,7 +61,7 @@ def reachable(starts: DataFrame, parents: DataFrame, *, first_parent: bool = Fal
     return one(starts.select(*keys, "commit_hash")).cogroup(one(edges)).applyInPandas(walk, f"{kinds}start string, commit_hash string, depth int")
 
 
-def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_parent: bool = False, by: list[str] | None = None, most: int | None = None, numbered: bool = False) -> DataFrame:
     """``reachable`` for graphs of any size, by joins over tables that shrink.
 
     Each round takes commits out of the graph, no two of them neighbours, and joins their children to their
@@ -67,14 +69,32 @@ def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_par
     add few. When SKELETON edges of a store are left, one task a start walks them; rounds are then undone, last first: a commit's depth is
     the least of its children's in its round, and their steps. A graph too dense to shrink is walked edge by edge from what is left. Starts stay
     to the end. More than ``most`` reached commits are an error.
+
+    Where commits are ``numbered`` (whole numbers, near each other for most neighbours), blocks of numbers are contracted
+    first, each in a task, until SKELETON edges are left or most edges lead from block to block; every block keeps the
+    commits that others lead to, and is filled in from them in the end.
     """
     keys = by or []
     edges = (parents.where("ord = 0") if first_parent else parents).where("parent is not null and commit_hash <> parent")
-    left = written(edges.select(*keys, F.col("commit_hash").alias("child"), "parent", F.lit(1).alias("steps")).distinct())
+    left = edges.select(*keys, F.col("commit_hash").alias("child"), "parent", F.lit(1).alias("steps"))
+    left = written(left if numbered else left.distinct())  # blocks see to equal edges themselves
     first = written(starts.select(*keys, F.col("commit_hash").alias("start")).distinct())
     largest = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     rounds: list[DataFrame] = []
     n, slack = largest(left), 0
+    levels: list[tuple[DataFrame, int, int]] = []
+    while numbered and n > SKELETON:
+        low, high = left.agg(F.min("child"), F.max("child")).first()
+        width = min(max(1, (high - low + 1) * BLOCK // n), (1 << 63) - 1)
+        blocks = _blocks(left, first, keys, width)
+        rows, across, most_rows = blocks.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inner")).alias("across")).agg(F.sum("n"), F.sum("across"), F.max("n")).first()
+        if most_rows > MOST_IN_BLOCK or across > 0.5 * rows:
+            break
+        levels.append((left, width, rows // BLOCK + 1))
+        left, before = written(_contracted(blocks, keys, rows // BLOCK + 1)), n
+        n = largest(left)
+        if n > 0.5 * before:
+            break
     while n > SKELETON and slack <= MOST_ADDED:
         name = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731  a new order each round
         up = left.select(*keys, F.col("child").alias("commit"), F.lit(0).alias("ins"), F.lit(1).alias("outs"), name("parent").alias("other"))
@@ -90,7 +110,7 @@ def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_par
         added = way.join(on, [*keys, "via"]).where("child <> parent").select(*keys, "child", "parent", (F.col("steps") + F.col("_steps")).alias("steps"))
         rest = marked.where("into is null and out_of is null").select(*keys, "child", "parent", "steps")
         after = written(rest.unionByName(added).groupBy(*keys, "child", "parent").agg(F.min("steps").alias("steps")))
-        discard(left, taken)
+        discard(taken, *([] if levels and left is levels[-1][0] else [left]))
         rounds.append(marked)
         left, before, n = after, n, largest(after)
         if n > 0.9 * before:
@@ -105,7 +125,12 @@ def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_par
         more = seen.join(step, [*keys, "commit_hash"]).groupBy(*keys, "start", F.col("to").alias("commit_hash")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
         found.append(written(more))
         total += found[-1].count()
-    discard(left, first, *rounds)
+    for edges, width, tasks in reversed(levels):
+        if most is not None and total > most:
+            break
+        found.append(written(_filled(functools.reduce(DataFrame.unionByName, found), edges, keys, width, tasks)))
+        total += found[-1].count()
+    discard(left, first, *rounds, *(level[0] for level in levels))
     if most is not None and total > most:
         raise ValueError(f"a walk reaches more than {most} commits")
     return functools.reduce(DataFrame.unionByName, found)
@@ -114,23 +139,130 @@ def reachable_by_contraction(starts: DataFrame, parents: DataFrame, *, first_par
 reachable_by_doubling = reachable_by_contraction  # its name when it squared the graph
 
 
+def _block(c: str, width: int):
+    return F.expr(f"{c} div {width}L")
+
+
+def _blocks(edges: DataFrame, first: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(*keys, block, child, parent, steps, inner): edges by the block of their child, and, without a parent, a block's commits that stay: starts and those that other blocks lead to."""
+    own = edges.select(*keys, _block("child", width).alias("block"), "child", "parent", "steps", (_block("child", width) == _block("parent", width)).alias("inner"))
+    ends = own.where(~F.col("inner")).select(*keys, "parent").unionByName(first.select(*keys, F.col("start").alias("parent"))).distinct()
+    return own.unionByName(ends.select(*keys, _block("parent", width).alias("block"), F.col("parent").alias("child")), allowMissingColumns=True)
+
+
+def _contracted(blocks: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """(*keys, child, parent, steps): the shortest ways between commits that stay, by as few edges as are found in a block.
+
+    Commits go whose going adds no edges; where all ways from end to end are surely fewer than the edges that are left, those stand instead.
+    """
+
+    def contract(key: tuple, g: pa.Table) -> pa.Table:
+        up: dict[int, dict[int, int]] = {}
+        down: dict[int, set[int]] = {}
+        stay, outside = set(), set()
+        for c, p, steps, inner in zip(*(g.column(c).to_pylist() for c in ("child", "parent", "steps", "inner")), strict=True):
+            if p is None:
+                stay.add(c)
+                continue
+            if not inner:
+                outside.add(p)
+            ways = up.setdefault(c, {})
+            if steps < ways.get(p, 1 << 62):
+                ways[p] = steps
+                down.setdefault(p, set()).add(c)
+        kept = stay | outside
+        inner = (up.keys() | down.keys()) - kept
+        ahead = list(inner)
+        while ahead:
+            c = ahead.pop()
+            ins, outs = down.get(c, ()), up.get(c, {})
+            if c not in inner or len(ins) * len(outs) > len(ins) + len(outs):
+                continue
+            inner.discard(c)
+            for p in outs:
+                down[p].discard(c)
+            for child in ins:
+                ways = up[child]
+                steps = ways.pop(c)
+                for p, more in outs.items():
+                    known = ways.get(p)
+                    if known is None and p != child:
+                        ways[p] = steps + more
+                        down[p].add(child)
+                    else:  # both have a neighbour less now
+                        if p != child and steps + more < known:
+                            ways[p] = steps + more
+                        ahead += (p, child)
+            if not ins or not outs:
+                ahead += (*ins, *outs)
+            up.pop(c, None)
+            down.pop(c, None)
+        n = sum(map(len, up.values()))
+        if len(stay) * (len(stay) + len(outside)) < n <= MOST_WALKED // max(1, len(stay)):
+            up = {c: {p: d for p, d in _depths({c: 0}, up, kept - {c}).items() if p in kept and p != c} for c in stay}
+        edges = [(c, p, steps) for c, ways in up.items() for p, steps in ways.items()]
+        columns = [[e[i] for e in edges] for i in range(3)]
+        return pa.table([*(pa.repeat(k, len(edges)) for k in key[:-1]), *(pa.array(v, g.schema.field(c).type) for c, v in zip(("child", "parent", "steps"), columns, strict=True))], [*keys, "child", "parent", "steps"])
+
+    kinds = dict(blocks.dtypes)
+    return blocks.repartition(tasks, *keys, "block").groupBy(*keys, "block").applyInArrow(contract, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "child", "parent", "steps"]))
+
+
+def _filled(found: DataFrame, edges: DataFrame, keys: list[str], width: int, tasks: int) -> DataFrame:
+    """(*keys, start, commit_hash, depth) of the commits that blocks of ``edges`` gave up, from those ``found``, which all ways into a block lead by."""
+    at = found.select(*keys, "start", _block("commit_hash", width).alias("block"), "commit_hash", "depth")
+    inner = edges.where(_block("child", width) == _block("parent", width)).select(*keys, _block("child", width).alias("block"), "child", "parent", "steps")
+    each = [*keys, "start", "block"]
+
+    def fill(key: tuple, e: pa.Table, s: pa.Table) -> pa.Table:
+        up = _ways(e)
+        seeds = dict(zip(s.column("commit_hash").to_pylist(), s.column("depth").to_pylist(), strict=True))
+        depth = {c: d for c, d in _depths(seeds, up).items() if c not in seeds}
+        return pa.table([*(pa.repeat(k, len(depth)) for k in key[:-1]), pa.array(list(depth), s.schema.field("commit_hash").type), pa.array(list(depth.values()), pa.int32())], [*keys, "start", "commit_hash", "depth"])
+
+    # as many pairs of a start and a block as there are blocks of rows in the result
+    pairs = at.select(*[F.col(c).alias(f"_{c}") for c in each]).distinct()
+    same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in [*keys, "block"]])
+    starts = inner.join(F.broadcast(pairs), same).select(*keys, F.col("_start").alias("start"), "block", "child", "parent", "steps")
+    kinds = dict(at.dtypes)
+    dealt = lambda df: df.repartition(tasks, *each).groupBy(*each)
+    return dealt(starts).cogroup(dealt(at)).applyInArrow(fill, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "start", "commit_hash", "depth"]))
+
+
+def _ways(edges: pa.Table) -> dict:
+    """The parents of each child with the steps to them."""
+    up: dict = {}
+    for child, parent, steps in zip(*(edges.column(c).to_pylist() for c in ("child", "parent", "steps")), strict=True):
+        ways = up.setdefault(child, {})
+        if steps < ways.get(parent, 1 << 62):
+            ways[parent] = steps
+    return up
+
+
+def _depths(seeds: dict, up: dict, stop: set | frozenset = frozenset()) -> dict:
+    """Least depths of what ``seeds`` (commits with depths) reach, without going on from commits in ``stop``."""
+    depth, done = dict(seeds), set()
+    ahead = [(d, c) for c, d in seeds.items()]
+    heapq.heapify(ahead)
+    while ahead:
+        d, c = heapq.heappop(ahead)
+        if c not in done:
+            done.add(c)
+            if c in stop:
+                continue
+            for p, steps in up.get(c, {}).items():
+                if d + steps < depth.get(p, 1 << 62):
+                    depth[p] = d + steps
+                    heapq.heappush(ahead, (d + steps, p))
+    return depth
+
+
 def _walked(first: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, start, commit_hash, depth) by the shortest ways over few edges (child, parent, steps), each start in a task."""
 
     def walk(key: tuple, g: pa.Table) -> pa.Table:
-        up: dict = {}
-        for child, parent, steps in zip(*(g.column(c).to_pylist() for c in ("child", "parent", "steps")), strict=True):
-            up.setdefault(child, []).append((parent, steps))
         start = key[-1].as_py()
-        depth, ahead, done = {start: 0}, [(0, start)], set()
-        while ahead:
-            d, c = heapq.heappop(ahead)
-            if c not in done:
-                done.add(c)
-                for p, steps in up.get(c, ()):
-                    if d + steps < depth.get(p, 1 << 62):
-                        depth[p] = d + steps
-                        heapq.heappush(ahead, (d + steps, p))
+        depth = _depths({start: 0}, _ways(g))
         del depth[start]
         names, kinds = [*keys, "start"], [*(k.type for k in key), g.schema.field("parent").type, pa.int32()]
         return pa.table([*(pa.repeat(k, len(depth)) for k in key), pa.array(list(depth), kinds[-2]), pa.array(list(depth.values()), kinds[-1])], [*names, "commit_hash", "depth"])

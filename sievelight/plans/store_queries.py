@@ -58,7 +58,7 @@ p AS MATERIALIZED (SELECT i, i - 30 AS up FROM n WHERE i > 30 UNION SELECT i, i
 r AS (SELECT max(total) AS i, 0 AS depth FROM n UNION SELECT p.up, r.depth + 1 FROM r JOIN p ON p.i = r.i)
 SELECT k AS commit, min(depth)::INT AS depth FROM r JOIN n USING (i) GROUP BY k""")
 def long_ancestry(spark, sf_dir):
-    """All ancestors of the last of a long history with merges, and their least depths, by contraction."""
+    """All ancestors of the last of a long history with merges, and their least depths, by contraction of blocks of numbers."""
     o = load(spark, sf_dir, "orders").select("o_orderkey")
     # commits are numbered by range partitions, so that no task sees all of them
     placed = stores.written(o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").withColumn("m", F.monotonically_increasing_id()))
@@ -67,7 +67,7 @@ def long_ancestry(spark, sf_dir):
     n = placed.withColumn("part", F.shiftright("m", 33)).join(before, "part").select("o_orderkey", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("i"))
     up = n.where("i > 30").select(F.col("i").alias("commit_hash"), (F.col("i") - 30).alias("parent"), F.lit(0).alias("ord"))
     merged = n.where("i > 61 and i % 97 = 0").select(F.col("i").alias("commit_hash"), (F.col("i") - 61).alias("parent"), F.lit(1).alias("ord"))
-    reached = history.reachable_by_contraction(n.agg(F.max("i").alias("commit_hash")), up.unionByName(merged))
+    reached = history.reachable_by_contraction(n.agg(F.max("i").alias("commit_hash")), up.unionByName(merged), numbered=True)
     return reached.join(n, reached["commit_hash"] == n["i"]).select(F.col("o_orderkey").alias("commit"), "depth")
 
 

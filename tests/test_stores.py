@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from sievelight.operators import evaluation, history, ledger, tasks
 from sievelight.plans.collection import Selector, Settings
 from sievelight.sources import folder, scan
@@ -125,6 +126,72 @@ def test_ancestry_makes_no_pairs(spark, monkeypatch, skeleton):
         assert sum(rows) < 40 * n
 
 
+def test_long_ancestry_takes_few_tables(spark, monkeypatch):
+    tables, keep = [], history.written
+    monkeypatch.setattr(history, "written", lambda df: tables.append(out := keep(df)) or out)
+    monkeypatch.setattr(history, "SKELETON", 500)
+    monkeypatch.setattr(history, "BLOCK", 4000, raising=False)
+    got = {r.commit: r.depth for r in __spark_entry__.queries()["long_ancestry"](spark, "/root/testdata/sf0.01").collect()}
+    keys = sorted(r[0] for r in spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey").collect())
+    n = len(keys)
+    depth = {n: 0}
+    for i in range(n - 1, 0, -1):
+        ways = [depth[i + 30]] if i + 30 in depth else []
+        ways += [depth[i + 61]] if i + 61 in depth and (i + 61) % 97 == 0 else []
+        if ways:
+            depth[i] = min(ways) + 1
+    assert got == {keys[i - 1]: d for i, d in depth.items()}
+    assert len(tables) <= 6
+
+
+@pytest.mark.parametrize("kind", ["near", "sparse", "cycles", "random", "one block", "dense"])
+def test_numbered_ancestry(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    n = 1500
+    number = {"sparse": lambda i: i * 10**12 - 10**15, "random": lambda i: rng.randrange(-(1 << 62), 1 << 62)}.get(kind, lambda i: i)
+    names = [number(i) for i in range(n + 1)]
+    edges = [(i, i - 1 - rng.randrange(3), 0) for i in range(4, n + 1)] + [(i, i - 5 - rng.randrange(9), 1) for i in range(20, n + 1) if kind == "dense" or i % 7 == 0]
+    if kind == "cycles":
+        edges += [(i, min(n, i + rng.randrange(12)), 1) for i in range(1, n, 9)]
+    if kind == "one block":  # all lead to one commit, and the numbers lie in one place but for a single one
+        names[0] = 10**15
+        edges += [(0, 5, 0)] + [(i, 3, 1) for i in range(30, n, 2)]
+    edges = [(names[c], names[p], o) for c, p, o in edges]
+    parents = spark.createDataFrame([*edges, *edges[::5], (names[1], None, 0)], "commit_hash long, parent long, ord int").repartition(3)
+    starts = [names[i] for i in (n, n // 2, n // 2, 2)]
+    monkeypatch.setattr(history, "SKELETON", {"near": 10, "one block": 1500}.get(kind, 600))
+    monkeypatch.setattr(history, "BLOCK", 300)
+    monkeypatch.setattr(history, "MOST_IN_BLOCK", 1200)
+    filled, keep = [], history._filled
+    monkeypatch.setattr(history, "_filled", lambda *a: filled.append(a[3]) or keep(*a))
+    for first in (False, True) if kind == "near" else (False,):
+        up, want = {}, set()
+        for c, p, o in edges:
+            if not first or o == 0:
+                up.setdefault(c, []).append(p)
+        for s in starts:
+            depth, now = {s: 0}, [s]
+            for c in now:  # breadth first
+                for p in up.get(c, ()):
+                    if p not in depth:
+                        depth[p] = depth[c] + 1
+                        now.append(p)
+            want |= {(s, c, d) for c, d in depth.items()}
+        some = spark.createDataFrame([(s,) for s in starts], "commit_hash long")
+        rows = lambda df: [tuple(r) for r in df.select("start", "commit_hash", "depth").collect()]
+        got = rows(history.reachable_by_contraction(some, parents, first_parent=first, numbered=True))
+        assert len(got) == len(want) and set(got) == want
+        assert bool(filled) == (kind not in ("random", "one block"))
+        if kind == "near" and not first:
+            assert len(filled) > 1  # blocks of blocks
+            two = lambda df: df.withColumn("scope_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+            by = history.reachable_by_contraction(two(some), two(parents), by=["scope_id"], numbered=True)
+            for scope in "ab":
+                assert sorted(rows(by.where(F.col("scope_id") == scope))) == sorted(want)
+    with pytest.raises(ValueError):
+        history.reachable_by_contraction(some, parents, most=10, numbered=True)
+
+
 def tree(root, files):
     for name, text in files.items():
         at = root / name
