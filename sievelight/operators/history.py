@@ -11,8 +11,10 @@ from __future__ import annotations
 import functools
 import heapq
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,20 +159,15 @@ def _contracted(blocks: DataFrame, keys: list[str], tasks: int) -> DataFrame:
     """
 
     def contract(key: tuple, g: pa.Table) -> pa.Table:
-        up: dict[int, dict[int, int]] = {}
+        e = g.filter(pc.is_valid(g.column("parent")))
+        stay = set(g.filter(pc.is_null(g.column("parent"))).column("child").to_pylist())
+        outside = set(e.filter(pc.invert(e.column("inner"))).column("parent").to_pylist())
+        kept = stay | outside
+        up, _, _ = _without_links(e, kept)
         down: dict[int, set[int]] = {}
-        stay, outside = set(), set()
-        for c, p, steps, inner in zip(*(g.column(c).to_pylist() for c in ("child", "parent", "steps", "inner")), strict=True):
-            if p is None:
-                stay.add(c)
-                continue
-            if not inner:
-                outside.add(p)
-            ways = up.setdefault(c, {})
-            if steps < ways.get(p, 1 << 62):
-                ways[p] = steps
+        for c, ways in up.items():
+            for p in ways:
                 down.setdefault(p, set()).add(c)
-        kept = stay | outside
         inner = (up.keys() | down.keys()) - kept
         ahead = list(inner)
         while ahead:
@@ -215,10 +212,13 @@ def _filled(found: DataFrame, edges: DataFrame, keys: list[str], width: int, tas
     each = [*keys, "start", "block"]
 
     def fill(key: tuple, e: pa.Table, s: pa.Table) -> pa.Table:
-        up = _ways(e)
         seeds = dict(zip(s.column("commit_hash").to_pylist(), s.column("depth").to_pylist(), strict=True))
-        depth = {c: d for c, d in _depths(seeds, up).items() if c not in seeds}
-        return pa.table([*(pa.repeat(k, len(depth)) for k in key[:-1]), pa.array(list(depth), s.schema.field("commit_hash").type), pa.array(list(depth.values()), pa.int32())], [*keys, "start", "commit_hash", "depth"])
+        up, links, (head, steps) = _without_links(e, seeds.keys())
+        depth = _depths(seeds, up)
+        above = np.array([depth.get(c, -1) for c in head.tolist()], np.int64)
+        commits = np.concatenate([links[above >= 0], np.array([c for c in depth if c not in seeds], np.int64)])
+        depths = np.concatenate([(above + steps)[above >= 0], np.array([d for c, d in depth.items() if c not in seeds], np.int64)])
+        return pa.table([*(pa.repeat(k, len(commits)) for k in key[:-1]), pa.array(commits, s.schema.field("commit_hash").type), pa.array(depths, pa.int32())], [*keys, "start", "commit_hash", "depth"])
 
     # as many pairs of a start and a block as there are blocks of rows in the result
     pairs = at.select(*[F.col(c).alias(f"_{c}") for c in each]).distinct()
@@ -229,6 +229,30 @@ def _filled(found: DataFrame, edges: DataFrame, keys: list[str], width: int, tas
     return dealt(starts).cogroup(dealt(at)).applyInArrow(fill, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "start", "commit_hash", "depth"]))
 
 
+def _without_links(edges: pa.Table, kept) -> tuple[dict, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """``_ways`` of numbered commits without the links of chains, which have one child and one parent and are not ``kept``; the links; and the commit that each one's chain comes from, with the steps from it."""
+    c, p, steps = (edges.column(k).to_numpy().astype(np.int64) for k in ("child", "parent", "steps"))
+    ids, at = np.unique(np.concatenate([c, p]), return_inverse=True)
+    c, p = at[: len(c)], at[len(c) :]
+    link = (np.bincount(c, minlength=len(ids)) == 1) & (np.bincount(p, minlength=len(ids)) == 1) & ~np.isin(ids, np.fromiter(kept, np.int64, len(kept)))
+
+    def ends(of: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to, far, on = np.arange(len(ids)), np.zeros(len(ids), np.int64), link[of]
+        to[of[on]], far[of[on]] = other[on], steps[on]
+        for _ in range(len(ids).bit_length() + 1):  # a ring of links has no end
+            if not link[to].any():
+                break
+            far, to = far + far[to], to[to]
+        return to, far
+
+    to, far = ends(c, p)
+    rest = ~link[c] & (to[p] != c)
+    up = _ways(pa.table({"child": ids[c[rest]], "parent": ids[to[p[rest]]], "steps": steps[rest] + far[p[rest]]}))
+    head, far = ends(p, c)
+    whole = link & ~link[head]
+    return up, ids[whole], (ids[head[whole]], far[whole])
+
+
 def _ways(edges: pa.Table) -> dict:
     """The parents of each child with the steps to them."""
     up: dict = {}
